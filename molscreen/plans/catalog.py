@@ -1,8 +1,22 @@
 """All registered queries."""
 
+from __future__ import annotations
+
+import functools
+
 from molscreen.plans import queries_prep, queries_rank, queries_store
+from molscreen.session import ship
+
+
+def _shipped(fn):
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        return fn(ship(spark), sf_dir)
+
+    return run
+
 
 QUERIES, SQL = {}, {}
 for _module in (queries_rank, queries_prep, queries_store):
-    QUERIES.update(_module.QUERIES)
+    QUERIES.update({name: _shipped(fn) for name, fn in _module.QUERIES.items()})
     SQL.update(_module.SQL)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+import molscreen
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -29,6 +33,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give this package's modules to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_molscreen_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(molscreen.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="molscreen-"), "molscreen.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("molscreen", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._molscreen_shipped = True
     return spark
 
 
