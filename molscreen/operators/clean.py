@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +55,29 @@ def dedup_mean(df: DataFrame, key: str, labels: list[str], first: list[str], row
 def dedup_majority(df: DataFrame, key: str, labels: list[str], first: list[str], row_index: str) -> DataFrame:
     """One row per key: most frequent label, ties to the lowest, all-null to null.
 
-    Labels are counted per (key, value) first, so a hot key is reduced before it meets.
+    Two steps in one pass over the input: counts per (key, label, value), which reduces a
+    hot key before it meets, then the vote.  Labels must share a type.
     """
-    kept = df.where(F.col(key).isNotNull())
-    base = kept.groupBy(key).agg(*_representatives(first, row_index), F.count(F.lit(1)).alias("n_rows"))
-    votes = []
-    for c in labels:
-        counts = kept.where(F.col(c).isNotNull()).groupBy(key, c).agg(F.count(F.lit(1)).alias("_n"))
-        votes.append(
-            counts.groupBy(key).agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias(c))
+    votes = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("value")) for i, c in enumerate(labels)]))
+    counted = (
+        df.where(F.col(key).isNotNull())
+        .select(key, *({row_index, *first} - {key}), votes.alias("_v"))
+        .groupBy(key, F.col("_v.which").alias("_which"), F.col("_v.value").alias("_value"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.min(F.when(F.col(c).isNotNull(), F.struct(row_index, c))).alias(f"_first_{c}") for c in first],
         )
-    return reduce(lambda left, right: left.join(right, key, "left"), votes, base)
+    )
+    value, n = F.col("_value"), F.col("_n")
+    picks = [
+        F.min_by(value, F.when((F.col("_which") == i) & value.isNotNull(), F.struct(-n, value))).alias(c)
+        for i, c in enumerate(labels)
+    ]
+    return counted.groupBy(key).agg(
+        *[F.min(f"_first_{c}")[c].alias(c) for c in first],
+        *picks,
+        F.sum(F.when(F.col("_which") == 0, n)).alias("n_rows"),
+    )
 
 
 def clean_dataset(

@@ -247,6 +247,27 @@ def nearest_named(
     )
 
 
+def similarity_column(refs: DataFrame, words: str = "words", n: int = DOMAIN_NEIGHBOURS, ref_id: str = "ref_id") -> Column:
+    """Mean of the best ``n`` similarities as a column, for a reference set below the bound.
+
+    Null words give null.  Larger sets need :func:`assess`, which joins its result back.
+    """
+    if not small_enough(refs):
+        raise ValueError(f"more than {BROADCAST_REFS} references: use assess() instead")
+    shared = _packed_broadcast(refs, ref_id, words)
+
+    def run(column: pa.Array) -> pa.Array:
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        best = _best(_matrix(column.drop_null()), shared.value, n)
+        found = best >= 0
+        mean = np.where(found, best, 0.0).sum(axis=1) / np.maximum(found.sum(axis=1), 1)
+        out = np.full(len(column), np.nan)
+        out[valid] = mean
+        return pa.array(out, pa.float64(), mask=~valid)
+
+    return F.arrow_udf(run, "double")(F.col(words))
+
+
 def mean_top_n(best: DataFrame, name: str = "similarity") -> DataFrame:
     """Mean over the neighbours found (not over ``n``); no neighbour gives 0."""
     total = F.aggregate("best", F.lit(0.0), lambda acc, s: acc + s)

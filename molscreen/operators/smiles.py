@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from molscreen.functions.validate import input_error
 from molscreen.schemas import BOND_SYMBOLS, ELEMENT_ORDER, MAX_HEAVY_ATOMS
+from molscreen.session import work_partitions
 
 # --- fixed values: element symbols by atomic number ---
 SYMBOLS = (
@@ -87,7 +88,9 @@ def tokens(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
 
     Input that fails validation keeps one row without a token.
     """
-    placed = df.select(F.col(mol_id).alias("mol"), F.col(smiles).alias("smiles")).repartition(F.col("mol"))
+    placed = df.select(F.col(mol_id).alias("mol"), F.col(smiles).alias("smiles"))
+    # a fixed count: adaptive execution would merge these small rows into few tasks
+    placed = placed.repartition(work_partitions(df.sparkSession), "mol")
     text = F.col("smiles")
     checked = placed.withColumn("bad_input", input_error(text))
     found = F.when(F.col("bad_input").isNull(), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import molscreen
 
@@ -62,3 +63,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="molscreen-")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Store an expensive intermediate as Parquet in the shared folder and read it back.
+
+    Later jobs then read only the columns they need, and losing executors costs nothing.
+    """
+    path = f"{shared_dir(df.sparkSession)}/molscreen-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for work that costs far more than its bytes suggest (adaptive merging is by bytes)."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
