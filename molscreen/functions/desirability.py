@@ -98,18 +98,26 @@ def geometric_mean_agg(d: Column, w: Column) -> Column:
     )
 
 
-def geometric_mean(terms: list[tuple[Column, Column]]) -> Column:
-    """Row form over a fixed list of (desirability, weight) columns; null terms are skipped.
+def geometric_mean_array(terms: Column) -> Column:
+    """Row form over an array of (d, w) structs; null terms are skipped.
 
-    The sum runs in list order, so equal inputs give bit-equal scores on every run.
+    The sum runs in array order, so equal inputs give bit-equal scores on every run.
     """
+    live = F.filter(terms, lambda t: t["d"].isNotNull() & t["w"].isNotNull())
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("log"), F.lit(False).alias("fatal"))
+
+    def add(acc: Column, t: Column) -> Column:
+        return F.struct(
+            (acc["w"] + t["w"]).alias("w"),
+            (acc["log"] + _log_term(t["d"], t["w"])).alias("log"),
+            (acc["fatal"] | _is_fatal(t["d"], t["w"])).alias("fatal"),
+        )
+
+    return F.aggregate(live, start, add, lambda acc: _combine(acc["w"], acc["fatal"], acc["log"]))
+
+
+def geometric_mean(terms: list[tuple[Column, Column]]) -> Column:
+    """The same over a fixed list of (desirability, weight) columns."""
     if not terms:
         return F.lit(None).cast("double")
-    live = [(d, w, d.isNotNull() & w.isNotNull()) for d, w in terms]
-    # null only when no term is live, as opposed to live terms of zero weight
-    weight = sum((F.when(ok, w).otherwise(0.0) for _, w, ok in live), F.lit(0.0))
-    logs = sum((F.when(ok, _log_term(d, w)).otherwise(0.0) for d, w, ok in live), F.lit(0.0))
-    fatal = F.lit(False)
-    for d, w, ok in live:
-        fatal = fatal | (ok & _is_fatal(d, w))
-    return _combine(weight, fatal, logs)
+    return geometric_mean_array(F.array(*[F.struct(d.alias("d"), w.alias("w")) for d, w in terms]))

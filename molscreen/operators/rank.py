@@ -70,10 +70,25 @@ def triage_tall(values: DataFrame, endpoints: DataFrame, by: list[str]) -> DataF
     )
 
 
-def triage_wide(values: dict[str, Column], endpoints: list[tuple]) -> Column:
-    """Composite score of one wide row: ``endpoints`` lists (code, shape, low, high, weight)."""
-    terms = []
-    for code, shape, low, high, weight in endpoints:
-        d = D.by_shape(values[code], F.lit(shape), F.lit(low).cast("double"), F.lit(high).cast("double"))
-        terms.append((d, F.lit(float(weight))))
-    return D.geometric_mean(terms)
+def triage_wide(values: Column, endpoints: list[tuple]) -> Column:
+    """Composite score of an array of endpoint values, without any shuffle.
+
+    ``endpoints`` lists (code, shape, low, high, weight) in the order of the array.
+    """
+    curves = F.array(
+        *[
+            F.struct(
+                F.lit(shape).alias("shape"),
+                F.lit(low).cast("double").alias("low"),
+                F.lit(high).cast("double").alias("high"),
+                F.lit(float(weight)).alias("w"),
+            )
+            for _, shape, low, high, weight in endpoints
+        ]
+    )
+    terms = F.zip_with(
+        values,
+        curves,
+        lambda v, c: F.struct(D.by_shape(v, c["shape"], c["low"], c["high"]).alias("d"), c["w"].alias("w")),
+    )
+    return D.geometric_mean_array(terms)

@@ -200,6 +200,7 @@ def scaffold_groups(spark, sf_dir):
 def scaffold_split(spark, sf_dir):
     """Split by scaffold: no scaffold on two sides, no row lost."""
     m = K.canonicalise(_perceived(spark, sf_dir)).where(F.col("error_code").isNull()).select("p_partkey", "scaffold")
+    m = materialise(m, "scaffolds")  # the split reads its input three times
     rows = P.group_split(m, "scaffold", (0.6, 0.2, 0.2), seed=7)
     per = rows.groupBy("scaffold").agg(F.count(F.lit(1)).alias("n"), (F.min("split") != F.max("split")).alias("span"))
     return per.agg(F.sum("n").alias("n_rows"), F.count_if("span").alias("spanning"))

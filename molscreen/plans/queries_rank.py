@@ -169,7 +169,7 @@ def triage_score_wide(spark, sf_dir):
     codes = [e[0] for e in ENDPOINTS]
     wide = S.to_wide(endpoint_values(spark, sf_dir, reg), codes)
     curves = [(c, *CURVES[c], CATEGORY_WEIGHTS[cat]) for c, _, cat, _, _ in ENDPOINTS]
-    score = R.triage_wide({c: F.col(c) for c in codes}, curves)
+    score = R.triage_wide(F.array(*codes), curves)
     return wide.select("prediction_id", r6(score).alias("triage_score"))
 
 
