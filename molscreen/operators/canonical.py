@@ -18,6 +18,7 @@ from molscreen.operators.molgraph import (
     invariants,
 )
 from molscreen.operators.smiles import SYMBOLS
+from molscreen.session import opaque
 
 ORGANIC_NUMBERS = {5, 6, 7, 8, 9, 15, 16, 17, 35, 53}
 BOND_TEXT = {2: "=", 3: "#", 4: "$"}
@@ -272,7 +273,7 @@ def canonicalise(perceived: DataFrame) -> DataFrame:
     Of several components the largest one with carbon is kept (salts are stripped).  An
     acyclic molecule has the empty scaffold.
     """
-    udf = F.arrow_udf(_canonical, CANONICAL)
+    udf = opaque(_canonical, CANONICAL)
     ints, bools = F.array().cast("array<int>"), F.array().cast("array<boolean>")
     names = [*ATOM_COLUMNS, "bond_a", "bond_b", "bond_kind", "bond_order_a", "bond_order_b", "component"]
     cols = [F.coalesce(F.col(c), bools if c == "aromatic" else ints) for c in names]

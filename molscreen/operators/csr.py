@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molscreen.schemas import MAX_HEAVY_ATOMS
+from molscreen.session import opaque
 
 CSR = "struct<nbr_offsets:array<int>,nbr_indices:array<int>,nbr_bond:array<int>>"
 
@@ -42,7 +43,7 @@ def add_csr(parsed: DataFrame) -> DataFrame:
     """Add nbr_offsets, nbr_indices and nbr_bond; failed molecules have nulls."""
     empty = F.array().cast("array<int>")
     cols = [F.coalesce(F.col(c), empty) for c in ("bond_a", "bond_b", "bond_kind")]
-    out = parsed.withColumn("_csr", F.arrow_udf(_compress, CSR)(F.coalesce("n_atoms", F.lit(0)), *cols))
+    out = parsed.withColumn("_csr", opaque(_compress, CSR)(F.coalesce("n_atoms", F.lit(0)), *cols))
     ok = F.col("error_code").isNull()
     fields = ("nbr_offsets", "nbr_indices", "nbr_bond")
     return out.select(*parsed.columns, *[F.when(ok, F.col("_csr")[f]).alias(f) for f in fields])

@@ -25,7 +25,8 @@ def add_descriptors(perceived: DataFrame) -> DataFrame:
     non-ring bond between two non-terminal atoms.  cLogP and TPSA need contribution tables
     this package does not carry, so both are null, and so are the rules that use them.
     """
-    weights = F.array(*[F.lit(WEIGHTS.get(i)).cast("double") for i in range(max(WEIGHTS) + 1)])
+    table = ", ".join(f"{WEIGHTS[i]}D" if i in WEIGHTS else "NULL" for i in range(max(WEIGHTS) + 1))
+    weights = F.expr(f"array({table})")
     heavy = F.aggregate(
         F.transform("number", lambda n: F.get(weights, n)), F.lit(0.0), lambda acc, w: acc + w
     )

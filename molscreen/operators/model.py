@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from molscreen.functions.features import MAX_CHARGE, MIN_CHARGE, SP3, UNKNOWN_HYBRIDISATION
 from molscreen.schemas import FEATURE_BLOCKS, MAX_HEAVY_ATOMS, MICRO_BATCH, N_ATOM_FEATURES, N_ENDPOINTS
+from molscreen.session import opaque
 
 GRAPH_COLUMNS = ["element", "degree", "charge", "hs", "hyb", "aromatic", "in_ring", "bond_a", "bond_b"]
 HIDDEN = 128
@@ -135,7 +136,7 @@ def predict(spark: SparkSession, weights: dict[str, np.ndarray], skip: Column |
             done[rows] = True
         return pa.array([row if ok else None for row, ok in zip(out, done)], pa.list_(pa.float64()))
 
-    return F.arrow_udf(run, "array<double>")(*_inputs(skip))
+    return opaque(run, "array<double>")(*_inputs(skip))
 
 
 def attribute(perceived: DataFrame, mol_id: str, weights: dict[str, np.ndarray], endpoint: int) -> DataFrame:
@@ -155,7 +156,7 @@ def attribute(perceived: DataFrame, mol_id: str, weights: dict[str, np.ndarray],
                 out[r] = values[: int(m.sum())]
         return pa.array(out, pa.list_(pa.float64()))
 
-    effect = F.arrow_udf(run, "array<double>")(*_inputs(None))
+    effect = opaque(run, "array<double>")(*_inputs(None))
     return perceived.select(mol_id, F.posexplode(effect).alias("atom", "contribution"))
 
 
@@ -192,4 +193,4 @@ def predict_onnx(path: str, input_names: list[str], output_name: str = "predicti
                 out[r] = values.astype(np.float64)
         return pa.array(out, pa.list_(pa.float64()))
 
-    return F.arrow_udf(run, "array<double>")(*_inputs(None))
+    return opaque(run, "array<double>")(*_inputs(None))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molscreen.schemas import ELEMENT_ORDER, FP_BITS, FP_RADIUS, FP_WORDS
+from molscreen.session import opaque
 
 ATOM_COLUMNS = ["number", "aromatic", "charge", "hs", "isotope", "chirality"]
 BOND_COLUMNS = ["bond_a", "bond_b", "bond_kind"]
@@ -434,7 +435,7 @@ def perceive(parsed: DataFrame) -> DataFrame:
     (``core``), canonical ranks and a 2048-bit circular fingerprint.  Failed molecules keep
     their error and have nulls.
     """
-    graph = F.arrow_udf(_perceive, PERCEIVED)
+    graph = opaque(_perceive, PERCEIVED)
     empty_bool, empty_int = F.array().cast("array<boolean>"), F.array().cast("array<int>")
     cols = [
         F.coalesce(F.col(c), empty_bool if c == "aromatic" else empty_int) for c in ATOM_COLUMNS + BOND_COLUMNS

@@ -20,6 +20,12 @@ def _range_count(df: DataFrame) -> int:
     return max(16, min(4096, 4 * parts))
 
 
+def _literals(values: list, kind: str) -> Column:
+    """Array literal, parsed in one go."""
+    items = ", ".join(f"CAST('{v}' AS {kind})" for v in values)
+    return F.expr(f"CAST(array({items}) AS array<{kind}>)")
+
+
 def range_bucket(df: DataFrame, order: str, ranges: int | None = None) -> Column:
     """Order-preserving range number of ``order`` from its own approximate quantiles.
 
@@ -31,9 +37,8 @@ def range_bucket(df: DataFrame, order: str, ranges: int | None = None) -> Column
     total = side * side
     probs = [i / total for i in range(1, total)]
     cuts = df.agg(F.percentile_approx(F.col(order), probs, max(1000, 4 * total))).first()[0] or []
-    kind = f"array<{df.schema[order].dataType.simpleString()}>"
-    fine = F.array(*[F.lit(c) for c in cuts]).cast(kind)
-    coarse = F.array(*[F.lit(c) for c in cuts[side - 1 :: side]]).cast(kind)
+    kind = df.schema[order].dataType.simpleString()
+    fine, coarse = _literals(cuts, kind), _literals(cuts[side - 1 :: side], kind)
     value = F.col(order)
     big = F.size(F.filter(coarse, lambda c: c < value))
     small = F.size(F.filter(F.slice(fine, big * side + 1, F.lit(side)), lambda c: c < value))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from molscreen.functions import bits as B
 from molscreen.schemas import DOMAIN_NEIGHBOURS
+from molscreen.session import opaque
 
 BROADCAST_REFS = 100_000  # packed 2048-bit rows: about 26 MB
 BLOCK_ROWS = 20_000
@@ -265,7 +266,7 @@ def similarity_column(refs: DataFrame, words: str = "words", n: int = DOMAIN_NEI
         out[valid] = mean
         return pa.array(out, pa.float64(), mask=~valid)
 
-    return F.arrow_udf(run, "double")(F.col(words))
+    return opaque(run, "double")(F.col(words))
 
 
 def mean_top_n(best: DataFrame, name: str = "similarity") -> DataFrame:

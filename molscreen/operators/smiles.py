@@ -34,18 +34,23 @@ BRACKET = r"^\[([0-9]*)([A-Z][a-z]?|[bcnops]|se|as)(@{0,2})(H[0-9]*)?([+-][0-9]+
 IMPLICIT = -1  # hydrogen count still to be derived from the valence
 
 
-def _literal_map(value: Column, table: dict, default) -> Column:
-    out = None
-    for key, code in table.items():
-        out = F.when(value == key, code) if out is None else out.when(value == key, code)
-    return out.otherwise(default)
+def _sql(value) -> str:
+    return "r\"" + value + "\"" if isinstance(value, str) else str(value)
+
+
+def _literal_map(value: Column, table: dict, default: int) -> Column:
+    # one parsed literal instead of a call per entry keeps plan building quick
+    entries = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), value), F.lit(default))
 
 
 def element_number(symbol: Column) -> Column:
     """Atomic number of a symbol in either case, 0 when it is no element."""
     name = F.initcap(symbol)
-    common = _literal_map(name, {s: ATOMIC_NUMBER[s] for s in ELEMENT_ORDER[:-1]}, None)
-    return F.coalesce(common, F.array_position(F.array(*[F.lit(s) for s in SYMBOLS]), name)).cast("int")
+    # the organic subset first: it is nearly every atom
+    common = F.try_element_at(F.expr("map('C', 6, 'N', 7, 'O', 8, 'S', 16, 'F', 9, 'Cl', 17, 'Br', 35, 'I', 53, 'P', 15)"), name)
+    every = F.expr("array(" + ", ".join(_sql(s) for s in SYMBOLS) + ")")
+    return F.coalesce(common, F.array_position(every, name).cast("int"))
 
 
 def element_code(number: Column) -> Column:
@@ -187,8 +192,11 @@ def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
     Arrays are bounded: input is at most 1000 characters.
     """
     t = tokens(df, mol_id, smiles)
-    part = lambda n: F.regexp_extract("body", BRACKET, n)
     bracket = F.col("kind") == "bracket"
+    # the parts of a bracket atom, cut once: isotope, symbol, chirality, hydrogens, charge
+    cut = F.array(*[F.regexp_extract("body", BRACKET, n) for n in range(1, 6)])
+    t = t.withColumn("parts", F.when(bracket, cut))
+    part = lambda n: F.get("parts", F.lit(n - 1))
     symbol = F.when(bracket, part(2)).otherwise(F.col("body"))
     hs = F.when(part(4) == "", 0).when(part(4) == "H", 1).otherwise(F.substring(part(4), 2, 9).try_cast("int"))
     t = (
@@ -260,7 +268,7 @@ def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
         *[F.when(ok, F.col("atoms")[c]).alias(c) for c in columns],
         *[F.when(ok, F.col("bonds")[c]).alias(f"bond_{c}") for c in bond_columns],
         "error_code",
-        F.when(placed, F.coalesce(F.col("first.position"), F.when(F.col("bad_input").isNotNull(), 0))).alias("position"),
+        F.when(placed, F.coalesce(F.col("first.position"), F.when(F.col("bad_input") != "input_too_long", 0))).alias("position"),
         F.when(~ok, detail).alias("detail"),
     ).drop("_smiles")
 

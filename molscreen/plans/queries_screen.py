@@ -8,6 +8,7 @@ from molscreen.operators import molgraph as G
 from molscreen.operators import smiles as S
 from molscreen.plans import screen as W
 from molscreen.plans.tables import block_molecules, block_sql
+from molscreen.session import materialise
 
 QUERIES, SQL = {}, {}
 
@@ -26,6 +27,7 @@ def _screened(spark, sf_dir):
     rows = block_molecules(spark, sf_dir).withColumnRenamed("p_partkey", "row_index")
     refs = G.perceive(S.parse(rows.where(F.col("row_index") % 7 == 0), "row_index", "smiles"))
     refs = refs.where(F.col("words").isNotNull()).select(F.col("row_index").alias("ref_id"), "words")
+    refs = materialise(refs, "references")
     return W.screen(rows, refs)
 
 

@@ -84,7 +84,8 @@ SPELLINGS = [
 
 
 def _pick(options: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(o) for o in options]), index.cast("int"))
+    texts = ", ".join(f'r"{o}"' for o in options)
+    return F.get(F.expr(f"array({texts})"), index.cast("int"))
 
 
 def block_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import molscreen
 
@@ -78,3 +79,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def work_partitions(spark: SparkSession) -> int:
     """Partitions for work that costs far more than its bytes suggest (adaptive merging is by bytes)."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def opaque(fn, schema: str):
+    """Arrow function that the optimizer evaluates exactly once per row.
+
+    Filters on an expensive function's result would otherwise be pushed below it with a
+    second copy of the call.
+    """
+    return F.arrow_udf(fn, schema).asNondeterministic()
