@@ -14,22 +14,52 @@ from molscreen.operators.molgraph import (
     Graphs,
     _dense,
     _refine,
+    bond_orders,
     canonical_ranks,
     invariants,
 )
 from molscreen.operators.smiles import SYMBOLS
 from molscreen.session import opaque
 
-ORGANIC_NUMBERS = {5, 6, 7, 8, 9, 15, 16, 17, 35, 53}
 BOND_TEXT = {2: "=", 3: "#", 4: "$"}
 DIRECTED = {6: 1, 7: -1}
 
 
-def _usual_hydrogens(number: int, aromatic: bool, orders: int) -> int:
-    """Hydrogens a reader would add to this atom written without brackets."""
+def usual_hydrogens(number: np.ndarray, aromatic: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Hydrogens a reader adds to an atom written without brackets; -1 where it needs them."""
+    out = np.full(len(number), -1)
     used = orders + aromatic
-    choices = VALENCES[number][:1] if aromatic else VALENCES[number]
-    return next((v - used for v in choices if used <= v), 0)
+    for z, valences in VALENCES.items():
+        at = number == z
+        out[at] = 0
+        for v in sorted(valences, reverse=True):
+            fits = at & (used <= v) & ~((aromatic > 0) & (v > valences[0]))
+            out[fits] = v - used[fits]
+    return out
+
+
+def _bracket(number: int, aromatic: int, charge: int, hs: int, isotope: int, tag: str = "") -> str:
+    symbol = SYMBOLS[number - 1].lower() if aromatic else SYMBOLS[number - 1]
+    hydrogens = ("H" if hs else "") + (str(hs) if hs > 1 else "")
+    sign = ("+" if charge > 0 else "-") + (str(abs(charge)) if abs(charge) > 1 else "") if charge else ""
+    return f"[{isotope or ''}{symbol}{tag}{hydrogens}{sign}]"
+
+
+def atom_labels(g: Graphs, stereo: bool) -> list[str]:
+    """Text of every atom apart from chirality, built once per distinct kind of atom."""
+    at = g.atoms
+    total, _ = bond_orders(g)
+    isotope = at["isotope"] if stereo else np.zeros(g.n, np.int64)
+    plain = (
+        (at["hs"] == usual_hydrogens(at["number"], at["aromatic"], total)) & (at["charge"] == 0) & (isotope == 0)
+    )
+    rows = np.stack([at["number"], at["aromatic"], at["charge"], at["hs"], isotope, plain], axis=1)
+    kinds, which = np.unique(rows, axis=0, return_inverse=True)
+    texts = []
+    for number, aromatic, charge, hs, iso, bare in kinds.tolist():
+        symbol = SYMBOLS[number - 1]
+        texts.append((symbol.lower() if aromatic else symbol) if bare else _bracket(number, aromatic, charge, hs, iso))
+    return [texts[i] for i in which.reshape(-1).tolist()]
 
 
 def _odd(before: list, after: list) -> bool:
@@ -38,135 +68,171 @@ def _odd(before: list, after: list) -> bool:
     return sum(place[i] > place[j] for i in range(len(place)) for j in range(i + 1, len(place))) % 2 == 1
 
 
-class _Writer:
-    """Depth-first text of one molecule; neighbours are visited in canonical order."""
-
-    def __init__(self, atoms: dict, bonds: list, rank, classes, stereo: bool):
-        self.atoms, self.rank, self.classes, self.stereo = atoms, rank, classes, stereo
-        n = len(rank)
-        self.near = [[] for _ in range(n)]  # (neighbour, kind, place among the input neighbours)
-        self.orders = [0] * n
-        for a, b, kind, at_a, at_b in bonds:
-            self.near[a].append((b, kind, at_a))
-            self.near[b].append((a, kind, at_b))
-            order = kind if kind in BOND_TEXT else 1
-            self.orders[a] += order
-            self.orders[b] += order
-        for row in self.near:
-            row.sort(key=lambda x: rank[x[0]])
-        self.children = [[] for _ in range(n)]
-        self.closures = [[] for _ in range(n)]  # ring bonds in the order their digits appear
-        self.parent = [-1] * n
-        self.seen = [False] * n
-
-    def text(self) -> str:
-        parts = []
-        for start in sorted(range(len(self.rank)), key=lambda i: self.rank[i]):
-            if not self.seen[start]:
-                self._walk(start)
-                parts.append(self._emit(start))
-        return ".".join(sorted(parts))
-
-    def _walk(self, start: int) -> None:
-        """Spanning tree and ring bonds, without recursion."""
-        self.seen[start] = True
-        stack, ring = [(start, iter(self.near[start]))], set()
-        while stack:
-            at, todo = stack[-1]
-            for to, kind, _ in todo:
-                pair = (min(at, to), max(at, to))
-                if to == self.parent[at] or pair in ring:
-                    continue
-                if self.seen[to]:
-                    ring.add(pair)
-                    self.closures[to].append((at, kind))
-                    self.closures[at].append((to, kind))
-                else:
-                    self.seen[to] = True
-                    self.parent[to] = at
-                    self.children[at].append((to, kind))
-                    stack.append((to, iter(self.near[to])))
-                    break
-            else:
-                stack.pop()
+def _ring_labels(closures: list[tuple[int, int]]) -> list[int]:
+    """Lowest free label for each (opening place, closing place), reused once closed."""
+    labels, active = [0] * len(closures), []
+    for i in sorted(range(len(closures)), key=lambda c: closures[c]):
+        active = [j for j in active if closures[j][1] > closures[i][0]]
+        taken = {labels[j] for j in active}
+        labels[i] = next(n for n in range(1, 200) if n not in taken)
+        active.append(i)
+    return labels
+
 
-    def _emit(self, start: int) -> str:
-        out, free, digits = [], list(range(99, 0, -1)), {}
-        stack = [(start, 0, None)]
+def _write(starts: list[int], ptr: list, dst: list, kind: list, label: list, aromatic: list, chiral) -> str:
+    """Depth-first text of the atoms reachable from ``starts``; neighbours come in rank order.
+
+    ``chiral`` gives the label of an atom once the order of its neighbours is known.
+    """
+    place: dict[int, int] = {}
+    parts = []
+    for start in starts:
+        if start in place:
+            continue
+        out, closures, ends = [], [], {}
+        parent, kids, cursor = {start: -1}, {}, {}
+
+        def bond(a: int, b: int, k: int) -> str:
+            both = aromatic[a] and aromatic[b]
+            return ("" if both else ":") if k == AROMATIC else BOND_TEXT.get(k, "-" if both else "")
+
+        place[start] = 0
+        out.append("")
+        lead = {start: ""}
+        stack = [start]
+        last: dict[int, tuple[int, int]] = {}
+        opened: dict[int, int] = {}
+        cursor[start] = ptr[start]
         while stack:
-            at, kind, literal = stack.pop()
-            if literal is not None:
-                out.append(literal)
+            at = stack[-1]
+            p = cursor[at]
+            if p == ptr[at + 1]:
+                stack.pop()
+                if at in last:  # the final branch is the main chain
+                    out[last[at][0]] = out[last[at][1]] = ""
+                if stack:
+                    last[stack[-1]] = (opened[at], len(out))
+                    out.append(")")
+                continue
+            cursor[at] = p + 1
+            to = dst[p]
+            if to == parent[at]:
                 continue
-            if self.parent[at] >= 0:
-                out.append(self._bond(self.parent[at], at, kind))
-            # digits closing here first, then the ones opening, lowest partner first
-            closing = [c for c in self.closures[at] if (c[0], at) in digits]
-            opening = sorted((c for c in self.closures[at] if (c[0], at) not in digits), key=lambda c: self.rank[c[0]])
-            self.closures[at] = closing + opening
-            out.append(self._atom(at))
-            for to, bond in closing:
-                label = digits.pop((to, at))
-                free.append(label)
-                out.append(self._bond(to, at, bond) + self._digit(label))
-            free.sort(reverse=True)
-            for to, _ in opening:
-                label = digits[(at, to)] = free.pop()
-                out.append(self._digit(label))
-            kids = self.children[at]
-            for i, (to, bond) in reversed(list(enumerate(kids))):
-                if i < len(kids) - 1:
-                    stack.extend([(0, 0, ")"), (to, bond, None), (0, 0, "(")])
-                else:
-                    stack.append((to, bond, None))
-        return "".join(out)
-
-    @staticmethod
-    def _digit(label: int) -> str:
-        return str(label) if label < 10 else f"%{label}"
-
-    def _bond(self, a: int, b: int, kind: int) -> str:
-        both = self.atoms["aromatic"][a] and self.atoms["aromatic"][b]
-        if kind == AROMATIC:
-            return "" if both else ":"
-        return BOND_TEXT.get(kind, "-" if both else "")
-
-    def _tag(self, at: int) -> str:
-        """Chirality tag for the output order of neighbours, or nothing when not a centre."""
-        tag, hs = self.atoms["chirality"][at], self.atoms["hs"][at]
-        groups = [self.classes[x[0]] for x in self.near[at]]
-        if not self.stereo or tag not in (1, 2) or hs > 1 or len(groups) + hs != 4 or len(set(groups)) < len(groups):
-            return ""
-        given = sorted((place, to) for to, _, place in self.near[at])
-        before = [to for _, to in given]
-        after = ([self.parent[at]] if self.parent[at] >= 0 else []) + [c[0] for c in self.closures[at]]
-        after += [c[0] for c in self.children[at]]
+            if to in place:
+                if place[to] < place[at]:
+                    closures.append((place[to], place[at]))
+                    ends[len(closures) - 1] = (to, at, kind[p])
+                continue
+            parent[to] = at
+            kids.setdefault(at, []).append(to)
+            opened[to] = len(out)
+            out.append("(")
+            place[to] = len(out)
+            lead[to] = bond(at, to, kind[p])
+            out.append("")
+            cursor[to] = ptr[to]
+            stack.append(to)
+        digits: dict[int, list] = {}
+        for i, n in enumerate(_ring_labels(closures)):
+            to, at, k = ends[i]
+            text = str(n) if n < 10 else f"%{n}"
+            # closing digits stand before opening ones
+            digits.setdefault(at, []).append((0, place[to], to, bond(to, at, k) + text))
+            digits.setdefault(to, []).append((1, place[at], at, text))
+        for at in parent:
+            ring = sorted(digits.get(at, ()))
+            name = chiral(at, parent[at], [d[2] for d in ring] + kids.get(at, [])) or label[at]
+            out[place[at]] = lead[at] + name + "".join(d[3] for d in ring)
+        parts.append("".join(out))
+    return ".".join(sorted(parts))
+
+
+def _classes(g: Graphs) -> np.ndarray:
+    """Symmetry classes: Morgan refinement without tie-breaking."""
+    src, dst, edge = g.both_ways()
+    return _refine(g.mol, src, dst, g.kind[edge], _dense(g.mol, invariants(g))) if g.n else np.empty(0, np.int64)
+
+
+class _Batch:
+    """Canonical texts of a batch; atoms and bonds are put in canonical order once for all."""
+
+    def __init__(self, g: Graphs, orders: np.ndarray):
+        bare = np.where(np.isin(g.kind, (6, 7)), 1, g.kind)
+        self.g = flat = Graphs(g.mol, g.n_mols, g.atoms, g.a, g.b, bare)
+        rank = canonical_ranks(flat)
+        src, dst, edge = flat.both_ways()
+        by = np.lexsort((rank[dst], src))
+        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=g.n))]).tolist()
+        self.dst, self.kind = dst[by].tolist(), bare[edge][by].tolist()
+        self.marks = g.kind[edge][by].tolist()
+        self.order = np.concatenate([orders[0], orders[1]])[by].tolist()
+        self.rank = rank.tolist()
+        self.starts = np.lexsort((rank, g.mol)).tolist()
+        self.first = g.first.tolist()
+        self.aromatic = (g.atoms["aromatic"] > 0).tolist()
+        self.marked = np.zeros(g.n_mols, bool)
+        self.marked[g.mol[(g.atoms["chirality"] > 0) | (g.atoms["isotope"] > 0)]] = True
+        self.sided = np.zeros(g.n_mols, bool)
+        self.sided[g.mol[g.a[np.isin(g.kind, (6, 7))]]] = True
+        self.classes = _classes(flat).tolist() if self.marked.any() or self.sided.any() else None
+        # unmarked molecules with equal code are equal: atoms by rank, then bonds by rank
+        code = invariants(flat)[self.starts].astype("<i8")
+        lo, hi = np.minimum(rank[g.a], rank[g.b]), np.maximum(rank[g.a], rank[g.b])
+        bond_code = ((lo * 256 + hi) * 8 + bare).astype("<i8")
+        bond_mol = g.mol[g.a]
+        self.bond_at = np.searchsorted(bond_mol, np.arange(g.n_mols + 1)).tolist()
+        self.codes, self.bond_codes = code, bond_code[np.lexsort((bond_code, bond_mol))]
+
+    def texts(self) -> list[tuple[str, str, str]]:
+        """(canonical, constitution only, double-bond sides) per molecule."""
+        full, bare = atom_labels(self.g, True), None
+        known: dict[bytes, str] = {}
+        out = []
+        nothing = lambda at, parent, rest: None
+        for m in range(self.g.n_mols):
+            lo, hi = self.first[m], self.first[m + 1]
+            starts = self.starts[lo:hi]
+            write = lambda label, chiral: _write(
+                starts, self.ptr, self.dst, self.kind, label, self.aromatic, chiral  # noqa: B023
+            )
+            if not self.marked[m]:
+                code = self.codes[lo:hi].tobytes() + b"|" + self.bond_codes[self.bond_at[m] : self.bond_at[m + 1]].tobytes()
+                text = known.get(code)
+                if text is None:
+                    text = known[code] = write(full, nothing)
+                plain = text
+            else:
+                bare = bare or atom_labels(self.g, False)
+                text, plain = write(full, self._chiral), write(bare, nothing)
+            out.append((text, plain, self._sides(lo, hi) if self.sided[m] else ""))
+        return out
+
+    def _near(self, at: int) -> range:
+        return range(self.ptr[at], self.ptr[at + 1])
+
+    def _chiral(self, at: int, parent: int, rest: list[int]) -> str | None:
+        """Bracket text with the tag for this neighbour order; nothing when not a centre."""
+        atoms = self.g.atoms
+        tag, hs = int(atoms["chirality"][at]), int(atoms["hs"][at])
+        groups = [self.classes[self.dst[p]] for p in self._near(at)]
+        if tag not in (1, 2) or hs > 1 or len(groups) + hs != 4 or len(set(groups)) < len(groups):
+            return None
+        given = sorted((self.order[p], self.dst[p]) for p in self._near(at))
+        before, after = [to for _, to in given], ([parent] if parent >= 0 else []) + rest
         if hs:
             before.insert(1 if given[0][0] < 0 else 0, -1)
-            after.insert(1 if self.parent[at] >= 0 else 0, -1)
-        return "@" * (3 - tag if _odd(before, after) else tag)
-
-    def _atom(self, at: int) -> str:
-        number, aromatic = self.atoms["number"][at], bool(self.atoms["aromatic"][at])
-        charge, hs, isotope = self.atoms["charge"][at], self.atoms["hs"][at], self.atoms["isotope"][at]
-        symbol = SYMBOLS[number - 1].lower() if aromatic else SYMBOLS[number - 1]
-        tag = self._tag(at)
-        isotope = isotope if self.stereo else 0
-        plain = number in ORGANIC_NUMBERS and not charge and not isotope and not tag
-        if plain and hs == _usual_hydrogens(number, aromatic, self.orders[at]):
-            return symbol
-        text = (str(isotope) if isotope else "") + symbol + tag
-        text += ("H" if hs else "") + (str(hs) if hs > 1 else "")
-        if charge:
-            text += ("+" if charge > 0 else "-") + (str(abs(charge)) if abs(charge) > 1 else "")
-        return f"[{text}]"
-
-    def double_bond_sides(self) -> str:
+            after.insert(1 if parent >= 0 else 0, -1)
+        turn = 3 - tag if _odd(before, after) else tag
+        kind = [int(atoms[c][at]) for c in ("number", "aromatic", "charge", "hs", "isotope")]
+        return _bracket(*kind, tag="@" * turn)
+
+    def _sides(self, lo: int, hi: int) -> str:
         """cis/trans of marked double bonds by canonical rank, e.g. ``3=4t``."""
         found = []
-        for a, row in enumerate(self.near):
-            for b, kind, _ in row:
-                if kind == 2 and self.rank[a] < self.rank[b]:
+        for a in range(lo, hi):
+            for p in self._near(a):
+                b = self.dst[p]
+                if self.kind[p] == 2 and self.rank[a] < self.rank[b]:
                     side = self._side(a, b), self._side(b, a)
                     if all(side):
                         found.append((self.rank[a], self.rank[b], "c" if side[0] == side[1] else "t"))
@@ -174,56 +240,17 @@ class _Writer:
 
     def _side(self, at: int, other: int) -> int:
         """Side (+1 or -1) of the lowest-ranked substituent, 0 when not marked or symmetric."""
-        rest = [x for x in self.near[at] if x[0] != other]
-        if len({self.classes[x[0]] for x in rest}) < len(rest):
+        rest = [p for p in self._near(at) if self.dst[p] != other]
+        if len({self.classes[self.dst[p]] for p in rest}) < len(rest):
             return 0
-        for i, (_, kind, place) in enumerate(rest):
-            if kind in DIRECTED:
+        for i, p in enumerate(rest):
+            if self.marks[p] in DIRECTED:
                 # written before the atom: '/' puts the neighbour below, after it: above
-                sign = DIRECTED[kind] * (-1 if place < 0 else 1)
+                sign = DIRECTED[self.marks[p]] * (-1 if self.order[p] < 0 else 1)
                 return sign if i == 0 else -sign
         return 0
 
 
-def _classes(g: Graphs) -> np.ndarray:
-    """Symmetry classes: Morgan refinement without tie-breaking."""
-    src, dst, edge = g.both_ways()
-    return _refine(g.mol, src, dst, g.kind[edge], _dense(g.mol, invariants(g))) if g.n else np.empty(0, np.int64)
-
-
-def _texts(g: Graphs, orders: np.ndarray) -> list[dict]:
-    """Per molecule of a batch: canonical text, constitution only, and double-bond sides."""
-    bare = g.kind.copy()
-    bare[np.isin(bare, (6, 7))] = 1
-    flat = Graphs(g.mol, g.n_mols, g.atoms, g.a, g.b, bare)
-    rank, classes = canonical_ranks(flat), _classes(flat)
-    bond_mol = g.mol[g.a] if len(g.a) else np.empty(0, np.int64)
-    bond_at = np.searchsorted(bond_mol, np.arange(g.n_mols + 1))
-    out = []
-    for m in range(g.n_mols):
-        lo, hi = g.first[m], g.first[m + 1]
-        if lo == hi:
-            out.append({"smiles": "", "plain": "", "sides": ""})
-            continue
-        e = slice(bond_at[m], bond_at[m + 1])
-        atoms = {name: g.atoms[name][lo:hi].tolist() for name in ATOM_COLUMNS}
-        bonds = list(
-            zip((g.a[e] - lo).tolist(), (g.b[e] - lo).tolist(), g.kind[e].tolist(), *orders[:, e].tolist())
-        )
-        args = atoms, bonds, rank[lo:hi].tolist(), classes[lo:hi].tolist()
-        writer = _Writer(*args, stereo=True)
-        marked = any(atoms["chirality"]) or any(atoms["isotope"])
-        text = writer.text()
-        out.append(
-            {
-                "smiles": text,
-                "plain": _Writer(*args, stereo=False).text() if marked else text,
-                "sides": writer.double_bond_sides() if any(b[2] in DIRECTED for b in bonds) else "",
-            }
-        )
-    return out
-
-
 CANONICAL = "struct<smiles:string,plain:string,sides:string,scaffold:string>"
 
 
@@ -232,23 +259,17 @@ def _canonical(*columns: pa.Array) -> pa.Array:
     g = Graphs.from_arrow(core_columns)
     flat = lambda c: c.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     orders = np.stack([flat(order_a), flat(order_b)])
-    # bonds arrive grouped by molecule; sorting keeps that true after any subset
     biggest = largest.to_numpy(zero_copy_only=False)
     keep = flat(component) == np.nan_to_num(biggest).astype(np.int64)[g.mol]
 
-    def texts(mask: np.ndarray) -> list[dict]:
+    def texts(mask: np.ndarray) -> list[tuple[str, str, str]]:
         sub, _ = g.subset(mask)
-        return _texts(sub, orders[:, mask[g.a] & mask[g.b]])
-
-    whole = texts(keep)
-    # side chains gone: what was a stereo mark no longer has its neighbours
-    frame = texts(keep & (flat(in_core) > 0))
-    fields = [
-        pa.array([t["smiles"] for t in whole], pa.string()),
-        pa.array([t["plain"] for t in whole], pa.string()),
-        pa.array([t["sides"] for t in whole], pa.string()),
-        pa.array([t["plain"] for t in frame], pa.string()),
-    ]
+        return _Batch(sub, orders[:, mask[g.a] & mask[g.b]]).texts()
+
+    smiles, plain, sides = zip(*texts(keep))
+    # side chains gone, a stereo mark no longer has its neighbours: constitution only
+    frame = [t[1] for t in texts(keep & (flat(in_core) > 0))]
+    fields = [pa.array(list(t), pa.string()) for t in (smiles, plain, sides, frame)]
     return pa.StructArray.from_arrays(fields, ["smiles", "plain", "sides", "scaffold"])
 
 

@@ -186,7 +186,7 @@ def small_rings(n: int, a: np.ndarray, b: np.ndarray) -> dict[int, np.ndarray]:
     return found
 
 
-def _bond_orders(g: Graphs) -> tuple[np.ndarray, np.ndarray]:
+def bond_orders(g: Graphs) -> tuple[np.ndarray, np.ndarray]:
     """Per atom: sum of integer bond orders, and number of double bonds."""
     order = np.where(np.isin(g.kind, (DOUBLE, TRIPLE, QUADRUPLE)), g.kind, 1)
     total, doubles = np.zeros(g.n, np.int64), np.zeros(g.n, np.int64)
@@ -198,7 +198,7 @@ def _bond_orders(g: Graphs) -> tuple[np.ndarray, np.ndarray]:
 
 def fill_hydrogens(g: Graphs) -> None:
     """Implicit hydrogens of organic-subset atoms from the smallest valence that fits."""
-    total, _ = _bond_orders(g)
+    total, _ = bond_orders(g)
     aromatic = g.atoms["aromatic"] > 0
     used = total + aromatic
     left = np.zeros(g.n, np.int64)
@@ -252,7 +252,7 @@ def resolve_bonds(g: Graphs, on_cycle: np.ndarray) -> None:
 
 
 def hybridisation(g: Graphs) -> np.ndarray:
-    total, doubles = _bond_orders(g)
+    total, doubles = bond_orders(g)
     triple = np.zeros(g.n, bool)
     for end in (g.a, g.b):
         triple[end[g.kind == TRIPLE]] = True
