@@ -132,7 +132,8 @@ def predict(spark: SparkSession, weights: dict[str, np.ndarray], skip: Column |
         out = np.zeros((len(arrays[0]), N_ENDPOINTS))
         done = np.zeros(len(arrays[0]), bool)
         for rows, t in _runs(list(arrays)):
-            out[rows] = forward(shared.value, t.x, t.adj, t.mask)
+            # float32 carries no more digits, and summation order must not decide a ranking
+            out[rows] = np.round(forward(shared.value, t.x, t.adj, t.mask).astype(np.float64), 5)
             done[rows] = True
         return pa.array([row if ok else None for row, ok in zip(out, done)], pa.list_(pa.float64()))
 

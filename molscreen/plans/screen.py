@@ -6,23 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molscreen.functions.bits import classify
-from molscreen.functions.validate import sigmoid, withhold, withhold_reason
+from molscreen.functions.validate import destandardise, sigmoid, withhold, withhold_reason
 from molscreen.operators import canonical, descriptors, model, molgraph, rank, similarity, smiles
 from molscreen.schemas import CATEGORY_WEIGHTS, CURVES, ENDPOINTS
+from molscreen.session import materialise
 
-CODES = [e[0] for e in ENDPOINTS]
 # Own choice: (mean, sd) that turns a raw regression output into its physical range.
 SCALES = {"caco2": (-5.0, 0.5), "ppbr": (85.0, 10.0), "vdss": (2.0, 1.5), "half_life": (12.0, 8.0), "clearance": (40.0, 25.0)}
 
 
-def structures(rows: DataFrame, column: str) -> DataFrame:
-    """Every distinct structure once: parsed, perceived, canonical, described.
+def identify(rows: DataFrame, column: str) -> DataFrame:
+    """Every distinct input text once: (smiles, canonical_smiles, mol_key, error_code, position).
 
-    Duplicates collapse before any parsing, on both sides of the shuffle, so a structure
-    that fills a third of the table costs as much as any other.
+    Duplicates collapse before any parsing, on both sides of the shuffle, so a text that
+    fills a third of the table costs as much as any other.
     """
     distinct = rows.select(F.col(column).alias("smiles")).distinct()
-    return descriptors.add_descriptors(canonical.canonicalise(molgraph.perceive(smiles.parse(distinct, "smiles", "smiles"))))
+    keyed = canonical.canonicalise(molgraph.perceive(smiles.parse(distinct, "smiles", "smiles")))
+    return keyed.select("smiles", "canonical_smiles", "mol_key", "had_salts", "error_code", "position")
+
+
+def molecules(identified: DataFrame) -> DataFrame:
+    """Every distinct molecule once, from its canonical text: graph and descriptors.
+
+    Salts are gone by then and atoms stand in one order, so all spellings of a molecule
+    get the same features, fingerprint and score, bit for bit.
+    """
+    distinct = identified.where(F.col("mol_key").isNotNull()).groupBy("mol_key").agg(
+        F.min("canonical_smiles").alias("canonical_smiles")
+    )
+    return descriptors.add_descriptors(molgraph.perceive(smiles.parse(distinct, "mol_key", "canonical_smiles")))
 
 
 def screen(
@@ -39,7 +52,9 @@ def screen(
     model_version, outputs): those molecules skip the model.
     """
     spark = rows.sparkSession
-    mols = structures(rows, structure)
+    # read twice below, and much smaller than what it takes to compute
+    identified = materialise(identify(rows, structure), "identified")
+    mols = molecules(identified)
     if stored is not None:
         known = stored.where(F.col("model_version") == model_version).select("mol_key", F.col("outputs").alias("_known"))
         mols = mols.join(known, "mol_key", "left")
@@ -47,39 +62,40 @@ def screen(
         mols = mols.withColumn("_known", F.lit(None).cast("array<double>"))
     cached = F.col("_known").isNotNull()
     fresh = model.predict(spark, weights or model.seeded_weights(), skip=cached)
-    mols = mols.withColumn("outputs", F.coalesce("_known", fresh)).withColumn("cached", cached)
+    mols = mols.withColumn("_fresh", fresh).withColumn("cached", cached)
     if similarity.small_enough(references):
         mols = mols.withColumn("similarity", similarity.similarity_column(references))
     else:
-        valid = mols.where(F.col("words").isNotNull()).select(F.col("smiles").alias("query_id"), "words")
+        valid = mols.where(F.col("words").isNotNull()).select(F.col("mol_key").alias("query_id"), "words")
         near = similarity.mean_top_n(similarity.nearest(valid, references)).select(
-            F.col("query_id").alias("smiles"), "similarity"
+            F.col("query_id").alias("mol_key"), "similarity"
         )
-        mols = mols.join(near, "smiles", "left")
+        mols = mols.join(near, "mol_key", "left")
+    mols = mols.withColumn("outputs", F.coalesce("_known", "_fresh"))
     # a probability for binary endpoints, a physical quantity for the others
-    values = {}
+    values = []
     for i, (code, _, _, task, _) in enumerate(ENDPOINTS):
         raw = F.get("outputs", F.lit(i))
-        values[code] = sigmoid(raw) if task == "binary" else raw * SCALES[code][1] + SCALES[code][0]
+        values.append(sigmoid(raw) if task == "binary" else destandardise(raw, *map(F.lit, SCALES[code])))
     curves = [(c, *CURVES[c], CATEGORY_WEIGHTS[cat]) for c, _, cat, _, _ in ENDPOINTS]
-    status = F.when(F.col("similarity").isNotNull(), classify(F.col("similarity")))
     scored = (
-        mols.withColumn("values", F.when(F.col("outputs").isNotNull(), F.array(*[values[c] for c in CODES])))
-        .withColumn("status", status)
+        mols.withColumn("values", F.when(F.col("outputs").isNotNull(), F.array(*values)))
+        .withColumn("status", F.when(F.col("similarity").isNotNull(), classify(F.col("similarity"))))
         .withColumn("raw_score", rank.triage_wide(F.col("values"), curves))
     )
-    out = scored.select(
-        F.col("smiles").alias("_structure"), "canonical_smiles", "mol_key", "heavy_atoms", "mol_weight", "hbd", "hba",
-        "rotatable_bonds", "ring_count", "values", "similarity", "status",
+    per_molecule = scored.select(
+        "mol_key", F.col("n_atoms").alias("heavy_atoms"), "mol_weight", "hbd", "hba", "rotatable_bonds", "ring_count",
+        "values", "similarity", "status",
         withhold(F.col("raw_score"), F.col("status")).alias("triage_score"),
-        withhold_reason(F.col("status")).alias("withheld"),
-        "cached", "error_code", "position",
+        withhold_reason(F.col("status")).alias("withheld"), "cached",
+    )
+    per_text = identified.join(per_molecule, "mol_key", "left").select(
+        F.col("smiles").alias("_structure"), "canonical_smiles", "had_salts", *per_molecule.columns, "error_code", "position",
         smiles.error_text(F.col("smiles"), F.col("error_code"), F.col("position")).alias("error_detail"),
         F.lit(model_version).alias("model_version"),
     )
     # null structures are rows too: they report empty input
-    joined = rows.join(out, F.col(structure).eqNullSafe(F.col("_structure")), "left").drop("_structure")
-    return joined
+    return rows.join(per_text, F.col(structure).eqNullSafe(F.col("_structure")), "left").drop("_structure")
 
 
 def explain_values(screened: DataFrame, key: str) -> DataFrame:

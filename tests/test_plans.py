@@ -95,7 +95,7 @@ def test_stream_survives_a_replayed_batch(spark, tmp_path):
 
 
 def test_screen_and_cache(spark, tmp_path):
-    rows = spark.createDataFrame([(0, "CCO"), (1, "OCC"), (2, "bad)"), (3, None), (4, "c1ccccc1O")], "row_index long, smiles string")
+    rows = spark.createDataFrame([(0, "CCO"), (1, "OCC"), (2, "CC)"), (3, None), (4, "c1ccccc1O")], "row_index long, smiles string")
     refs = G.perceive(S.parse(rows, "row_index", "smiles")).where("words is not null").selectExpr("row_index as ref_id", "words")
     out = {r.row_index: r for r in W.screen(rows, refs).collect()}
     assert len(out) == 5 and out[0].mol_key == out[1].mol_key and out[0].triage_score == out[1].triage_score
