@@ -73,8 +73,11 @@ def with_values(predictions: DataFrame, values: DataFrame, endpoints: DataFrame)
 
 
 def to_wide(values: DataFrame, codes: list[str], by: str = "prediction_id") -> DataFrame:
-    """One column per endpoint; the code list is given, so no extra scan to find it."""
-    return values.groupBy(by).pivot("endpoint", codes).agg(F.first("value"))
+    """One column per endpoint; (``by``, endpoint) is unique, so any aggregate picks the value.
+
+    Conditional aggregates need one hash pass, where a pivot groups twice.
+    """
+    return values.groupBy(by).agg(*[F.max(F.when(F.col("endpoint") == c, F.col("value"))).alias(c) for c in codes])
 
 
 def to_tall(wide: DataFrame, codes: list[str], by: str = "prediction_id") -> DataFrame:
@@ -87,9 +90,10 @@ def endpoint_filter(values: DataFrame, endpoint: str, below: float) -> DataFrame
 
 
 def orphaned(batches: DataFrame, now: dt.datetime, minutes: int) -> DataFrame:
-    """Running batches created more than ``minutes`` before ``now``."""
-    edge = now - dt.timedelta(minutes=minutes)
-    return batches.where((F.col("status") == "running") & (F.col("created_at") < F.lit(edge)))
+    """Running batches created more than ``minutes`` before ``now`` (in the session's time zone)."""
+    edge = (now - dt.timedelta(minutes=minutes)).isoformat(sep=" ")
+    created = batches.schema["created_at"].dataType
+    return batches.where((F.col("status") == "running") & (F.col("created_at") < F.lit(edge).cast(created)))
 
 
 def active_version(versions: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 def _screened(spark, sf_dir):
     rows = block_molecules(spark, sf_dir).withColumnRenamed("p_partkey", "row_index")
-    refs = G.perceive(S.parse(rows.where(F.col("row_index") % 7 == 0), "row_index", "smiles"))
+    refs = G.perceive(S.parse(rows, "row_index", "smiles"))
     refs = refs.where(F.col("words").isNotNull()).select(F.col("row_index").alias("ref_id"), "words")
     refs = materialise(refs, "references")
     return W.screen(rows, refs)

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 _FP_SQL = """
     WITH fp AS (SELECT vec_id, label, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings),
-    sim AS (SELECT q.vec_id AS query_id, q.label AS q_label, r.vec_id AS ref_id, r.label AS r_label,
+    sim AS (SELECT q.vec_id AS query_id, q.label AS q_label, r.vec_id AS ref_id,
         CASE WHEN len(q.bits) + len(r.bits) = 0 THEN 0.0 ELSE len(list_intersect(q.bits, r.bits))
            / (len(q.bits) + len(r.bits) - len(list_intersect(q.bits, r.bits)))::DOUBLE END AS s
       FROM fp q CROSS JOIN fp r)
@@ -41,7 +41,7 @@ _FP_SQL = """
 def _sides(spark, sf_dir):
     fp = fingerprints(spark, sf_dir)
     q = fp.select(F.col("vec_id").alias("query_id"), "words", "label")
-    refs = fp.where(F.col("label") % 2 == 0).select(F.col("vec_id").alias("ref_id"), "words")
+    refs = fp.select(F.col("vec_id").alias("ref_id"), "words")
     return q, refs
 
 
@@ -80,14 +80,14 @@ def fingerprint_fold(spark, sf_dir):
     )
 
 
-@query(_FP_SQL + "SELECT query_id, ref_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.5 AND r_label % 2 = 0")
+@query(_FP_SQL + "SELECT query_id, ref_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.5")
 def tanimoto_threshold(spark, sf_dir):
     """All pairs at or over 0.5, with the popcount bound; the SQL compares every pair."""
     q, refs = _sides(spark, sf_dir)
     return N.matches(q, refs, 0.5).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(_FP_SQL + "SELECT query_id, ref_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.5 AND r_label % 2 = 0")
+@query(_FP_SQL + "SELECT query_id, ref_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.5")
 def tanimoto_threshold_blocks(spark, sf_dir):
     """The same pairs by the plan for reference sets too large to broadcast."""
     q, refs = _sides(spark, sf_dir)
@@ -98,7 +98,7 @@ def tanimoto_threshold_blocks(spark, sf_dir):
 _ASSESS_SQL = (
     _FP_SQL
     + """,
-    best AS (SELECT query_id, q_label, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ref_id) AS rn FROM sim WHERE r_label % 2 = 0),
+    best AS (SELECT query_id, q_label, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ref_id) AS rn FROM sim),
     dom AS (SELECT query_id, any_value(q_label) AS label, avg(s) AS m FROM best WHERE rn <= 5 GROUP BY query_id)
 """
 )

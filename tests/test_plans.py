@@ -60,9 +60,26 @@ def test_float_blobs(spark, tmp_path):
         IO.read_f32(spark, str(tmp_path / "bad.f32")).collect()
 
 
-def test_limits_and_tables(spark):
+def test_limits_tables_and_export(spark, tmp_path):
     assert IO.within_batch_limit(spark.range(10), 10) and not IO.within_batch_limit(spark.range(11), 10)
-    assert "predictions" in DB.TABLES
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS store LOCATION '{tmp_path}/store'")
+    assert DB.create_tables(spark, "store") == DB.create_tables(spark, "store")
+    assert spark.table("store.predictions").count() == 0
+    mols = spark.createDataFrame([("K1", [1, 2]), ("K2", None)], "inchikey string, words array<bigint>")
+    assert [r.ref_id for r in DB.all_fingerprints(mols).collect()] == ["K1"]
+    spark.sql("DROP DATABASE store CASCADE")
+    IO.export(spark.createDataFrame([("K", 0.5, [1.0])], "key string, score double, v array<double>"), str(tmp_path / "x"), "v1")
+    r = spark.read.csv(str(tmp_path / "x"), header=True).first()
+    assert (r.key, r.model_version) == ("K", "v1") and "untrained" in r.caveat
+    over = spark.createDataFrame([("hia", 8, 1, 12.5)], "endpoint string, n_rows long, over_cap long, over_cap_pct double")
+    assert IO.over_cap_table(over).first().share == "12.500%"
+
+
+def test_command_line(capsys):
+    from molscreen.__main__ import main
+
+    main(["schema"])
+    assert json.loads(capsys.readouterr().out)["n_features"] == 33
 
 
 def test_stream_survives_a_replayed_batch(spark, tmp_path):
