@@ -22,8 +22,9 @@ def add_descriptors(perceived: DataFrame) -> DataFrame:
     """Add weight, donors, acceptors, rotatable bonds, rings and atom counts.
 
     Donors are N or O with hydrogen, acceptors N or O; a rotatable bond is a single
-    non-ring bond between two non-terminal atoms.  cLogP and TPSA need contribution tables
-    this package does not carry, so both are null, and so are the rules that use them.
+    non-ring bond between two non-terminal atoms.  ``tpsa`` is already there from the graph.
+    cLogP needs a contribution table this package does not carry, so it is null, and so is
+    the rule that uses it.
     """
     table = ", ".join(f"{WEIGHTS[i]}D" if i in WEIGHTS else "NULL" for i in range(max(WEIGHTS) + 1))
     weights = F.expr(f"array({table})")
@@ -45,7 +46,6 @@ def add_descriptors(perceived: DataFrame) -> DataFrame:
         hydrogens.alias("n_hydrogens"),
         (heavy + hydrogens * HYDROGEN_WEIGHT).alias("mol_weight"),
         F.lit(None).cast("double").alias("clogp"),
-        F.lit(None).cast("double").alias("tpsa"),
         _count(F.zip_with("number", "hs", lambda n, h: polar(n) & (h > 0))).alias("hbd"),
         _count(F.transform("number", polar)).alias("hba"),
         F.size(turns).alias("rotatable_bonds"),

@@ -26,6 +26,20 @@ WEIGHTS = {
     13: 26.982, 14: 28.085, 15: 30.974, 16: 32.06, 17: 35.45, 19: 39.098, 20: 40.078, 25: 54.938,
     26: 55.845, 29: 63.546, 30: 65.38, 33: 74.922, 34: 78.971, 35: 79.904, 53: 126.904, 78: 195.084,
 }
+# --- fixed values: polar surface contributions (Ertl, Rohde, Selzer 2000) by atomic number,
+# aromatic, charge, hydrogens, then single, double, triple and aromatic bonds to heavy atoms ---
+POLAR_SURFACE = {
+    (7, 0, 0, 0, 3, 0, 0, 0): 3.24, (7, 0, 0, 0, 1, 1, 0, 0): 12.36, (7, 0, 0, 0, 0, 0, 1, 0): 23.79,
+    (7, 0, 0, 0, 1, 2, 0, 0): 11.68, (7, 0, 0, 0, 0, 1, 1, 0): 13.60, (7, 0, 0, 1, 2, 0, 0, 0): 12.03,
+    (7, 0, 0, 1, 0, 1, 0, 0): 23.85, (7, 0, 0, 2, 1, 0, 0, 0): 26.02, (7, 0, 1, 0, 4, 0, 0, 0): 0.00,
+    (7, 0, 1, 0, 2, 1, 0, 0): 3.01, (7, 0, 1, 0, 1, 0, 1, 0): 4.36, (7, 0, 1, 1, 3, 0, 0, 0): 4.44,
+    (7, 0, 1, 1, 1, 1, 0, 0): 13.97, (7, 0, 1, 2, 2, 0, 0, 0): 16.61, (7, 0, 1, 2, 0, 1, 0, 0): 25.59,
+    (7, 0, 1, 3, 1, 0, 0, 0): 27.64, (7, 1, 0, 0, 0, 0, 0, 2): 12.89, (7, 1, 0, 0, 0, 0, 0, 3): 4.41,
+    (7, 1, 0, 0, 1, 0, 0, 2): 4.93, (7, 1, 0, 0, 0, 1, 0, 2): 8.39, (7, 1, 0, 1, 0, 0, 0, 2): 15.79,
+    (7, 1, 1, 0, 0, 0, 0, 3): 4.10, (7, 1, 1, 0, 1, 0, 0, 2): 3.88, (7, 1, 1, 1, 0, 0, 0, 2): 14.14,
+    (8, 0, 0, 0, 2, 0, 0, 0): 9.23, (8, 0, 0, 0, 0, 1, 0, 0): 17.07, (8, 0, 0, 1, 1, 0, 0, 0): 20.23,
+    (8, 0, -1, 0, 1, 0, 0, 0): 23.06, (8, 1, 0, 0, 0, 0, 0, 2): 13.14,
+}
 SINGLE, DOUBLE, TRIPLE, QUADRUPLE, AROMATIC = 1, 2, 3, 4, 5
 ELEMENT_CODES = {6: 0, 7: 1, 8: 2, 16: 3, 9: 4, 17: 5, 35: 6, 53: 7, 15: 8}
 SP, SP2, SP3, SP3D, SP3D2, UNKNOWN = range(6)
@@ -266,6 +280,22 @@ def hybridisation(g: Graphs) -> np.ndarray:
     return out
 
 
+def polar_surface(g: Graphs) -> np.ndarray:
+    """Topological polar surface area of each molecule from N and O contributions."""
+    kinds = np.where(np.isin(g.kind, (6, 7)), SINGLE, g.kind)
+    counts = np.zeros((g.n, 6), np.int64)
+    for end in (g.a, g.b):
+        np.add.at(counts, (end, kinds), 1)
+    at = g.atoms
+    columns = [at["number"], at["aromatic"], at["charge"], at["hs"], *counts[:, [SINGLE, DOUBLE, TRIPLE, AROMATIC]].T]
+    polar = np.flatnonzero(np.isin(at["number"], (7, 8)))
+    kind = np.stack([c[polar] for c in columns], axis=1)
+    area = np.zeros(len(polar))
+    for key, value in POLAR_SURFACE.items():
+        area[(kind == key).all(axis=1)] = value
+    return np.round(np.bincount(g.mol[polar], weights=area, minlength=g.n_mols), 2)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (multiply and shift), applied element by element."""
     x = x.astype(np.uint64)
@@ -372,7 +402,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
 PERCEIVED = (
     "struct<hs:array<int>,aromatic:array<boolean>,in_ring:array<boolean>,hyb:array<int>,degree:array<int>,"
     "element:array<int>,component:array<int>,core:array<boolean>,rank:array<int>,bond_kind:array<int>,"
-    "bond_in_ring:array<boolean>,n_components:int,cycle_rank:int,largest:int,words:array<bigint>>"
+    "bond_in_ring:array<boolean>,n_components:int,cycle_rank:int,largest:int,tpsa:double,words:array<bigint>>"
 )
 
 
@@ -421,6 +451,7 @@ def _perceive(*columns: pa.Array) -> pa.Array:
         "n_components": pa.array(n_comp, ints),
         "cycle_rank": pa.array(n_bonds - g.counts + n_comp, ints),
         "largest": pa.array(largest, ints),
+        "tpsa": pa.array(polar_surface(g), pa.float64()),
         "words": _lists(
             fingerprints(g, on_cycle).reshape(-1).view(np.int64), np.arange(g.n_mols + 1) * FP_WORDS, pa.int64()
         ),

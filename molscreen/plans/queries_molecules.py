@@ -130,7 +130,7 @@ def molecule_features(spark, sf_dir):
     f"""
     WITH {block_sql()}
     SELECT p_partkey, polar AS hba, free_h - 2 * links AS n_hydrogens, rings AS ring_count,
-      CAST(2 AS INT) AS unknown_rules FROM parts WHERE error_code IS NULL
+      CAST(1 AS INT) AS unknown_rules FROM parts WHERE error_code IS NULL
     """
 )
 def descriptors(spark, sf_dir):

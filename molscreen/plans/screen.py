@@ -84,7 +84,7 @@ def screen(
         .withColumn("raw_score", rank.triage_wide(F.col("values"), curves))
     )
     per_molecule = scored.select(
-        "mol_key", F.col("n_atoms").alias("heavy_atoms"), "mol_weight", "hbd", "hba", "rotatable_bonds", "ring_count",
+        "mol_key", F.col("n_atoms").alias("heavy_atoms"), "mol_weight", "tpsa", "hbd", "hba", "rotatable_bonds", "ring_count",
         "values", "similarity", "status",
         withhold(F.col("raw_score"), F.col("status")).alias("triage_score"),
         withhold_reason(F.col("status")).alias("withheld"), "cached",

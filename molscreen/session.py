@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # capturing call sites for error messages doubles the time to build large plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -190,8 +190,11 @@ def test_descriptors(spark):
     assert abs(aspirin.mol_weight - 180.159) < 0.01 and abs(hexane.mol_weight - 86.178) < 0.01
     assert (aspirin.hbd, aspirin.hba, aspirin.ring_count, aspirin.n_hydrogens) == (1, 4, 1, 8)
     assert (hexane.rotatable_bonds, hexane.hba) == (3, 0)
+    texts = ["CC(=O)Nc1ccc(O)cc1", "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "O=[N+]([O-])c1ccccc1", "c1cc[nH]c1", "N#CC[NH3+]"]
+    areas = [r.tpsa for r in G.perceive(parsed(spark, texts)).orderBy("id").collect()]
+    assert aspirin.tpsa == 63.6 and hexane.tpsa == 0.0 and areas == [49.33, 61.82, 43.14, 15.79, 51.43]
     rules = {r.rule: (r.passed, r.value) for r in aspirin.lipinski + aspirin.veber}
-    assert rules["HBA <= 10"] == (True, 4.0) and rules["cLogP <= 5"] == (None, None)
+    assert rules["HBA <= 10"] == (True, 4.0) and rules["TPSA <= 140"] == (True, 63.6) and rules["cLogP <= 5"] == (None, None)
 
 
 def test_attribution_is_per_atom(spark):
