@@ -201,7 +201,7 @@ m AS (
     CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines,
     CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
     CAST(length(regexp_replace(t, '[^a-z]', '', 'g')) AS BIGINT) AS n_lower,
-    CAST(len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS BIGINT) AS n_stutter
+    CAST(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS BIGINT) AS n_stutter
   FROM w LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)),
 f AS (
   SELECT *, CAST(

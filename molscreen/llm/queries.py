@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import quality_rules
+from molscreen.llm import mixing, quality_rules
 from molscreen.session import ship
 
 
@@ -19,7 +19,8 @@ def _shipped(fn):
 QUERIES = {
     name: _shipped(fn)
     for name, fn in {
+        "op9_mixing": mixing.query,
         "op10_quality_rules": quality_rules.query,
     }.items()
 }
-SQL = {"op10_quality_rules": quality_rules.SQL}
+SQL = {"op9_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
