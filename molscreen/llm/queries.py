@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import kd_shards, mixing, quality_rules
+from molscreen.llm import kd_shards, mixing, quality_rules, simhash
 from molscreen.session import ship
 
 
@@ -19,6 +19,7 @@ def _shipped(fn):
 QUERIES = {
     name: _shipped(fn)
     for name, fn in {
+        "op4_simhash": simhash.query,
         "op6_kd_shards": kd_shards.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality_rules.query,
