@@ -23,6 +23,7 @@ CELL_ROWS = 20_000
 ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
     "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
+    "array<binary>": pa.list_(pa.binary()),
 }
 
 

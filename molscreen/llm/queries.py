@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import kd_shards, mixing, quality_rules, simhash
+from molscreen.llm import kd_shards, mixing, packing, quality_rules, simhash
 from molscreen.session import ship
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     name: _shipped(fn)
     for name, fn in {
         "op4_simhash": simhash.query,
+        "op5_packing": packing.query,
         "op6_kd_shards": kd_shards.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality_rules.query,
