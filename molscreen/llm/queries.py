@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import kd_shards, mixing, packing, quality_rules, simhash
+from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, simhash
 from molscreen.session import ship
 
 
@@ -19,6 +19,7 @@ def _shipped(fn):
 QUERIES = {
     name: _shipped(fn)
     for name, fn in {
+        "op3_quality_model": quality_model.query,
         "op4_simhash": simhash.query,
         "op5_packing": packing.query,
         "op6_kd_shards": kd_shards.query,
