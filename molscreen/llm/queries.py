@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, simhash
+from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, rotated_codes, simhash
 from molscreen.session import ship
 
 
@@ -23,6 +23,7 @@ QUERIES = {
         "op4_simhash": simhash.query,
         "op5_packing": packing.query,
         "op6_kd_shards": kd_shards.query,
+        "op7_rotated_codes": rotated_codes.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality_rules.query,
     }.items()
