@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, rotated_codes, simhash
+from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, rotated_codes, simhash, url_filter
 from molscreen.session import ship
 
 
@@ -19,6 +19,7 @@ def _shipped(fn):
 QUERIES = {
     name: _shipped(fn)
     for name, fn in {
+        "op2_url_filter": url_filter.query,
         "op3_quality_model": quality_model.query,
         "op4_simhash": simhash.query,
         "op5_packing": packing.query,
@@ -28,4 +29,4 @@ QUERIES = {
         "op10_quality_rules": quality_rules.query,
     }.items()
 }
-SQL = {"op9_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
+SQL = {"op2_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
