@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, rotated_codes, simhash, url_filter
+from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, quotations, rotated_codes, simhash, url_filter
 from molscreen.session import ship
 
 
@@ -19,6 +19,7 @@ def _shipped(fn):
 QUERIES = {
     name: _shipped(fn)
     for name, fn in {
+        "op1_quotations": quotations.query,
         "op2_url_filter": url_filter.query,
         "op3_quality_model": quality_model.query,
         "op4_simhash": simhash.query,
@@ -29,4 +30,4 @@ QUERIES = {
         "op10_quality_rules": quality_rules.query,
     }.items()
 }
-SQL = {"op2_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
+SQL = {"op1_quotations": quotations.SQL, "op2_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
