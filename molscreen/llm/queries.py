@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, quotations, rotated_codes, simhash, url_filter
+from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, quotations, rotated_codes, simhash, token_counts, url_filter
 from molscreen.session import ship
 
 
@@ -26,6 +26,7 @@ QUERIES = {
         "op5_packing": packing.query,
         "op6_kd_shards": kd_shards.query,
         "op7_rotated_codes": rotated_codes.query,
+        "op8_token_counts": token_counts.query,
         "op9_mixing": mixing.query,
         "op10_quality_rules": quality_rules.query,
     }.items()
