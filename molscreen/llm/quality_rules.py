@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molscreen.llm.common import map_texts
+from molscreen.session import ship
 
 MEASURES = {
     "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint",
@@ -171,6 +172,7 @@ def ablation(entries: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
+    ship(spark)
     return ledger(docs).where(verdict()).select("row.*")
 
 

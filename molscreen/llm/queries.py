@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import corpus_pipeline
 from molscreen.llm import kd_shards, mixing, packing, quality_model, quality_rules, quotations, rotated_codes, simhash, token_counts, url_filter
 from molscreen.session import ship
 
@@ -28,6 +29,7 @@ QUERIES = {
         "op7_rotated_codes": rotated_codes.query,
         "op8_token_counts": token_counts.query,
         "op9_mixing": mixing.query,
+        "pipeline": corpus_pipeline.run,
         "op10_quality_rules": quality_rules.query,
     }.items()
 }
