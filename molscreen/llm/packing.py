@@ -18,13 +18,16 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from molscreen.llm.common import map_texts
 from molscreen.llm.ordering import range_sorted
@@ -32,39 +35,67 @@ from molscreen.session import materialise, ship
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker remembers at most; beyond it the memory starts anew.
-REMEMBERED = 500_000
-BLANK = str.maketrans({"\n": " "})
+#: Words whose ids a worker remembers at most, twice over: the recent ones and those before.
+REMEMBERED = 400_000
+#: Latin letters that lower-case one by one, then marks that the tokenizer splits off and never joins to letters.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?*$#%&|()]*)")
 
 
 class Encoder:
     """Token ids of whole texts as little-endian bytes.
 
     The tokenizer never joins across white space, so the ids of a text are those of its
-    blank-separated words, and each distinct word is encoded once.
+    blank-separated words, and words are remembered.  A new word of plain letters goes to the
+    tokenizer's merge model directly, with the byte letters that its own pre-tokenizer makes;
+    any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
-        new = list(words)
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.recent: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.letters: dict[str, str] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _letter(self, c: str) -> str:
+        if c not in self.letters:
+            self.letters[c] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0]
+        return self.letters[c]
+
+    def word(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if not plain:
+            return self._whole(word)
+        core, marks = plain.groups()
+        core = core.lower()
+        if not core.isascii():
+            core = "".join(map(self._letter, core))
+        if marks not in self.marks:
+            self.marks[marks] = self._whole(marks)
+        return array("I", [t.id for t in self.model.tokenize(core)]).tobytes() + self.marks[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").translate(BLANK).split(" ") for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self.learn(new)
-            if self.known is not known:  # the memory was emptied: this slice's words all at once
-                self.learn({w for words in split for w in words})
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if len(self.recent) > REMEMBERED:
+            self.before, self.recent = self.recent, {}
+        words: list[str] = []
+        ends = [0]
+        for t in texts:
+            words += (t or "").replace("\n", " ").split(" ")
+            ends.append(len(words))
+        got = list(map(self.recent.get, words))
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            w = words[i]
+            ids = self.recent.get(w)
+            if ids is None:
+                ids = self.before.get(w)
+                self.recent[w] = ids = self.word(w) if ids is None else ids
+            got[i] = ids
+        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
