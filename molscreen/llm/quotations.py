@@ -109,18 +109,20 @@ def links(parsed: DataFrame) -> DataFrame:
 def ancestors(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, root_conv, root_turn, depth) from unique (conv_id, turn, parent_conv, parent_turn).
 
-    Every round doubles the step, so a chain of n replies takes about log2(n) rounds.
+    Every round doubles the step, so a chain of n replies takes about log2(n) rounds, and only
+    messages whose root is not reached yet take part in a round.
     """
     up = F.coalesce("parent_conv", "conv_id").alias("root_conv"), F.coalesce("parent_turn", "turn").alias("root_turn")
-    now = materialise(parents.select("conv_id", "turn", *up, F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "ancestors")
-    before, total = None, now.agg(F.sum("depth")).first()[0]
-    while total != before:
-        before = total
-        step = now.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("root_conv").alias("_rc"), F.col("root_turn").alias("_rt"), F.col("depth").alias("_d"))
-        joined = now.join(step, (F.col("root_conv") == F.col("_c")) & (F.col("root_turn") == F.col("_t")))
-        now = materialise(joined.select("conv_id", "turn", F.col("_rc").alias("root_conv"), F.col("_rt").alias("root_turn"), (F.col("depth") + F.col("_d")).alias("depth")), "ancestors")
-        total = now.agg(F.sum("depth")).first()[0]
-    return now
+    replies = F.col("parent_turn").isNotNull()
+    now = materialise(parents.select("conv_id", "turn", *up, replies.cast("bigint").alias("depth"), replies.alias("open")), "ancestors")
+    while now.where("open").limit(1).count():
+        step = now.select(*[F.col(c).alias(f"_{c}") for c in now.columns])
+        same = (F.col("root_conv") == F.col("_conv_id")) & (F.col("root_turn") == F.col("_turn"))
+        moved = now.where("open").join(step, same).select(
+            "conv_id", "turn", F.col("_root_conv").alias("root_conv"), F.col("_root_turn").alias("root_turn"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_open").alias("open")
+        )
+        now = materialise(now.where("NOT open").unionByName(moved), "ancestors")
+    return now.drop("open")
 
 
 def threads(messages: DataFrame) -> DataFrame:
