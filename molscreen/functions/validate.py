@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from molscreen.schemas import BATCH_STATUSES, MAX_SMILES_LEN, TERMINAL_STATUSES
 
+# decimal or exponent form or infinity, blanks around; no type suffixes
+NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 KEY_PATTERN = "^[A-Z]{14}-[A-Z]{10}-[A-Z]\\z"  # fixed format: 14-10-1 upper case
 
 
@@ -55,8 +57,8 @@ def render_error(text: Column, position: Column, message: Column) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """Numeric coercion: text that is no number becomes null."""
-    return value.try_cast("double")
+    """Numeric coercion: text that is no number, and NaN, become null."""
+    return F.when(value.cast("string").rlike(NUMBER), value.try_cast("double"))
 
 
 def band(value: Column, low: Column, high: Column) -> Column:

@@ -34,6 +34,12 @@ def identity_key(df: DataFrame, key: str = "mol_key", structure: str = "canonica
     return F.when(all_keyed, F.col(key)).otherwise(F.col(structure))
 
 
+def known(df: DataFrame, label: str) -> Column:
+    """The label, or null where it is NaN: a missing measurement is no value of its own."""
+    numeric = df.schema[label].dataType.typeName() in ("double", "float")
+    return F.when(~F.isnan(label), F.col(label)) if numeric else F.col(label)
+
+
 def _representatives(first: list[str], row_index: str) -> list[Column]:
     # first non-null value in input order, independent of task order
     return [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(row_index))).alias(c) for c in first]
@@ -46,7 +52,7 @@ def dedup_mean(df: DataFrame, key: str, labels: list[str], first: list[str], row
         .groupBy(key)
         .agg(
             *_representatives(first, row_index),
-            *[F.avg(c).alias(c) for c in labels],
+            *[F.avg(known(df, c)).alias(c) for c in labels],
             F.count(F.lit(1)).alias("n_rows"),
         )
     )
@@ -58,7 +64,7 @@ def dedup_majority(df: DataFrame, key: str, labels: list[str], first: list[str],
     Two steps in one pass over the input: counts per (key, label, value), which reduces a
     hot key before it meets, then the vote.  Labels must share a type.
     """
-    votes = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("value")) for i, c in enumerate(labels)]))
+    votes = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), known(df, c).alias("value")) for i, c in enumerate(labels)]))
     counted = (
         df.where(F.col(key).isNotNull())
         .select(key, *({row_index, *first} - {key}), votes.alias("_v"))
@@ -107,16 +113,24 @@ def collapse_report(df: DataFrame, key: str) -> DataFrame:
 
 
 def label_conflicts(df: DataFrame, key: str, label: str, task: str) -> DataFrame:
-    """Rows of keys whose labels disagree: spread above 1e-9, or more than one class."""
+    """Rows of keys whose labels disagree: spread above 1e-9, or more than one class; NaN is no label.
+
+    ``in_key_order`` sorts them for a report.
+    """
     if task == "regression":
-        test = F.stddev_samp(label) > 1e-9
+        test = F.stddev_samp(known(df, label)) > 1e-9
     else:
         # one class only means lowest equals highest: no distinct set is built
-        test = F.min(label) != F.max(label)
+        test = F.min(known(df, label)) != F.max(known(df, label))
     bad = df.where(F.col(key).isNotNull()).groupBy(key).agg(test.alias("_bad")).where("_bad").select(key)
     return df.join(bad, key, "left_semi").select(key, label)
 
 
+def in_key_order(conflicts: DataFrame, key: str, label: str) -> DataFrame:
+    """Conflict rows as they are reported: by key, labels ascending."""
+    return conflicts.orderBy(F.col(key).asc_nulls_last(), F.col(label).asc_nulls_last())
+
+
 def duplicate_count(column: str) -> Column:
     """Repeats after the first occurrence; nulls count as equal to each other."""
     has_null = F.when(F.count_if(F.col(column).isNull()) > 0, 1).otherwise(0)
@@ -216,10 +230,10 @@ def drift_verdict(documented: DataFrame, profiles: DataFrame, by: str = "endpoin
     unique = F.col("n_rows") - F.col("duplicate_smiles")
     gap = unique - F.col("expected_n")
     verdict = (
-        F.when(F.col("n_rows").isNull() & F.col("duplicate_smiles").isNull(), "not in profile")
-        .when(unique.isNull(), "missing keys")
-        .when(gap == 0, "explained by duplicates")
-        .when(F.col("n_rows") == F.col("expected_n"), "no drift")
+        F.when(F.col("n_rows").isNull() & F.col("duplicate_smiles").isNull(), "unprofiled")
+        .when(unique.isNull(), "incomplete_profile")
+        .when(gap == 0, "duplicates")
+        .when(F.col("n_rows") == F.col("expected_n"), "equal")
         .otherwise("unexplained")
     )
     return joined.select(by, "expected_n", "n_rows", unique.alias("n_unique"), gap.alias("off_by"), verdict.alias("verdict"))
@@ -227,7 +241,7 @@ def drift_verdict(documented: DataFrame, profiles: DataFrame, by: str = "endpoin
 
 def drift_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(
-        F.count_if(F.col("verdict").isin("explained by duplicates", "no drift")).alias("explained"),
+        F.count_if(F.col("verdict").isin("duplicates", "equal")).alias("explained"),
         F.count_if(F.col("verdict") == "unexplained").alias("unexplained"),
     )
 

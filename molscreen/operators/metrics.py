@@ -23,9 +23,10 @@ def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks; null when a class is missing."""
     cum = running_sum(_score_counts(df, by, label, score), score, {"_neg": "_cn", "_pos": "_cp"}, by=by)
     # twice the pairs won, kept whole so that the sum is exact
-    won2 = F.sum(F.col("_pos") * (2 * (F.col("_cn") - F.col("_neg")) + F.col("_neg")))
+    big = lambda c: c.cast("decimal(38,0)")  # noqa: E731  pair counts outgrow 64 bits
+    won2 = F.sum(big(F.col("_pos")) * big(2 * (F.col("_cn") - F.col("_neg")) + F.col("_neg")))
     n_pos, n_neg = F.max("_cp_total"), F.max("_cn_total")
-    area = F.try_divide(won2.cast("double"), (2 * n_pos * n_neg).cast("double"))
+    area = F.try_divide(won2.cast("double"), (2.0 * big(n_pos).cast("double") * big(n_neg).cast("double")))
     return cum.groupBy(*by).agg(n_pos.alias("n_pos"), n_neg.alias("n_neg"), area.alias("auroc"))
 
 

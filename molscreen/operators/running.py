@@ -14,10 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cut points that one plan carries as literals.
+MOST_CUTS = 4096
+#: Rows that a range should hold at most; beyond it ranges are cut once more.
+RANGE_ROWS = 250_000
+
+
 def _range_count(df: DataFrame) -> int:
-    """Ranges to cut: a few per shuffle partition, at most 4096."""
+    """Ranges of the first level: a few per shuffle partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4096, 4 * parts))
+    return max(16, min(MOST_CUTS, 4 * parts))
 
 
 def _literals(values: list, kind: str) -> Column:
@@ -26,17 +32,34 @@ def _literals(values: list, kind: str) -> Column:
     return F.expr(f"CAST(array({items}) AS array<{kind}>)")
 
 
-def range_bucket(df: DataFrame, order: str, ranges: int | None = None) -> Column:
-    """Order-preserving range number of ``order`` from its own approximate quantiles.
+def with_ranges(df: DataFrame, order: str, ranges: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``_range``: order-preserving range number of ``order`` from its own approximate quantiles.
 
-    Only the cut points (at most 4096 numbers) come to the driver, and they go back into
-    the plan as literals.  Approximation moves the cuts, never a result.  Two short scans
-    (coarse, then fine) find a row's range.
+    Only the first level's cut points (at most MOST_CUTS numbers) and the row count come to the
+    driver; the cuts go back into the plan as literals.  Where ranges would exceed
+    ``range_rows`` rows, each is cut again by its own quantiles, which stay in a table, so the
+    number of ranges grows with the rows.  Approximation moves the cuts, never a result.
     """
     side = math.ceil(math.sqrt(ranges or _range_count(df)))
     total = side * side
     probs = [i / total for i in range(1, total)]
-    cuts = df.agg(F.percentile_approx(F.col(order), probs, max(1000, 4 * total))).first()[0] or []
+    cuts, rows = df.agg(F.percentile_approx(F.col(order), probs, max(1000, 4 * total)), F.count(F.lit(1))).first()
+    first = df.withColumn("_range", _first_level(df, order, cuts or [], side).cast("bigint"))
+    more = math.ceil(rows / (total * range_rows))
+    if more <= 1:
+        return first
+    more = min(MOST_CUTS, more)
+    fine = first.groupBy(F.col("_range").alias("_first")).agg(
+        F.percentile_approx(F.col(order), [i / more for i in range(1, more)], 4 * more).alias("_cuts")
+    )
+    # at most MOST_CUTS rows; adaptive execution broadcasts them where they are small
+    joined = first.join(fine, F.col("_range") == F.col("_first"))
+    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
+    return joined.withColumn("_range", F.col("_range") * more + F.greatest(below, F.lit(0))).drop("_first", "_cuts")
+
+
+def _first_level(df: DataFrame, order: str, cuts: list, side: int) -> Column:
+    """Two short scans (coarse, then fine) find a row's range."""
     kind = df.schema[order].dataType.simpleString()
     fine, coarse = _literals(cuts, kind), _literals(cuts[side - 1 :: side], kind)
     value = F.col(order)
@@ -45,9 +68,10 @@ def range_bucket(df: DataFrame, order: str, ranges: int | None = None) -> Column
     return F.when(value.isNull(), -1).otherwise(big * side + small)
 
 
-def hash_bucket(order: str, bits: int, range_bits: int = 12) -> Column:
-    """Order-preserving range number of a uniform hash in [0, 2^bits)."""
-    return F.shiftright(F.col(order), bits - range_bits).cast("int")
+def hash_bucket(order: str, bits: int, rows: int) -> Column:
+    """Order-preserving range number of a uniform hash in [0, 2^bits), about RANGE_ROWS rows each."""
+    range_bits = min(bits, 31, max(6, math.ceil(math.log2(max(1, rows) / RANGE_ROWS + 1)) + 2))
+    return F.shiftright(F.col(order), bits - range_bits).cast("bigint")
 
 
 def running_sum(
@@ -66,7 +90,7 @@ def running_sum(
     nearly so: aggregate equal values first, so that no range holds a hot value.
     """
     by, ties = by or [], ties or []
-    ranged = df.withColumn("_range", bucket if bucket is not None else range_bucket(df, order))
+    ranged = df.withColumn("_range", bucket) if bucket is not None else with_ranges(df, order)
     # one struct key serves the join and the window, and treats null groups as equal
     marked = ranged.withColumn("_cell", F.struct(*by, "_range")) if by else ranged.withColumn("_cell", F.col("_range"))
     direction = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())

@@ -29,7 +29,8 @@ ATOMIC_NUMBER = {s: i + 1 for i, s in enumerate(SYMBOLS)}
 ORGANIC = "Cl|Br|[BCNOPSFI]|[bcnops]"
 BOND = r"[-=#$:/\\]"
 TOKEN = rf"{BOND}?(?:\[[^\[\]]*\]|{ORGANIC}|%[0-9]{{2}}|[0-9])|."
-BRACKET = r"^\[([0-9]*)([A-Z][a-z]?|[bcnops]|se|as)(@{0,2})(H[0-9]*)?([+-][0-9]+|\++|-+)?(:[0-9]+)?\]$"
+# numbers of more than nine digits are no valid bracket
+BRACKET = r"^\[([0-9]{0,9})([A-Z][a-z]?|[bcnops]|se|as)(@{0,2})(H[0-9]{0,9})?([+-][0-9]{1,9}|\++|-+)?(:[0-9]+)?\]$"
 
 IMPLICIT = -1  # hydrogen count still to be derived from the valence
 
@@ -84,18 +85,21 @@ def reconcile(opened: Column, closed: Column) -> Column:
 def _charge(text: Column) -> Column:
     sign = F.when(text.startswith("-"), -1).otherwise(1)
     digits = F.regexp_extract(text, "([0-9]+)", 1)
-    size = F.when(digits != "", F.try_to_number(digits, F.lit("999999")).cast("int")).otherwise(F.length(text))
+    size = F.when(digits != "", digits.try_cast("int")).otherwise(F.length(text))
     return F.when(text == "", 0).otherwise(sign * size)
 
 
 def tokens(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
     """One row per token with kind, depth, atom number and the atom it attaches to.
 
-    Input that fails validation keeps one row without a token.
+    A molecule is known by its id and a digest of its text, so ids that repeat over files do
+    not mix; rows equal in both are one molecule.  Input that fails validation keeps one row
+    without a token.
     """
-    placed = df.select(F.col(mol_id).alias("mol"), F.col(smiles).alias("smiles"))
+    placed = df.select(F.col(mol_id).alias("id"), F.col(smiles).alias("smiles"))
     # a fixed count: adaptive execution would merge these small rows into few tasks
-    placed = placed.repartition(work_partitions(df.sparkSession), "mol")
+    placed = placed.repartition(work_partitions(df.sparkSession), "id").dropDuplicates(["id", "smiles"])
+    placed = placed.select(F.struct("id", F.xxhash64("smiles").alias("digest")).alias("mol"), "smiles")
     text = F.col("smiles")
     checked = placed.withColumn("bad_input", input_error(text))
     found = F.when(F.col("bad_input").isNull(), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
@@ -184,7 +188,7 @@ def _token_error(t: DataFrame) -> DataFrame:
 
 
 def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
-    """One row per molecule: atom and bond columns as arrays, or an error code.
+    """One row per distinct (id, text): atom and bond columns as arrays, or an error code.
 
     ``position`` is null for errors that belong to no single character.  Atom and bond
     order is input order; each bond is listed once, with the place of each end among its
@@ -261,7 +265,7 @@ def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
     columns = ["number", "aromatic", "charge", "hs", "isotope", "chirality"]
     bond_columns = ["a", "b", "kind", "order_a", "order_b"]
     return out.select(
-        F.col("mol").alias(mol_id),
+        F.col("mol.id").alias(mol_id),
         F.col("smiles").alias(smiles) if smiles != mol_id else F.col("smiles").alias("_smiles"),
         F.when(ok, n_atoms).alias("n_atoms"),
         F.when(ok, F.size("bonds")).alias("n_bonds"),

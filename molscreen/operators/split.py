@@ -51,8 +51,8 @@ def assign_groups(
     quotas = df.sparkSession.createDataFrame(
         fill_quotas(classes, fractions) or [(0, 0, 0)], "n bigint, to_train bigint, to_val bigint"
     )
-    # same sqrt(2N) bound as above
-    ordered = sizes.join(F.broadcast(quotas), "n").withColumn(
+    # adaptive execution broadcasts the quotas where their measured size allows
+    ordered = sizes.join(quotas, "n").withColumn(
         "_h", seeded_hash(F.col(group), seed)
     )
     ranked = running_sum(
@@ -61,7 +61,7 @@ def assign_groups(
         {"_one": "_rank"},
         by=["n"],
         ties=[group],
-        bucket=hash_bucket("_h", bits=60),
+        bucket=hash_bucket("_h", 60, sum(c for _, c in classes)),
     )
     split = (
         F.when(F.col("_rank") <= F.col("to_train"), "train")

@@ -164,14 +164,9 @@ def progress_by_index(rows: DataFrame, batch: str, row_index: str, failed: str,
     steps = rows.groupBy(batch, step.alias("checkpoint")).agg(
         F.count(F.lit(1)).alias("rows_in_step"), F.count_if(F.col(failed)).alias("failed_in_step")
     )
-    so_far = Window.partitionBy(batch).orderBy("checkpoint").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(
-        batch,
-        "checkpoint",
-        "rows_in_step",
-        F.sum("rows_in_step").over(so_far).alias("rows_done"),
-        F.sum("failed_in_step").over(so_far).alias("rows_failed"),
-    )
+    # ranges of checkpoints are summed first, so one huge batch is not one window partition
+    sums = running_sum(steps, "checkpoint", {"rows_in_step": "rows_done", "failed_in_step": "rows_failed"}, by=[batch])
+    return sums.select(batch, "checkpoint", "rows_in_step", "rows_done", "rows_failed")
 
 
 def compare_with_reference(

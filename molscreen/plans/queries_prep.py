@@ -348,7 +348,7 @@ _DRIFT_SQL = """
     doc AS (SELECT source, CASE CAST(substr(source, 4) AS INT) % 3 WHEN 0 THEN u WHEN 1 THEN n ELSE u + 5 END AS e FROM prof
             UNION ALL SELECT 'absent', 10),
     v AS (SELECT d.source, d.e AS expected_n, p.n AS n_rows, p.u AS n_unique, p.u - d.e AS off_by,
-      CASE WHEN p.n IS NULL THEN 'not in profile' WHEN p.u = d.e THEN 'explained by duplicates' WHEN p.n = d.e THEN 'no drift'
+      CASE WHEN p.n IS NULL THEN 'unprofiled' WHEN p.u = d.e THEN 'duplicates' WHEN p.n = d.e THEN 'equal'
            ELSE 'unexplained' END AS verdict FROM doc d LEFT JOIN prof p ON p.source = d.source)
 """
 
@@ -373,7 +373,7 @@ def drift_check(spark, sf_dir):
 
 @query(
     _DRIFT_SQL
-    + """SELECT count(*) FILTER (WHERE verdict IN ('explained by duplicates', 'no drift')) AS explained,
+    + """SELECT count(*) FILTER (WHERE verdict IN ('duplicates', 'equal')) AS explained,
          count(*) FILTER (WHERE verdict = 'unexplained') AS unexplained FROM v"""
 )
 def drift_summary(spark, sf_dir):

@@ -21,8 +21,8 @@ def identify(rows: DataFrame, column: str) -> DataFrame:
     Duplicates collapse before any parsing, on both sides of the shuffle, so a text that
     fills a third of the table costs as much as any other.
     """
-    distinct = rows.select(F.col(column).alias("smiles")).distinct()
-    keyed = canonical.canonicalise(molgraph.perceive(smiles.parse(distinct, "smiles", "smiles")))
+    distinct = rows.select(F.col(column).alias("smiles")).distinct().select(F.md5("smiles").alias("_digest"), "smiles")
+    keyed = canonical.canonicalise(molgraph.perceive(smiles.parse(distinct, "_digest", "smiles")))
     return keyed.select("smiles", "canonical_smiles", "mol_key", "had_salts", "error_code", "position")
 
 
@@ -56,7 +56,9 @@ def screen(
     identified = materialise(identify(rows, structure), "identified")
     mols = molecules(identified)
     if stored is not None:
-        known = stored.where(F.col("model_version") == model_version).select("mol_key", F.col("outputs").alias("_known"))
+        current = stored.where(F.col("model_version") == model_version)
+        # rows stored twice count once, the later spelling of the array deciding
+        known = current.groupBy("mol_key").agg(F.max("outputs").alias("_known"))
         mols = mols.join(known, "mol_key", "left")
     else:
         mols = mols.withColumn("_known", F.lit(None).cast("array<double>"))

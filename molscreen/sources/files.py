@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molscreen.operators.clean import require_columns
-from molscreen.schemas import ENDPOINTS, MAX_BATCH_ROWS, MAX_HEAVY_ATOMS, RAW_SCHEMA, SPLIT_SEEDS
+from molscreen.schemas import ENDPOINTS, MAX_HEAVY_ATOMS, RAW_SCHEMA, SPLIT_SEEDS
 
 SPLITS = ("train_val", "test")
 
@@ -144,8 +144,8 @@ def write_f32(values, path: str) -> None:
     np.asarray(values, "<f4").tofile(path)
 
 
-def within_batch_limit(rows: DataFrame, limit: int = MAX_BATCH_ROWS) -> bool:
-    """Whether an upload has at most ``limit`` rows; reads no more than one row past it."""
+def within_batch_limit(rows: DataFrame, limit: int) -> bool:
+    """Whether an upload has at most the caller's ``limit`` rows; reads no more than one row past it."""
     return rows.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
@@ -159,8 +159,12 @@ CAVEAT = "Outputs of an untrained model; not predictions."
 
 
 def export(results: DataFrame, path: str, model_version: str) -> None:
-    """Ranked results as CSV, with the model version and the caveat on every row."""
-    flat = [c for c, t in results.dtypes if not t.startswith(("array", "struct", "map"))]
+    """Ranked results as CSV, with the model version and the caveat on every row.
+
+    Arrays, structs and maps, the endpoint values among them, become JSON text.
+    """
+    nested = {c for c, t in results.dtypes if t.startswith(("array", "struct", "map"))}
+    flat = [F.to_json(c).alias(c) if c in nested else F.col(c) for c in results.columns]
     stamped = results.select(*flat, F.lit(model_version).alias("model_version"), F.lit(CAVEAT).alias("caveat"))
     write_csv(stamped, path)
 

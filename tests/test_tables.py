@@ -107,7 +107,7 @@ def test_drift_order_is_unique_first(spark):
     doc = spark.createDataFrame([("a", 8), ("b", 10), ("c", 7), ("d", 1)], "endpoint string, expected_n long")
     prof = spark.createDataFrame([("a", 10, 2), ("b", 10, 2), ("c", 10, 2)], "endpoint string, n_rows long, duplicate_smiles long")
     got = {r.endpoint: (r.verdict, r.off_by) for r in C.drift_verdict(doc, prof).collect()}
-    assert got == {"a": ("explained by duplicates", 0), "b": ("no drift", -2), "c": ("unexplained", 1), "d": ("not in profile", None)}
+    assert got == {"a": ("duplicates", 0), "b": ("equal", -2), "c": ("unexplained", 1), "d": ("unprofiled", None)}
 
 
 def greedy(sizes, fractions):
