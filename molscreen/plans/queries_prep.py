@@ -110,11 +110,15 @@ def status_values(spark, sf_dir):
 
 @query(
     """
-    SELECT event_id, TRY_CAST(CASE WHEN event_id % 6 = 0 THEN props ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS y FROM events
+    SELECT event_id, CASE event_id % 9 WHEN 1 THEN 1000.0 WHEN 2 THEN -0.5 WHEN 3 THEN 7.0 WHEN 4 THEN 'inf'::DOUBLE
+      WHEN 0 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE value END AS y FROM events
     """
 )
 def numeric_coercion(spark, sf_dir):
-    text = F.when(F.col("event_id") % 6 == 0, F.col("props")).otherwise(F.col("value").cast("string"))
+    """Numbers in all their spellings; other text, type suffixes and NaN are missing."""
+    kind, text = F.col("event_id") % 9, F.col("value").cast("string")
+    for i, other in enumerate([F.col("props"), " 1e3 ", "-.5", "7.", "inf", "nan", "1d", "1f"]):
+        text = F.when(kind == i, other).otherwise(text)
     return read(spark, sf_dir, "events").select("event_id", V.to_number(text).alias("y"))
 
 
@@ -217,6 +221,23 @@ def conflict_class(spark, sf_dir):
     return C.label_conflicts(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linestatus", "binary")
 
 
+@query(
+    """
+    WITH r AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey % 2 AS DOUBLE) ELSE NULL END AS y, o_orderkey FROM orders
+      UNION ALL SELECT o_custkey, 2.0, -1 FROM orders WHERE o_orderkey % 11 = 0)
+    SELECT o_custkey, count(*) AS n_rows, count(y) AS n_known FROM r
+    WHERE o_custkey IN (SELECT o_custkey FROM r GROUP BY o_custkey HAVING count(DISTINCT y) > 1) GROUP BY o_custkey
+    """
+)
+def conflict_missing(spark, sf_dir):
+    """Labels that are NaN neither agree nor disagree with others."""
+    o = read(spark, sf_dir, "orders")
+    y = F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_custkey") % 2).cast("double")).otherwise(float("nan"))
+    rows = o.select("o_custkey", y.alias("y")).unionByName(o.where("o_orderkey % 11 = 0").select("o_custkey", F.lit(2.0).alias("y")))
+    found = C.label_conflicts(rows, "o_custkey", "y", "binary")
+    return found.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.isnan("y")).alias("n_known"))
+
+
 @query("SELECT count(*) AS n_rows, count(DISTINCT text) AS n_unique, count(*) - count(DISTINCT text) AS n_merged FROM documents")
 def collapse_report(spark, sf_dir):
     return C.collapse_report(read(spark, sf_dir, "documents"), "text")

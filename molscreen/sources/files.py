@@ -14,9 +14,12 @@ from molscreen.schemas import ENDPOINTS, MAX_HEAVY_ATOMS, RAW_SCHEMA, SPLIT_SEED
 SPLITS = ("train_val", "test")
 
 
-def read_csv(spark: SparkSession, path, schema=RAW_SCHEMA) -> DataFrame:
-    """Headed CSV (plain or gzipped) with a fixed schema; no inference scan."""
-    return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", escape='"')
+def read_csv(spark: SparkSession, path, schema=RAW_SCHEMA, line_breaks: bool = False) -> DataFrame:
+    """Headed CSV (plain or gzipped) with a fixed schema; no inference scan.
+
+    Files with line breaks inside quotes cannot be split, so they are asked for by name.
+    """
+    return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", escape='"', multiLine=line_breaks)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,8 +34,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_endpoints(spark: SparkSession, root: str, codes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, missing): all split files of all endpoints in one scan.
 
-    Files are ``<root>/<endpoint>_<split>.csv``.  A missing file is reported, not fatal.
-    Endpoint and split come from the file name.
+    Files, or folders of part files, are ``<root>/<endpoint>_<split>.csv``.  A missing one is
+    reported, not fatal.  Endpoint and split come from that name.
     """
     names = [(c, s, f"{root}/{c}_{s}.csv") for c in (codes or [e[0] for e in ENDPOINTS]) for s in SPLITS]
     found = [n for n in names if exists(spark, n[2])]
@@ -40,8 +43,9 @@ def read_endpoints(spark: SparkSession, root: str, codes: list[str] | None = Non
     if not found:
         empty = spark.createDataFrame([], RAW_SCHEMA)
         return empty.withColumns({"endpoint": F.lit(""), "split": F.lit("")}), missing
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_(train_val|test)\.csv", 1)
-    split = F.regexp_extract(F.col("_metadata.file_name"), r"_(train_val|test)\.csv", 1)
+    place = r"([^/]*)_(train_val|test)\.csv(?:/[^/]*)?$"
+    name = F.regexp_extract(F.col("_metadata.file_path"), place, 1)
+    split = F.regexp_extract(F.col("_metadata.file_path"), place, 2)
     rows = read_csv(spark, [n[2] for n in found]).select("*", name.alias("endpoint"), split.alias("split"))
     return rows, missing
 
@@ -76,7 +80,8 @@ def count_rows(spark: SparkSession, path: str) -> int:
 
 
 def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer = df.write.mode("overwrite").options(header=True, escape='"', **keep)
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
