@@ -18,6 +18,7 @@ from molscreen.operators.molgraph import (
     canonical_ranks,
     invariants,
 )
+from molscreen.operators.labels import add_key
 from molscreen.operators.smiles import SYMBOLS
 from molscreen.session import opaque
 
@@ -176,12 +177,13 @@ class _Batch:
         self.sided[g.mol[g.a[np.isin(g.kind, (6, 7))]]] = True
         self.classes = _classes(flat).tolist() if self.marked.any() or self.sided.any() else None
         # unmarked molecules with equal code are equal: atoms by rank, then bonds by rank
-        code = invariants(flat)[self.starts].astype("<i8")
+        columns = [flat.atoms[c] for c in ("number", "charge", "hs", "aromatic", "isotope")]
+        code = np.stack(columns, axis=1)[self.starts].astype("<i8")
         lo, hi = np.minimum(rank[g.a], rank[g.b]), np.maximum(rank[g.a], rank[g.b])
-        bond_code = ((lo * 256 + hi) * 8 + bare).astype("<i8")
         bond_mol = g.mol[g.a]
         self.bond_at = np.searchsorted(bond_mol, np.arange(g.n_mols + 1)).tolist()
-        self.codes, self.bond_codes = code, bond_code[np.lexsort((bond_code, bond_mol))]
+        self.codes = code
+        self.bond_codes = np.stack([lo, hi, bare], axis=1)[np.lexsort((bare, hi, lo, bond_mol))].astype("<i8")
 
     def texts(self) -> list[tuple[str, str, str]]:
         """(canonical, constitution only, double-bond sides) per molecule."""
@@ -251,7 +253,7 @@ class _Batch:
         return 0
 
 
-CANONICAL = "struct<smiles:string,plain:string,sides:string,scaffold:string>"
+CANONICAL = "struct<smiles:string,scaffold:string>"
 
 
 def _canonical(*columns: pa.Array) -> pa.Array:
@@ -266,26 +268,11 @@ def _canonical(*columns: pa.Array) -> pa.Array:
         sub, _ = g.subset(mask)
         return _Batch(sub, orders[:, mask[g.a] & mask[g.b]]).texts()
 
-    smiles, plain, sides = zip(*texts(keep))
+    smiles = [t[0] for t in texts(keep)]
     # side chains gone, a stereo mark no longer has its neighbours: constitution only
     frame = [t[1] for t in texts(keep & (flat(in_core) > 0))]
-    fields = [pa.array(list(t), pa.string()) for t in (smiles, plain, sides, frame)]
-    return pa.StructArray.from_arrays(fields, ["smiles", "plain", "sides", "scaffold"])
-
-
-def letters(text: Column) -> Column:
-    """SHA-256 of a text as upper-case letters (digits map to G..P)."""
-    return F.translate(F.upper(F.sha2(text, 256)), "0123456789", "GHIJKLMNOP")
-
-
-def molecule_key(plain: Column, smiles: Column, sides: Column) -> Column:
-    """27-character identity key of the usual 14-10-1 shape.
-
-    A hash of the canonical text, not a standard InChIKey, hence the other name.  The first
-    block depends on constitution only, so stereoisomers share it.
-    """
-    detail = letters(F.concat(smiles, F.lit("|"), sides))
-    return F.concat(F.substring(letters(plain), 1, 14), F.lit("-"), F.substring(detail, 1, 10), F.lit("-N"))
+    fields = [pa.array(t, pa.string()) for t in (smiles, frame)]
+    return pa.StructArray.from_arrays(fields, ["smiles", "scaffold"])
 
 
 def canonicalise(perceived: DataFrame) -> DataFrame:
@@ -298,14 +285,14 @@ def canonicalise(perceived: DataFrame) -> DataFrame:
     ints, bools = F.array().cast("array<int>"), F.array().cast("array<boolean>")
     names = [*ATOM_COLUMNS, "bond_a", "bond_b", "bond_kind", "bond_order_a", "bond_order_b", "component"]
     cols = [F.coalesce(F.col(c), bools if c == "aromatic" else ints) for c in names]
-    out = perceived.withColumn("_c", udf(*cols, F.coalesce("largest", F.lit(0)), F.coalesce("core", bools)))
+    out = add_key(perceived).withColumn("_c", udf(*cols, F.coalesce("largest", F.lit(0)), F.coalesce("core", bools)))
     ok = F.col("error_code").isNull()
     part = lambda f: F.col("_c")[f]
     kept = F.filter("component", lambda c: c == F.col("largest"))
     return out.select(
         *perceived.columns,
         F.when(ok, part("smiles")).alias("canonical_smiles"),
-        F.when(ok, molecule_key(part("plain"), part("smiles"), part("sides"))).alias("mol_key"),
+        "mol_key",
         F.when(ok, part("scaffold")).alias("scaffold"),
         F.when(ok, F.size(kept)).alias("heavy_atoms"),
         F.when(ok, F.col("n_components") > 1).alias("had_salts"),

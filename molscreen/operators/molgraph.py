@@ -310,12 +310,10 @@ def invariants(g: Graphs, on_cycle: np.ndarray | None = None) -> np.ndarray:
     if on_cycle is not None:
         for end in (g.a, g.b):
             ring[end[on_cycle]] = 1
-    code = np.zeros(g.n, np.int64)
-    for col, size in (
-        (g.atoms["number"], 128), (g.degree(), 16), (g.atoms["charge"] + 16, 32), (g.atoms["hs"] + 1, 16),
-        (g.atoms["aromatic"], 2), (ring, 2), (g.atoms["isotope"], 512),
-    ):
-        code = code * size + np.clip(col, 0, size - 1)
+    code = np.zeros(g.n, np.uint64)
+    for name in ("number", "charge", "hs", "aromatic", "isotope"):
+        code = _mix(code * np.uint64(31) + g.atoms[name].astype(np.uint64))
+    code = _mix(_mix(code * np.uint64(31) + g.degree().astype(np.uint64)) * np.uint64(31) + ring.astype(np.uint64)).view(np.int64)
     return code
 
 
@@ -401,7 +399,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 PERCEIVED = (
     "struct<hs:array<int>,aromatic:array<boolean>,in_ring:array<boolean>,hyb:array<int>,degree:array<int>,"
-    "element:array<int>,component:array<int>,core:array<boolean>,rank:array<int>,bond_kind:array<int>,"
+    "element:array<int>,component:array<int>,core:array<boolean>,bond_kind:array<int>,"
     "bond_in_ring:array<boolean>,n_components:int,cycle_rank:int,largest:int,tpsa:double,words:array<bigint>>"
 )
 
@@ -445,7 +443,6 @@ def _perceive(*columns: pa.Array) -> pa.Array:
         "element": _lists(element, g.first, ints),
         "component": _lists(local_root, g.first, ints),
         "core": _lists(core_atom, g.first, bools),
-        "rank": _lists(canonical_ranks(g, on_cycle), g.first, ints),
         "bond_kind": _lists(g.kind, bond_at, ints),
         "bond_in_ring": _lists(on_cycle, bond_at, bools),
         "n_components": pa.array(n_comp, ints),
@@ -463,7 +460,7 @@ def perceive(parsed: DataFrame) -> DataFrame:
     """Parsed molecules with everything their graph implies.
 
     Adds hydrogens, aromaticity, ring membership, hybridisation, components, scaffold mask
-    (``core``), canonical ranks and a 2048-bit circular fingerprint.  Failed molecules keep
+    (``core``) and a 2048-bit circular fingerprint.  Failed molecules keep
     their error and have nulls.
     """
     graph = opaque(_perceive, PERCEIVED)

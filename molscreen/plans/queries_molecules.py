@@ -34,6 +34,13 @@ def _parsed(spark, sf_dir):
     return S.parse(block_molecules(spark, sf_dir), "p_partkey", "smiles")
 
 
+def _canonical(rows, row_id: str):
+    """``rows`` (row_id, smiles) with their identity: every distinct text is read once, under a digest."""
+    texts = rows.select(F.md5("smiles").alias("_digest"), "smiles").distinct()
+    keys = K.canonicalise(G.perceive(S.parse(texts, "_digest", "smiles"))).drop("smiles")
+    return rows.select(row_id, "smiles", F.md5("smiles").alias("_digest")).join(keys, "_digest").drop("_digest")
+
+
 def _perceived(spark, sf_dir):
     return G.perceive(_parsed(spark, sf_dir))
 
@@ -151,7 +158,7 @@ def descriptors(spark, sf_dir):
 def molecule_identity(spark, sf_dir):
     """One identity key per molecule, however it is spelled: grouped by key, not by class."""
     rows = spelled_molecules(spark, sf_dir)
-    keys = K.canonicalise(G.perceive(S.parse(rows.select("o_orderkey", "smiles"), "o_orderkey", "smiles")))
+    keys = _canonical(rows, "o_orderkey")
     joined = rows.select("o_orderkey", "class").join(keys, "o_orderkey")
     return joined.groupBy("mol_key").agg(
         F.min("class").alias("lowest"), F.max("class").alias("highest"), F.count(F.lit(1)).alias("n_rows"),
@@ -167,11 +174,9 @@ def molecule_identity(spark, sf_dir):
 def canonical_round_trip(spark, sf_dir):
     """Canonical text parsed and written again is byte-identical."""
     rows = spelled_molecules(spark, sf_dir).select("o_orderkey", "smiles")
-    once = K.canonicalise(G.perceive(S.parse(rows, "o_orderkey", "smiles")))
+    once = _canonical(rows, "o_orderkey")
     text = materialise(once.select("o_orderkey", "mol_key", F.col("canonical_smiles").alias("first")), "canonical")
-    twice = K.canonicalise(
-        G.perceive(S.parse(text.select("o_orderkey", F.col("first").alias("smiles")), "o_orderkey", "smiles"))
-    )
+    twice = _canonical(text.select("o_orderkey", F.col("first").alias("smiles")), "o_orderkey")
     j = text.join(twice.select("o_orderkey", "canonical_smiles"), "o_orderkey")
     return j.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("first") == F.col("canonical_smiles")).alias("stable"),
@@ -189,7 +194,7 @@ def canonical_round_trip(spark, sf_dir):
 )
 def scaffold_groups(spark, sf_dir):
     """Molecules per scaffold; acyclic molecules share one group."""
-    m = K.canonicalise(_perceived(spark, sf_dir)).where(F.col("error_code").isNull())
+    m = _canonical(block_molecules(spark, sf_dir), "p_partkey").where(F.col("error_code").isNull())
     size = F.size(F.filter("core", lambda v: v))
     return m.groupBy("scaffold").agg(
         F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("n_rows"), F.max(size).alias("scaffold_atoms")
@@ -199,7 +204,7 @@ def scaffold_groups(spark, sf_dir):
 @query(f"WITH {block_sql()} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS spanning FROM parts WHERE error_code IS NULL")
 def scaffold_split(spark, sf_dir):
     """Split by scaffold: no scaffold on two sides, no row lost."""
-    m = K.canonicalise(_perceived(spark, sf_dir)).where(F.col("error_code").isNull()).select("p_partkey", "scaffold")
+    m = _canonical(block_molecules(spark, sf_dir), "p_partkey").where(F.col("error_code").isNull()).select("p_partkey", "scaffold")
     m = materialise(m, "scaffolds")  # the split reads its input three times
     rows = P.group_split(m, "scaffold", (0.6, 0.2, 0.2), seed=7)
     per = rows.groupBy("scaffold").agg(F.count(F.lit(1)).alias("n"), (F.min("split") != F.max("split")).alias("span"))
@@ -216,7 +221,7 @@ def scaffold_split(spark, sf_dir):
 def clean_molecules(spark, sf_dir):
     """The whole cleaning path on structures: parse, strip, key, collapse, vote."""
     rows = spelled_molecules(spark, sf_dir)
-    keys = K.canonicalise(G.perceive(S.parse(rows.select("o_orderkey", "smiles"), "o_orderkey", "smiles")))
+    keys = _canonical(rows, "o_orderkey")
     # read three times below: stored once instead of parsed three times
     keys = materialise(keys.select("o_orderkey", "canonical_smiles", "mol_key", "heavy_atoms"), "keys")
     labelled = keys.join(rows.select("o_orderkey", (F.col("class") % 2).alias("label")), "o_orderkey")

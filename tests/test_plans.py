@@ -69,6 +69,7 @@ def test_limits_tables_and_export(spark, tmp_path):
     assert [r.ref_id for r in DB.all_fingerprints(mols).collect()] == ["K1"]
     spark.sql("DROP DATABASE store CASCADE")
     IO.export(spark.createDataFrame([("K", 0.5, [1.0])], "key string, score double, v array<double>"), str(tmp_path / "x"), "v1")
+    assert spark.read.csv(str(tmp_path / "x"), header=True, escape=chr(34)).first()["v"] == "[1.0]"
     r = spark.read.csv(str(tmp_path / "x"), header=True).first()
     assert (r.key, r.model_version) == ("K", "v1") and "untrained" in r.caveat
     over = spark.createDataFrame([("hia", 8, 1, 12.5)], "endpoint string, n_rows long, over_cap long, over_cap_pct double")

@@ -185,3 +185,34 @@ def test_metrics_against_pandas(spark):
     seeds = spark.createDataFrame([("e", v) for v in (0.1, 0.2, 0.4)], "g string, m double")
     r = M.seed_summary(seeds, ["g"], "m").first()
     assert np.isclose(r.sd, statistics.stdev([0.1, 0.2, 0.4])) and r.n_seeds == 3
+
+
+def test_ranges_are_cut_again_where_they_hold_many_rows(spark):
+    from molscreen.operators.running import with_ranges
+
+    df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("v")).unionByName(spark.range(1).select(F.lit(None).cast("bigint").alias("v")))
+    rows = with_ranges(df, "v", ranges=16, range_rows=20).collect()
+    ordered = [r["_range"] for r in sorted(rows, key=lambda r: (r["v"] is not None, r["v"]))]
+    assert len(rows) == 5001 and ordered == sorted(ordered)
+    assert len(set(ordered)) > 150
+
+
+def test_nan_is_no_label(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, "a", 1.0), (1, "a", nan), (2, "b", nan), (3, "c", 1.0), (4, "c", 2.0)], "row_index long, k string, y double")
+    for task in ("regression", "binary"):
+        found = C.in_key_order(C.label_conflicts(df, "k", "y", task), "k", "y").collect()
+        assert [tuple(r) for r in found] == [("c", 1.0), ("c", 2.0)]
+    assert {r.k: r.y for r in C.dedup_mean(df, "k", ["y"], [], "row_index").collect()} == {"a": 1.0, "b": None, "c": 1.5}
+
+
+def test_pair_counts_beyond_64_bits(spark):
+    from molscreen.operators import metrics as M
+
+    counts = spark.createDataFrame([("e", 0.2, 0, 3 * 10**9), ("e", 0.7, 3 * 10**9, 0)], "e string, s double, _pos bigint, _neg bigint")
+    original = M._score_counts
+    M._score_counts = lambda *args: counts
+    try:
+        assert M.auroc(counts, ["e"], "y", "s").first()["auroc"] == 1.0
+    finally:
+        M._score_counts = original
