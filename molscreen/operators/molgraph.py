@@ -383,12 +383,14 @@ def fingerprints(g: Graphs, on_cycle: np.ndarray, radius: int = FP_RADIUS) -> np
     """Circular fingerprints: hashed environments up to ``radius`` folded to 2048 bits."""
     words = np.zeros((g.n_mols, FP_WORDS), np.uint64)
     src, dst, edge = g.both_ways()
+    # a direction mark belongs to the spelling, not to the bond
+    kind = np.where(np.isin(g.kind, (6, 7)), SINGLE, g.kind)
     h = _mix(invariants(g, on_cycle).astype(np.uint64))
     for r in range(radius + 1):
         bit = (h % np.uint64(FP_BITS)).astype(np.int64)
         np.bitwise_or.at(words, (g.mol, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
         around = np.zeros(g.n, np.uint64)
-        np.add.at(around, src, _mix(h[dst] + g.kind[edge].astype(np.uint64)))
+        np.add.at(around, src, _mix(h[dst] + kind[edge].astype(np.uint64)))
         h = _mix(h * np.uint64(31) + around + np.uint64(r + 1))
     return words
 

@@ -17,14 +17,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molscreen.functions import bits as B
 from molscreen.schemas import DOMAIN_NEIGHBOURS
 from molscreen.session import opaque
 
-BROADCAST_REFS = 100_000  # packed 2048-bit rows: about 26 MB
+BROADCAST_REFS = 100_000  # rows that are sent to every task at most
+BROADCAST_BYTES = 32 << 20  # and their size: rows times the widest word list
+BAND = 16  # popcounts that share a reference band
 BLOCK_ROWS = 20_000
 _CELLS = 2_000_000  # pairs held at once while scoring
 
@@ -140,8 +142,11 @@ def _matches(q: np.ndarray, ref: Packed, threshold: float) -> tuple[np.ndarray,
 
 
 def small_enough(refs: DataFrame, bound: int = BROADCAST_REFS) -> bool:
-    """Whether the reference set has at most ``bound`` rows; reads no more than that."""
-    return refs.select(F.lit(1)).limit(bound + 1).count() <= bound
+    """Whether the reference set is small in rows and in bytes; reads no more than ``bound`` rows."""
+    width = [F.size(c) for c, t in refs.dtypes if t.startswith("array")] or [F.lit(1)]
+    head = refs.select(sum(width[1:], width[0]).alias("w")).limit(bound + 1)
+    rows, widest = head.agg(F.count(F.lit(1)), F.max("w")).first()
+    return rows <= bound and rows * (16 + 8 * max(widest or 0, 0)) <= BROADCAST_BYTES
 
 
 def _packed_broadcast(refs: DataFrame, ref_id: str, words: str):
@@ -164,6 +169,42 @@ def _blocks(queries: DataFrame, refs: DataFrame, block_rows: int) -> tuple[DataF
     return q, r
 
 
+def _banded(queries: DataFrame, refs: DataFrame, threshold: float, block_rows: int):
+    """Cells of queries and references whose popcounts allow ``threshold``; no other cell is built.
+
+    References lie in bands of popcounts, cut by hash to about ``block_rows``.  A query with p
+    bits visits the bands from p * threshold to p / threshold.  Only row counts per band, at
+    most bits / BAND of them, come to the driver.
+    """
+    r = refs.withColumn("_band", F.floor(B.popcount(F.col("w")) / BAND).cast("int"))
+    p = B.popcount(F.col("w"))
+    # one band more on each side covers the rounding of the quotients
+    low = F.greatest(F.floor(p * threshold / BAND).cast("int") - 1, F.lit(0))
+    high = F.ceil(p / threshold / BAND).cast("int") + 1
+    counts = {row["_band"]: row["n"] for row in r.groupBy("_band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bands = F.expr("array(" + ", ".join(map(str, sorted(counts))) + ")") if counts else F.array().cast("array<int>")
+    visits = queries.withColumn("_band", F.explode(F.filter(bands, lambda b: (b >= low) & (b <= high))))
+    asked = {row["_band"]: row["n"] for row in visits.groupBy("_band").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def parts(sizes: dict) -> Column:
+        table = ", ".join(f"{b}, {max(1, math.ceil(sizes.get(b, 0) / block_rows))}" for b in counts) or "0, 1"
+        return F.element_at(F.expr(f"map({table})"), F.col("_band"))
+
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = visits.withColumn("_i", F.pmod(F.xxhash64("qid", "w"), parts(asked)).cast("int")).withColumn("_j", spread(parts(counts)))
+    right = r.withColumn("_j", F.pmod(F.xxhash64("rid", "w"), parts(counts)).cast("int")).withColumn("_i", spread(parts(asked)))
+    key = ["_band", "_i", "_j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key))
+
+
+def _cell(score: Callable[[pa.Array, np.ndarray, Packed], pa.RecordBatch]):
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ref = Packed(b["rid"].combine_chunks(), _matrix(b["w"].combine_chunks()))
+        return pa.Table.from_batches([score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref)])
+
+    return run
+
+
 def _search(
     queries: DataFrame,
     refs: DataFrame,
@@ -190,12 +231,8 @@ def _search(
 
     left, right = _blocks(q, refs.select(F.col(ref_id).alias("rid"), F.col(words).alias("w")), block_rows)
 
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        ref = Packed(b["rid"].combine_chunks(), _matrix(b["w"].combine_chunks()))
-        return pa.Table.from_batches([score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref)])
-
     cells = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
-    return cells.applyInArrow(cell, schema), False
+    return cells.applyInArrow(_cell(score), schema), False
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -220,9 +257,12 @@ def nearest(
 
     schema = f"qid {_type(queries, query_id)}, best array<double>"
     parts, one_part = _search(queries, refs, names, score, schema, bound, block_rows)
-    if not one_part:  # one short list per reference block
-        merged = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, n)
-        parts = parts.groupBy("qid").agg(merged.alias("best"))
+    if not one_part:
+        # cut to the best n on both sides of the shuffle, so no row grows with the reference blocks
+        order = Window.partitionBy("qid").orderBy(F.desc("s"))
+        tall = parts.select("qid", F.explode_outer("best").alias("s"))
+        top = tall.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+        parts = top.groupBy("qid").agg(F.sort_array(F.collect_list("s"), asc=False).alias("best"))
     return parts.withColumnRenamed("qid", query_id)
 
 
@@ -304,7 +344,13 @@ def matches(
         return pa.RecordBatch.from_arrays(cols, ["qid", "rid", "similarity"])
 
     schema = f"qid {_type(queries, query_id)}, rid {_type(refs, ref_id)}, similarity double"
-    found, _ = _search(queries, refs, names, score, schema, bound, block_rows)
+    if small_enough(refs, bound):
+        found, _ = _search(queries, refs, names, score, schema, bound, block_rows)
+    else:
+        words = names.get("words", "words")
+        q = queries.select(F.col(query_id).alias("qid"), F.col(words).alias("w"))
+        r = refs.select(F.col(ref_id).alias("rid"), F.col(words).alias("w"))
+        found = _banded(q, r, threshold, block_rows).applyInArrow(_cell(score), schema)
     return found.select(F.col("qid").alias(query_id), F.col("rid").alias(ref_id), "similarity")
 
 

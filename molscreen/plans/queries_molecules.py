@@ -136,15 +136,22 @@ def molecule_features(spark, sf_dir):
 @query(
     f"""
     WITH {block_sql()}
-    SELECT p_partkey, polar AS hba, free_h - 2 * links AS n_hydrogens, rings AS ring_count,
-      CAST(1 AS INT) AS unknown_rules FROM parts WHERE error_code IS NULL
+    , n AS (SELECT *, len(regexp_extract_all(smiles, 'Cl')) AS cl, len(regexp_extract_all(smiles, 'Na')) AS na, len(regexp_extract_all(smiles, 'F')) AS f,
+        len(regexp_extract_all(smiles, '[Cc]')) - len(regexp_extract_all(smiles, 'Cl')) AS c,
+        len(regexp_extract_all(smiles, '[Nn]')) - len(regexp_extract_all(smiles, 'Na')) AS n, len(regexp_extract_all(smiles, 'O')) AS o,
+        free_h - 2 * links AS h FROM parts WHERE error_code IS NULL)
+    SELECT p_partkey, polar AS hba, h AS n_hydrogens, rings AS ring_count, CAST(1 AS INT) AS unknown_rules,
+      CAST(round(12.011 * c + 14.007 * n + 15.999 * o + 18.998 * f + 35.45 * cl + 22.990 * na + 1.008 * h, 3) AS DOUBLE) AS mol_weight
+    FROM n
     """
 )
 def descriptors(spark, sf_dir):
     """Descriptors and drug-likeness rules; rules on missing descriptors stay open."""
     d = Q.add_rules(Q.add_descriptors(_perceived(spark, sf_dir))).where(F.col("error_code").isNull())
     open_rules = F.size(F.filter(F.concat("lipinski", "veber"), lambda r: r["passed"].isNull()))
-    return d.select("p_partkey", "hba", "n_hydrogens", "ring_count", open_rules.alias("unknown_rules"))
+    return d.select(
+        "p_partkey", "hba", "n_hydrogens", "ring_count", open_rules.alias("unknown_rules"), F.round("mol_weight", 3).alias("mol_weight")
+    )
 
 
 @query(
@@ -201,14 +208,22 @@ def scaffold_groups(spark, sf_dir):
     ).drop("scaffold")
 
 
-@query(f"WITH {block_sql()} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS spanning FROM parts WHERE error_code IS NULL")
+@query(
+    f"""WITH {block_sql()} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS spanning, CAST(3 AS BIGINT) AS splits, true AS filled
+    FROM parts WHERE error_code IS NULL"""
+)
 def scaffold_split(spark, sf_dir):
     """Split by scaffold: no scaffold on two sides, no row lost."""
     m = _canonical(block_molecules(spark, sf_dir), "p_partkey").where(F.col("error_code").isNull()).select("p_partkey", "scaffold")
     m = materialise(m, "scaffolds")  # the split reads its input three times
     rows = P.group_split(m, "scaffold", (0.6, 0.2, 0.2), seed=7)
     per = rows.groupBy("scaffold").agg(F.count(F.lit(1)).alias("n"), (F.min("split") != F.max("split")).alias("span"))
-    return per.agg(F.sum("n").alias("n_rows"), F.count_if("span").alias("spanning"))
+    sides = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    whole = sides.agg(F.sum("n")).first()[0]
+    # greedy first fit never overfills, and leaves less room than the largest scaffold takes
+    share = lambda name: F.sum(F.when(F.col("split") == name, F.col("n"))) / whole
+    shape = sides.agg(F.count(F.lit(1)).alias("splits"), ((share("train") <= 0.6) & (share("train") > 0.4) & (share("val") <= 0.2)).alias("filled"))
+    return per.agg(F.sum("n").alias("n_rows"), F.count_if("span").alias("spanning")).crossJoin(shape)  # one row each
 
 
 @query(
@@ -233,17 +248,23 @@ def clean_molecules(spark, sf_dir):
 
 
 @query(
-    f"""
-    WITH {block_sql()} SELECT p_partkey, true AS self_similar, true AS folded FROM parts WHERE error_code IS NULL
+    """
+    WITH r AS (SELECT o_orderkey % 9 AS c, (o_orderkey // 9) % 3 AS form FROM orders),
+    g AS (SELECT CASE WHEN c = 2 AND form = 2 THEN 100 WHEN c IN (4, 5) THEN 4 WHEN c IN (6, 7) THEN 6 ELSE c END AS g, c FROM r)
+    SELECT min(c) AS lowest, max(c) AS highest, count(*) AS n_rows, true AS folded FROM g GROUP BY g
     """
 )
 def molecule_fingerprints(spark, sf_dir):
-    """Circular fingerprints: 2048 bits, never empty, identical to themselves."""
-    g = _perceived(spark, sf_dir).where(F.col("error_code").isNull())
+    """Circular fingerprints: all spellings of a molecule and its stereoisomers agree, different molecules do not."""
+    rows = spelled_molecules(spark, sf_dir)
+    texts = rows.select(F.md5("smiles").alias("_digest"), "smiles").distinct()
+    prints = G.perceive(S.parse(texts, "_digest", "smiles")).select("_digest", "words")
     w = F.col("words")
-    return g.select(
-        "p_partkey", (B.tanimoto(w, w) == 1.0).alias("self_similar"), ((F.size(w) == 32) & ~B.is_empty(w)).alias("folded")
-    )
+    joined = rows.select("class", F.md5("smiles").alias("_digest")).join(prints, "_digest")
+    return joined.groupBy("words").agg(
+        F.min("class").alias("lowest"), F.max("class").alias("highest"), F.count(F.lit(1)).alias("n_rows"),
+        F.every((F.size(w) == 32) & ~B.is_empty(w)).alias("folded"),
+    ).drop("words")
 
 
 @query(

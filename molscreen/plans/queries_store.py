@@ -95,6 +95,58 @@ def tanimoto_threshold_blocks(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 9))
 
 
+_WORDS_SQL = r"""
+    WITH t AS (SELECT 'q' AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 'r', doc_id, text FROM documents),
+    b AS (SELECT DISTINCT side, id, CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 2048 AS bit
+          FROM (SELECT side, id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t)),
+    n AS (SELECT side, id, count(*) AS n FROM b GROUP BY ALL),
+    shared AS (SELECT q.id AS query_id, r.id AS ref_id, count(*) AS c FROM b q JOIN b r ON q.bit = r.bit AND q.side = 'q' AND r.side = 'r' GROUP BY ALL),
+    sim AS (SELECT query_id, ref_id, c::DOUBLE / (nq.n + nr.n - c) AS s FROM shared
+            JOIN n nq ON nq.side = 'q' AND nq.id = query_id JOIN n nr ON nr.side = 'r' AND nr.id = ref_id)
+"""
+
+
+def _word_sets(spark, sf_dir, table: str, key: str):
+    """(id, words): hashed words of whole texts folded to 2048 bits; texts without words have none."""
+    rows = read(spark, sf_dir, table)
+    each = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("w"))
+    bit = F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("bigint") % 2048
+    parts = each.select("id", bit.alias("bit")).groupBy("id", B.word_of(F.col("bit")).alias("at")).agg(F.bit_or(B.mask_of(F.col("bit"))).alias("v"))
+    found = parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # 32 entries at most
+    return found.select("id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("words"))
+
+
+def _word_sides(spark, sf_dir):
+    q = _word_sets(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id")
+    return q, _word_sets(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "ref_id")
+
+
+@query(_WORDS_SQL + "SELECT query_id, ref_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.15")
+def word_set_matches(spark, sf_dir):
+    """Similar documents of every benchmark text, on sets of 2048 bits."""
+    q, refs = _word_sides(spark, sf_dir)
+    return N.matches(q, refs, 0.15).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_WORDS_SQL + "SELECT query_id, ref_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.15")
+def word_set_matches_blocks(spark, sf_dir):
+    """The same pairs over popcount bands, where cells that cannot match are not built."""
+    q, refs = _word_sides(spark, sf_dir)
+    return N.matches(q, refs, 0.15, bound=0, block_rows=100).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    _WORDS_SQL
+    + """, best AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC) AS rn FROM sim)
+    SELECT query_id, round(avg(s), 9) AS similarity FROM best WHERE rn <= 5 GROUP BY query_id"""
+)
+def word_set_domain(spark, sf_dir):
+    """Mean similarity of the five nearest documents, on sets of 2048 bits in blocks."""
+    q, refs = _word_sides(spark, sf_dir)
+    out = N.assess(q, refs, bound=0, block_rows=300)
+    return out.select("query_id", F.round("similarity", 9).alias("similarity"))
+
+
 _ASSESS_SQL = (
     _FP_SQL
     + """,
