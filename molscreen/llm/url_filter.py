@@ -9,7 +9,7 @@ evenly.  Only DataFrame functions are used.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is
 allowed; repeated list entries count once; repeated pages are judged each; an empty list or
-table is fine.
+table is fine; columns of ``pages`` with the names of the added ones are replaced.
 """
 
 from __future__ import annotations
