@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -75,7 +77,7 @@ def _ring_labels(closures: list[tuple[int, int]]) -> list[int]:
     for i in sorted(range(len(closures)), key=lambda c: closures[c]):
         active = [j for j in active if closures[j][1] > closures[i][0]]
         taken = {labels[j] for j in active}
-        labels[i] = next(n for n in range(1, 200) if n not in taken)
+        labels[i] = next(n for n in itertools.count(1) if n not in taken)
         active.append(i)
     return labels
 
@@ -136,7 +138,7 @@ def _write(starts: list[int], ptr: list, dst: list, kind: list, label: list, aro
         digits: dict[int, list] = {}
         for i, n in enumerate(_ring_labels(closures)):
             to, at, k = ends[i]
-            text = str(n) if n < 10 else f"%{n}"
+            text = str(n) if n < 10 else f"%{n}" if n < 100 else f"%({n})"
             # closing digits stand before opening ones
             digits.setdefault(at, []).append((0, place[to], to, bond(to, at, k) + text))
             digits.setdefault(to, []).append((1, place[at], at, text))

@@ -62,7 +62,7 @@ def triage_tall(values: DataFrame, endpoints: DataFrame, by: list[str]) -> DataF
     ``endpoints`` is the twelve-row registry, so it is always small enough to broadcast.
     """
     meta = endpoints.select(F.col("code").alias("endpoint"), "shape", "low", "high", "weight")
-    terms = values.join(F.broadcast(meta), "endpoint").withColumn(
+    terms = values.join(meta, "endpoint").withColumn(
         "desirability", D.by_shape(F.col("value"), F.col("shape"), F.col("low"), F.col("high"))
     )
     return terms.groupBy(*by).agg(

@@ -28,7 +28,7 @@ ATOMIC_NUMBER = {s: i + 1 for i, s in enumerate(SYMBOLS)}
 # --- fixed formats: the notation's own symbols ---
 ORGANIC = "Cl|Br|[BCNOPSFI]|[bcnops]"
 BOND = r"[-=#$:/\\]"
-TOKEN = rf"{BOND}?(?:\[[^\[\]]*\]|{ORGANIC}|%[0-9]{{2}}|[0-9])|."
+TOKEN = rf"{BOND}?(?:\[[^\[\]]*\]|{ORGANIC}|%[0-9]{{2}}|%\([0-9]{{1,4}}\)|[0-9])|."
 # numbers of more than nine digits are no valid bracket
 BRACKET = r"^\[([0-9]{0,9})([A-Z][a-z]?|[bcnops]|se|as)(@{0,2})(H[0-9]{0,9})?([+-][0-9]{1,9}|\++|-+)?(:[0-9]+)?\]$"
 
@@ -120,7 +120,7 @@ def tokens(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
         F.when(b.isNull(), None)
         .when(b.rlike(rf"^({ORGANIC})$"), "atom")
         .when(b.rlike(r"^\[.*\]$"), "bracket")
-        .when(b.rlike("^(%[0-9]{2}|[0-9])$"), "ring")
+        .when(b.rlike(r"^(%[0-9]{2}|%\([0-9]{1,4}\)|[0-9])$"), "ring")
         .when(b == "(", "open")
         .when(b == ")", "close")
         .when(b == ".", "dot")
@@ -149,7 +149,7 @@ def tokens(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
         .when(F.col("before") == "open", F.lag("anchor").over(run))
         .otherwise(F.col("anchor"))
     )
-    label = F.when(k == "ring", F.regexp_replace("body", "%", "").cast("int"))
+    label = F.when(k == "ring", F.regexp_replace("body", "[%()]", "").cast("int"))
     linked = anchored.withColumn("parent", parent).withColumn("label", label)
     same_label = Window.partitionBy("mol", "label").orderBy("i")
     is_ring = k == "ring"

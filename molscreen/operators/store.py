@@ -65,7 +65,7 @@ def with_values(predictions: DataFrame, values: DataFrame, endpoints: DataFrame)
     """
     meta = endpoints.select(F.col("code").alias("endpoint"), "output_index")
     packed = (
-        values.join(F.broadcast(meta), "endpoint")
+        values.join(meta, "endpoint")
         .groupBy("prediction_id")
         .agg(F.array_sort(F.collect_list(F.struct("output_index", "endpoint", "value"))).alias("values"))
     )

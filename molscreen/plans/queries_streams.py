@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from molscreen.operators.rank import score_order, with_rank
 from molscreen.plans.tables import read
-from molscreen.session import materialise, shared_dir
+from molscreen.session import shared_dir
 from molscreen.streaming import batches as T
 
 QUERIES, SQL = {}, {}
@@ -27,8 +27,9 @@ def query(sql: str | None = None):
 def _stream(spark, rows, name: str):
     """Store rows as eight files and open them as a stream of two files per micro-batch."""
     spread = rows.repartition(8)
-    stored = materialise(spread, name)
-    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
+    folder = f"{shared_dir(spark)}/molscreen-{name}-{uuid.uuid4().hex}"
+    spread.write.parquet(folder)
+    stored = rows
     return T.file_stream(spark, folder, stored.schema, files_per_trigger=2), f"{shared_dir(spark)}/molscreen-{name}-run-{uuid.uuid4().hex}"
 
 
@@ -52,16 +53,23 @@ def stream_topk(spark, sf_dir):
     return with_rank(T.ranked(spark, root, 100, row_index="event_id"), score_order(row_index="event_id"))
 
 
-@query("SELECT count(*) AS rows_done, count(*) FILTER (WHERE event_type = 'error') AS rows_failed, 4 AS batches FROM events")
+@query(
+    """
+    SELECT count(*) AS rows_done, count(*) FILTER (WHERE event_type = 'error') AS rows_failed, 4 AS batches,
+      CAST(ceil(count(*) / 1000.0) * 4 AS BIGINT) AS steps, 0 AS too_long FROM events
+    """
+)
 def stream_progress(spark, sf_dir):
-    """Progress of a streamed batch: the last event accounts for every row."""
+    """Progress of a streamed batch every 250 rows: the last event accounts for every row."""
     rows = read(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("bad"))
     stream, root = _stream(spark, rows, "progress")
-    T.progress_stream(stream, root, "bad").awaitTermination()
-    return T.progress(spark, root).agg(
+    T.progress_stream(stream, root, "bad", order="event_id").awaitTermination()
+    events = T.progress(spark, root)
+    too_long = T.rows_per_trigger_ok(events).agg(F.count(F.lit(1)).cast("int").alias("too_long"))
+    return events.agg(
         F.max("rows_done").alias("rows_done"), F.max("rows_failed").alias("rows_failed"),
-        F.count(F.lit(1)).cast("int").alias("batches"),
-    )
+        F.count_distinct("batch").cast("int").alias("batches"), F.count(F.lit(1)).alias("steps"),
+    ).crossJoin(too_long)  # one row each
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")

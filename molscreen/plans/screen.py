@@ -107,7 +107,7 @@ def explain_values(screened: DataFrame, key: str) -> DataFrame:
 
     reg = endpoint_registry(screened.sparkSession)  # twelve rows
     tall = screened.where(F.col("values").isNotNull()).select(key, F.posexplode("values").alias("output_index", "value"))
-    j = tall.join(F.broadcast(reg), "output_index")
+    j = tall.join(reg, "output_index")
     d = by_shape(F.col("value"), F.col("shape"), F.col("low"), F.col("high"))
     return j.select(key, F.col("code").alias("endpoint"), "category", "task", "value", d.alias("desirability"), "weight")
 
@@ -128,14 +128,15 @@ def import_library(spark, path: str, out: str, references: DataFrame, smiles_col
     from molscreen.sources.files import CAVEAT, accepted_and_rejected, write_csv
 
     rows = require_columns(spark.read.csv(path, header=True, mode="PERMISSIVE", escape='"'), [smiles_column])
-    done = screen(rows, references, smiles_column)
+    # scored once; the outputs and the counts read the stored rows
+    done = materialise(screen(rows, references, smiles_column), "import")
     flat = done.withColumn("values", F.array_join("values", " ")).withColumn("caveat", F.lit(CAVEAT))
     if skip_invalid:
         good, bad = accepted_and_rejected(flat)
         write_csv(good, f"{out}/scored")
         write_csv(bad, f"{out}/rejected")
-        n_good, n_bad = (spark.read.csv(f"{out}/{d}", header=True).count() for d in ("scored", "rejected"))
+        n_good, n_bad = good.count(), bad.count()
     else:
         write_csv(flat, f"{out}/scored")
-        n_good, n_bad = spark.read.csv(f"{out}/scored", header=True).count(), 0
+        n_good, n_bad = flat.count(), 0
     return spark.createDataFrame([(n_good, n_bad)], "completed bigint, failed bigint")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from molscreen.operators.rank import top_k
 from molscreen.operators.store import latest_status
+from molscreen.operators.store import progress as step_progress
 from molscreen.schemas import BATCH_STATUSES, CHECKPOINT_ROWS, TERMINAL_STATUSES
 
 
@@ -40,10 +41,17 @@ def _read(spark: SparkSession, root: str, kind: str) -> DataFrame:
 def rank_stream(
     stream: DataFrame, root: str, k: int, score: str = "score", key: str = "inchikey", row_index: str | None = None
 ) -> StreamingQuery:
-    """Keep the best ``k`` rows of each micro-batch; never more than ``k`` per batch is stored."""
+    """Carry the best ``k`` rows from micro-batch to micro-batch.
+
+    Each batch's folder holds the best of all rows so far, made from the folder before it, so
+    the state is ``k`` rows however many batches there are, and a replayed batch gives the same.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        best = top_k(batch, k, score, key, row_index)
+        seen = batch
+        if batch_id > 0:
+            seen = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(_folder(root, "top", batch_id - 1)))
+        best = top_k(seen, k, score, key, row_index)
         best.coalesce(1).write.mode("overwrite").parquet(_folder(root, "top", batch_id))
 
     return _run(stream, root, "top", handle)
@@ -52,37 +60,50 @@ def rank_stream(
 def ranked(
     spark: SparkSession, root: str, k: int, score: str = "score", key: str = "inchikey", row_index: str | None = None
 ) -> DataFrame:
-    """The best ``k`` rows seen so far over all micro-batches."""
-    return top_k(_read(spark, root, "top").drop("batch"), k, score, key, row_index)
+    """The best ``k`` rows seen so far over all micro-batches: the last one's."""
+    states = _read(spark, root, "top")
+    last = states.agg(F.max("batch")).first()[0]  # from the folder names
+    return top_k(states.where(F.col("batch") == last).drop("batch"), k, score, key, row_index)
 
 
-def progress_stream(stream: DataFrame, root: str, failed: str) -> StreamingQuery:
-    """Count rows and failures of each micro-batch."""
+def progress_stream(stream: DataFrame, root: str, failed: str, order: str | None = None, every: int = CHECKPOINT_ROWS) -> StreamingQuery:
+    """Count rows and failures of each micro-batch, in steps of ``every`` rows along ``order``.
+
+    Without an order a micro-batch is one step.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(failed)).alias("failed"))
+        if order is None:
+            counts = batch.agg(F.lit(0).cast("bigint").alias("step"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(failed)).alias("failed"))
+        else:
+            steps = step_progress(batch, order, failed, every)
+            counts = steps.select(F.col("checkpoint").alias("step"), F.col("rows_done").alias("rows"), F.col("rows_failed").alias("failed"))
         counts.write.mode("overwrite").parquet(_folder(root, "progress", batch_id))
 
     return _run(stream, root, "progress", handle)
 
 
 def progress(spark: SparkSession, root: str) -> DataFrame:
-    """Rows done and failed so far, micro-batch by micro-batch."""
+    """Rows done and failed so far, step by step: the batch's own count on top of the batches before it."""
     from pyspark.sql import Window
 
+    steps = _read(spark, root, "progress")
+    totals = steps.groupBy("batch").agg(F.max("rows").alias("rows_in"), F.max("failed").alias("failed_in"))
     # one row per micro-batch
-    so_far = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return _read(spark, root, "progress").select(
-        "batch", F.sum("rows").over(so_far).alias("rows_done"), F.sum("failed").over(so_far).alias("rows_failed")
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = totals.select("batch", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("rows_in", "failed_in")])
+    return steps.join(sums, "batch").select(
+        "batch", "step", (F.col("rows_in") + F.col("rows")).alias("rows_done"), (F.col("failed_in") + F.col("failed")).alias("rows_failed")
     )
 
 
 def rows_per_trigger_ok(progress_rows: DataFrame, every: int = CHECKPOINT_ROWS) -> DataFrame:
-    """Micro-batches that went further than ``every`` rows without a progress event."""
+    """Steps that went further than ``every`` rows without a progress event, within their micro-batch."""
     from pyspark.sql import Window
 
-    step = F.col("rows_done") - F.lag("rows_done", 1, 0).over(Window.orderBy("batch"))
-    return progress_rows.select("batch", step.alias("rows_in_step")).where(F.col("rows_in_step") > every)
+    inside = Window.partitionBy("batch").orderBy("step")
+    first = F.col("rows_done") - F.lag("rows_done").over(inside)
+    return progress_rows.select("batch", "step", first.alias("rows_in_step")).where(F.col("rows_in_step") > every)
 
 
 def dedup_stream(stream: DataFrame, root: str, keys: list[str], order: str) -> StreamingQuery:

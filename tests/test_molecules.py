@@ -293,3 +293,11 @@ def test_numbers_out_of_range_are_errors_and_ids_may_repeat(spark):
     assert got[(1, "CCO")][0] == 3 and got[(1, "CN")][0] == 2
     assert got[(2, "[C+1234567890]")][1] == got[(3, "[CH1234567890123]")][1] == "malformed_bracket"
     assert got[(4, "[C+123456789]")][2] == [123456789]
+
+
+def test_more_than_ninety_nine_open_rings(spark):
+    n = 101
+    text = "C" + "".join(f"%({i})C" if i > 99 else f"%{i:02d}C" for i in range(1, n)) + "".join(f"C%({i})" if i > 99 else f"C%{i:02d}" for i in range(1, n))
+    row = parsed(spark, ["C%(100)CC%(100)", text]).orderBy("id").collect()
+    assert (row[0].n_atoms, row[0].n_bonds) == (3, 3)
+    assert row[1].error_code == "too_large"
