@@ -65,7 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="molscreen-")
+    # one folder for the application, gone with it
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.TemporaryDirectory(prefix="molscreen-", ignore_cleanup_errors=True)
+    return _LOCAL[application].name
+
+
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
