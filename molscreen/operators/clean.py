@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from molscreen.functions.validate import to_number
 from molscreen.schemas import MAX_HEAVY_ATOMS
+from molscreen.session import broadcast_if_small
 
 
 def usable_rows(df: DataFrame, structure: str = "canonical_smiles", size: str | None = "heavy_atoms") -> DataFrame:
@@ -189,7 +190,7 @@ def profile(df: DataFrame, endpoints: DataFrame, structure: str = "Drug", label:
     The registry has twelve rows, and the three profiles at most one row per endpoint.
     """
     meta = endpoints.select(F.col("code").alias("endpoint"), "tdc_name", "category", "task", "expected_n")
-    known = df.join(meta.select("endpoint", "task"), "endpoint")
+    known = df.join(broadcast_if_small(meta.select("endpoint", "task")), "endpoint")
     sizes = size_profile(known, ["endpoint"], structure, size)
     cls = binary_profile(known.where(F.col("task") == "binary"), ["endpoint"], label)
     reg = regression_profile(known.where(F.col("task") == "regression"), ["endpoint"], label)

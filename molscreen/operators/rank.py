@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molscreen.functions import desirability as D
+from molscreen.session import broadcast_if_small
 
 
 def score_order(score: str = "score", key: str = "inchikey", row_index: str | None = None) -> list[Column]:
@@ -62,7 +63,7 @@ def triage_tall(values: DataFrame, endpoints: DataFrame, by: list[str]) -> DataF
     ``endpoints`` is the twelve-row registry, so it is always small enough to broadcast.
     """
     meta = endpoints.select(F.col("code").alias("endpoint"), "shape", "low", "high", "weight")
-    terms = values.join(meta, "endpoint").withColumn(
+    terms = values.join(broadcast_if_small(meta), "endpoint").withColumn(
         "desirability", D.by_shape(F.col("value"), F.col("shape"), F.col("low"), F.col("high"))
     )
     return terms.groupBy(*by).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molscreen.operators.running import hash_bucket, running_sum
+from molscreen.session import broadcast_if_small
 
 
 def _check(fractions: tuple[float, float, float]) -> None:
@@ -51,8 +52,8 @@ def assign_groups(
     quotas = df.sparkSession.createDataFrame(
         fill_quotas(classes, fractions) or [(0, 0, 0)], "n bigint, to_train bigint, to_val bigint"
     )
-    # adaptive execution broadcasts the quotas where their measured size allows
-    ordered = sizes.join(quotas, "n").withColumn(
+    # many distinct sizes are joined by shuffle
+    ordered = sizes.join(broadcast_if_small(quotas), "n").withColumn(
         "_h", seeded_hash(F.col(group), seed)
     )
     ranked = running_sum(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from molscreen.functions.validate import is_terminal, parse_status
 from molscreen.operators.running import exact_percentiles, running_sum
 from molscreen.schemas import CHECKPOINT_ROWS
+from molscreen.session import broadcast_if_small
 
 
 def find(df: DataFrame, key: str, value) -> DataFrame:
@@ -65,7 +66,7 @@ def with_values(predictions: DataFrame, values: DataFrame, endpoints: DataFrame)
     """
     meta = endpoints.select(F.col("code").alias("endpoint"), "output_index")
     packed = (
-        values.join(meta, "endpoint")
+        values.join(broadcast_if_small(meta), "endpoint")
         .groupBy("prediction_id")
         .agg(F.array_sort(F.collect_list(F.struct("output_index", "endpoint", "value"))).alias("values"))
     )

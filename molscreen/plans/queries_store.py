@@ -13,6 +13,7 @@ from molscreen.operators import similarity as N
 from molscreen.operators import store as S
 from molscreen.plans.tables import big, endpoint_values, fingerprints, r6, read
 from molscreen.schemas import ENDPOINTS, endpoint_registry
+from molscreen.session import broadcast_if_small
 
 QUERIES, SQL = {}, {}
 
@@ -445,7 +446,7 @@ def values_wide(spark, sf_dir):
     """Tall predictions to one column per endpoint (checked by the sum of their codes)."""
     codes = [e[0] for e in ENDPOINTS]
     reg = endpoint_registry(spark).select(F.col("code").alias("endpoint"), "low", "high")
-    vals = endpoint_values(spark, sf_dir, endpoint_registry(spark)).join(reg, "endpoint")
+    vals = endpoint_values(spark, sf_dir, endpoint_registry(spark)).join(broadcast_if_small(reg), "endpoint")
     lo, hi = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(1.0))
     unit = vals.withColumn("value", F.round(((F.col("value") - lo) / (hi - lo) + 0.25) / 1.5 * 999))
     wide = S.to_wide(unit, codes)

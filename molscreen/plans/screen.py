@@ -9,7 +9,7 @@ from molscreen.functions.bits import classify
 from molscreen.functions.validate import destandardise, sigmoid, withhold, withhold_reason
 from molscreen.operators import canonical, descriptors, model, molgraph, rank, similarity, smiles
 from molscreen.schemas import CATEGORY_WEIGHTS, CURVES, ENDPOINTS
-from molscreen.session import materialise
+from molscreen.session import broadcast_if_small, materialise
 
 # Own choice: (mean, sd) that turns a raw regression output into its physical range.
 SCALES = {"caco2": (-5.0, 0.5), "ppbr": (85.0, 10.0), "vdss": (2.0, 1.5), "half_life": (12.0, 8.0), "clearance": (40.0, 25.0)}
@@ -107,7 +107,7 @@ def explain_values(screened: DataFrame, key: str) -> DataFrame:
 
     reg = endpoint_registry(screened.sparkSession)  # twelve rows
     tall = screened.where(F.col("values").isNotNull()).select(key, F.posexplode("values").alias("output_index", "value"))
-    j = tall.join(reg, "output_index")
+    j = tall.join(broadcast_if_small(reg), "output_index")
     d = by_shape(F.col("value"), F.col("shape"), F.col("low"), F.col("high"))
     return j.select(key, F.col("code").alias("endpoint"), "category", "task", "value", d.alias("desirability"), "weight")
 

@@ -85,6 +85,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Broadcast hint for a narrow side of at most ``rows`` rows: counted, reading no more than that."""
+    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+
+
 def work_partitions(spark: SparkSession) -> int:
     """Partitions for work that costs far more than its bytes suggest (adaptive merging is by bytes)."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
