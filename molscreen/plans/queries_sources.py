@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from molscreen.functions import bits as B
@@ -14,6 +13,7 @@ from molscreen.operators import clean as C
 from molscreen.operators import csr as R
 from molscreen.operators import smiles as S
 from molscreen.operators import store as O
+from molscreen.operators.running import running_sum
 from molscreen.plans.queries_prep import _FRAMES_SQL, _endpoint_profile
 from molscreen.plans.tables import big, block_molecules, block_sql, fingerprints, r6, read
 from molscreen.schemas import ENDPOINTS
@@ -289,6 +289,18 @@ def over_cap_report(spark, sf_dir):
     return IO.over_cap_table(_endpoint_profile(spark, sf_dir))
 
 
+def exported_ranking(spark, orders):
+    """All orders through the export sink, with their rank by price."""
+    path = _scratch(spark, "export")
+    values = F.array(F.col("o_totalprice"), F.round(F.col("o_totalprice") / 2, 4))
+    IO.export(orders.select("o_orderkey", F.col("o_totalprice").alias("score"), values.alias("values")), path, "v1")
+    back = spark.read.csv(path, header=True, escape='"', schema="o_orderkey bigint, score double, values string, model_version string, caveat string")
+    parts = F.from_json("values", "array<double>")
+    ordered = back.withColumns({"_down": -F.col("score"), "_one": F.lit(1).cast("bigint")})
+    ranked = running_sum(ordered, "_down", {"_one": "rank"}, ties=["o_orderkey"])
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "o_orderkey", F.get(parts, F.lit(0)).alias("score"), F.get(parts, F.lit(1)).alias("half"), "model_version", F.col("caveat").isNotNull().alias("has_caveat"))
+
+
 @query(
     """
     WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
@@ -296,16 +308,11 @@ def over_cap_report(spark, sf_dir):
     """
 )
 def export_ranking(spark, sf_dir):
-    """A ranking exported with its endpoint values and read back: nothing is lost."""
-    path = _scratch(spark, "export")
-    top = read(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(500)
-    values = F.array(F.col("o_totalprice"), F.round(F.col("o_totalprice") / 2, 4))
-    ranked = top.select("o_orderkey", F.col("o_totalprice").alias("score"), values.alias("values"))
-    IO.export(ranked, path, "v1")
-    back = spark.read.csv(path, header=True, escape='"', schema="o_orderkey bigint, score double, values string, model_version string, caveat string")
-    parts = F.from_json("values", "array<double>")
-    order = F.row_number().over(Window.orderBy(F.desc("score"), "o_orderkey"))  # five hundred rows
-    return back.select(order.alias("rank"), "o_orderkey", F.get(parts, F.lit(0)).alias("score"), F.get(parts, F.lit(1)).alias("half"), "model_version", F.col("caveat").isNotNull().alias("has_caveat"))
+    """A ranking of all orders exported with its endpoint values and read back: nothing is lost.
+
+    Every row is written, read and ranked; the result shows the first 500 places.
+    """
+    return exported_ranking(spark, read(spark, sf_dir, "orders")).where("rank <= 500")
 
 
 @query("SELECT count(*) AS rows_done, count(*) FILTER (WHERE event_type = 'error') AS rows_failed FROM events")
