@@ -98,12 +98,19 @@ def progress(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rows_per_trigger_ok(progress_rows: DataFrame, every: int = CHECKPOINT_ROWS) -> DataFrame:
-    """Steps that went further than ``every`` rows without a progress event, within their micro-batch."""
+    """Steps that went further than ``every`` rows without a progress event.
+
+    A micro-batch's first step starts where the batches before it ended.
+    """
     from pyspark.sql import Window
 
+    ends = progress_rows.groupBy("batch").agg(F.max("rows_done").alias("_end"))
+    # one row per micro-batch
+    start = F.lag("_end", 1, 0).over(Window.orderBy("batch")).alias("_start")
+    rows = progress_rows.join(ends.select("batch", start), "batch")
     inside = Window.partitionBy("batch").orderBy("step")
-    first = F.col("rows_done") - F.lag("rows_done").over(inside)
-    return progress_rows.select("batch", "step", first.alias("rows_in_step")).where(F.col("rows_in_step") > every)
+    done = F.col("rows_done") - F.coalesce(F.lag("rows_done").over(inside), F.col("_start"))
+    return rows.select("batch", "step", done.alias("rows_in_step")).where(F.col("rows_in_step") > every)
 
 
 def dedup_stream(stream: DataFrame, root: str, keys: list[str], order: str) -> StreamingQuery:

@@ -231,3 +231,22 @@ def test_export_ranking_reaches_every_row(spark, monkeypatch):
     monkeypatch.setattr(Q.IO, "export", lambda df, path, version: (written.append(df.count()), export(df, path, version)))
     monkeypatch.setattr(Q, "read", lambda *_: orders)
     assert Q.export_ranking(spark, "").count() == 500 and written == [1200]
+
+
+def test_steps_without_an_event_are_reported(spark):
+    from molscreen.streaming.batches import rows_per_trigger_ok
+
+    found = lambda rows: sorted(map(tuple, rows_per_trigger_ok(spark.createDataFrame(rows, "batch int, step bigint, rows_done bigint"), 250).collect()))
+    # without an order a micro-batch is one step
+    assert found([(0, 0, 10_000), (1, 0, 10_250), (2, 0, 10_600)]) == [(0, 0, 10_000), (2, 0, 350)]
+    # first steps, and one inside
+    assert found([(0, 0, 251), (0, 1, 501), (1, 0, 752), (1, 1, 1002), (1, 2, 1300)]) == [(0, 0, 251), (1, 0, 251), (1, 2, 298)]
+
+
+def test_a_long_micro_batch_without_an_order_is_reported(spark, tmp_path):
+    from molscreen.streaming import batches as T
+
+    rows = spark.range(600).selectExpr("id", "id % 7 = 0 AS bad").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    T.progress_stream(T.file_stream(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "run"), "bad").awaitTermination()
+    assert [tuple(r) for r in T.rows_per_trigger_ok(T.progress(spark, str(tmp_path / "run"))).collect()] == [(0, 0, 600)]
