@@ -1,9 +1,10 @@
 """Quotation linking: nested quotes found, matched to the messages they quote, and threads ordered.
 
 Quoted lines carry one ``>`` per level.  Runs of lines of one level are passages; a message's
-own passages are its body.  Normalised passages are hashed and joined to an index of bodies and
-of body lines: first within the conversation, then over all, always to the earliest message
-with that text that precedes the quoting one.  The first level-1 quote that finds its message
+own passages are its body.  Normalised passages are hashed and joined to an index of bodies,
+those that are no whole body to the runs of words that bodies hold: first within the
+conversation, then over all, always to the earliest message with that text, if it precedes the
+quoting one.  The first level-1 quote that finds its message
 names the parent; ancestors are found by pointer doubling.  Only DataFrame functions are used.
 
 Messages are known by (conv_id, turn) and precede each other by (turn, conv_id), so a parent
@@ -26,6 +27,10 @@ from molscreen.session import materialise
 MARKS = r"^(?:[ \t]?>)+"
 #: The line before a quote that says who wrote it.
 ATTRIBUTION = r"^On .* wrote:$"
+#: Shorter partial quotes are found only as whole lines.
+RUN_WORDS = 5
+#: Passages of so many words are looked up by that many first words, not by ``RUN_WORDS``.
+LONG_RUN = 8
 
 
 def level(line: Column) -> Column:
@@ -72,37 +77,103 @@ def parse(messages: DataFrame) -> DataFrame:
 
 
 def index(parsed: DataFrame) -> DataFrame:
-    """(kind, hash, conv_id, turn): bodies (kind 0) and their lines (kind 1), once per message."""
-    body = F.array(F.struct(F.lit(0).alias("kind"), digest(F.col("body")).alias("hash")))
-    lines = F.transform(F.split("body", "\n"), lambda x: F.struct(F.lit(1).alias("kind"), digest(x).alias("hash")))
-    each = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.concat(body, lines)).alias("k"))
-    return each.select("k.kind", "k.hash", "conv_id", "turn").where("hash IS NOT NULL")
+    """(hash, conv_id, turn) of the bodies, once per message."""
+    each = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(digest(F.col("body")).alias("hash"), "conv_id", "turn")
+    return each.where("hash IS NOT NULL")
+
+
+def _lines(text: Column) -> Column:
+    """The lines in which something is left, normalised."""
+    return F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
+
+
+def _words(lines: Column) -> Column:
+    return F.filter(F.split(F.array_join(lines, " "), " "), lambda w: w != "")
+
+
+def _runs(text: Column) -> Column:
+    """Array of (choice, words): the passage, then the passage without its first or last word or both.
+
+    A word at an edge may be cut or stand for what was left out; ``RUN_WORDS`` words must be left.
+    """
+    words = _words(_lines(text))
+    n = F.size(words)
+    cuts = [(1, n), (2, n - 1), (1, n - 1), (2, n - 2)]
+    runs = [F.struct(F.lit(i).alias("choice"), F.slice(words, F.lit(start), F.greatest(many, F.lit(0))).alias("words")) for i, (start, many) in enumerate(cuts)]
+    return F.filter(F.array(*runs), lambda r: (r["choice"] == 0) | (F.size(r["words"]) >= RUN_WORDS))
+
+
+def partial_links(parsed: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, turn, raw, to): the message that holds a run of words, for ``quotes`` (conv_id, turn, raw, text).
+
+    A passage is found by its first words, and holds when all its words follow each other in
+    the body, wherever lines break; one of fewer than ``RUN_WORDS`` words must be whole lines.
+    Places in bodies meet first words and lengths, not passages, so that messages that quote
+    alike do not multiply those that begin alike.
+    """
+    passages = quotes.groupBy("raw").agg(F.first("text").alias("text")).select("raw", F.explode(_runs(F.col("text"))).alias("r"))
+    n = F.size("r.words")
+    size = F.when(n >= LONG_RUN, LONG_RUN).otherwise(F.least(n, F.lit(RUN_WORDS)))
+    anchor = F.xxhash64(F.slice("r.words", F.lit(1), size)).alias("anchor")
+    runs = passages.select("raw", "r.choice", F.md5(F.array_join("r.words", " ")).alias("hash"), n.alias("n"), size.alias("size"), anchor)
+    runs = materialise(runs, "runs")
+
+    per_line = F.transform(_lines(F.col("body")), lambda x: F.split(x, " "))
+    bodies = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.xxhash64("body").alias("b"), per_line.alias("_l"))
+    heads = F.flatten(F.transform("_l", lambda ws: F.transform(ws, lambda w, i: i == 0)))
+    bodies = materialise(bodies.select("conv_id", "turn", "b", F.flatten("_l").alias("words"), heads.alias("heads")).distinct(), "words")
+
+    def places(size: int) -> Column:
+        """(p, size, anchor) of the runs of so many words, p from 0; short ones only as whole lines."""
+        end = F.size("words")
+        all_ = F.when(end >= size, F.sequence(F.lit(0), end - size)).otherwise(F.array().cast("array<int>"))
+        if size < RUN_WORDS:
+            all_ = F.filter(all_, lambda p: F.get("heads", p) & ((p + size == end) | F.coalesce(F.get("heads", p + size), F.lit(False))))
+        return F.transform(all_, lambda p: F.struct(p.alias("p"), F.lit(size).alias("size"), F.xxhash64(F.slice("words", p + 1, F.lit(size))).alias("anchor")))
+
+    spots = bodies.select("conv_id", "turn", "b", F.explode(F.concat(*[places(k) for k in (*range(1, RUN_WORDS + 1), LONG_RUN)])).alias("s")).select("conv_id", "turn", "b", "s.*")
+    near_runs = spots.join(runs.select("size", "anchor", "n").distinct(), ["size", "anchor"]).select("conv_id", "turn", "b", "p", "n")
+    text = F.array_join(F.slice("words", F.col("p") + 1, F.col("n")), " ")
+    held = near_runs.join(bodies, ["conv_id", "turn", "b"]).where(F.col("p") + F.col("n") <= F.size("words")).select(F.md5(text).alias("hash"), "conv_id", "turn")
+    held = held.join(runs.select("hash").distinct(), "hash", "left_semi")
+    known = materialise(held.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn")), "held")
+
+    asked = quotes.select("conv_id", "turn", "raw").distinct().join(runs.select("raw", "choice", "hash"), "raw")
+    near = known.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h"), F.col("turn").alias("near"))
+    far = known.groupBy(F.col("hash").alias("_h")).agg(F.min(F.struct("turn", "conv_id")).alias("far"))
+    asked = asked.join(near, (F.col("conv_id") == F.col("_c")) & (F.col("hash") == F.col("_h")), "left").drop("_c", "_h")
+    asked = asked.join(far, F.col("hash") == F.col("_h"), "left").drop("_h")
+    to = _earlier(F.col("near"), F.col("far"))
+    best = F.min_by(to, F.when(to.isNotNull(), F.col("choice"))).alias("to")
+    return asked.where(to.isNotNull()).groupBy("conv_id", "turn", "raw").agg(best)
+
+
+def _earlier(near: Column, far: Column) -> Column:
+    """(conv_id, turn) of the text's earliest message in the conversation, or else in all, if it precedes."""
+    here = F.when(near < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), near.alias("turn")))
+    return F.coalesce(here, F.when(far < F.struct("turn", "conv_id"), F.struct(far["conv_id"].alias("conv_id"), far["turn"].alias("turn"))))
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, part, level, hash, to_conv, to_turn): every quoted passage, with its message where one is found.
 
     The index is summed up to one row per text and conversation, and one per text, before it
-    meets the quotes, so that common passages do not multiply.
+    meets the quotes, so that common passages do not multiply.  Passages that are no whole body
+    are looked up as runs of words.
     """
     quotes = parsed.select("conv_id", "turn", F.posexplode("parts").alias("part", "p")).where("p.level > 0")
-    first = F.get(F.filter(F.split("p.text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    quotes = quotes.select("conv_id", "turn", "part", "p.level", digest(F.col("p.text")).alias("hash"), digest(first).alias("line"))
-    known = materialise(index(parsed).groupBy("kind", "hash", "conv_id").agg(F.min("turn").alias("turn")), "passages")
-    out = quotes
-    for kind, key in ((0, "hash"), (1, "line")):
-        here = known.where(F.col("kind") == kind)
-        near = here.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h"), F.col("turn").alias(f"near{kind}"))
-        far = here.groupBy(F.col("hash").alias("_h")).agg(F.min(F.struct("turn", "conv_id")).alias(f"far{kind}"))
-        out = out.join(near, (F.col("conv_id") == F.col("_c")) & (F.col(key) == F.col("_h")), "left").drop("_c", "_h")
-        out = out.join(far, F.col(key) == F.col("_h"), "left").drop("_h")
-    own = F.struct("turn", "conv_id")
-    found = []
-    for kind in (0, 1):
-        near, far = F.col(f"near{kind}"), F.col(f"far{kind}")
-        found.append(F.when(near < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), near.alias("turn"))))
-        found.append(F.when(far < own, F.struct(far["conv_id"].alias("conv_id"), far["turn"].alias("turn"))))
-    to = F.coalesce(*found)
+    quotes = quotes.select("conv_id", "turn", "part", "p.level", digest(F.col("p.text")).alias("hash"), F.md5("p.text").alias("raw"), F.col("p.text").alias("text"))
+    known = materialise(index(parsed).groupBy("hash", "conv_id").agg(F.min("turn").alias("turn")), "passages")
+    near = known.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h"), F.col("turn").alias("near"))
+    far = known.groupBy(F.col("hash").alias("_h")).agg(F.min(F.struct("turn", "conv_id")).alias("far"))
+    out = quotes.join(near, (F.col("conv_id") == F.col("_c")) & (F.col("hash") == F.col("_h")), "left").drop("_c", "_h")
+    out = out.join(far, F.col("hash") == F.col("_h"), "left").drop("_h")
+    out = out.withColumn("to", _earlier(F.col("near"), F.col("far"))).drop("near", "far")
+    out = materialise(out.withColumn("text", F.when(F.col("to").isNull(), F.col("text"))), "whole")
+    open_ = out.where("to IS NULL AND hash IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
+    partial = partial_links(parsed, open_.select("conv_id", "turn", "raw", "text")).withColumnRenamed("to", "partial")
+    out = out.join(partial, ["conv_id", "turn", "raw"], "left")
+    to = F.coalesce("to", "partial")
     return out.select("conv_id", "turn", "part", "level", "hash", to["conv_id"].alias("to_conv"), to["turn"].alias("to_turn"))
 
 
@@ -159,7 +230,7 @@ def threads(messages: DataFrame) -> DataFrame:
 def as_replies(conversations: DataFrame) -> DataFrame:
     """The conversations as mail: every message quotes the one before it, and what that one quoted.
 
-    The table has no quotes of its own; odd turns are answered above the quote, even ones below.
+    What was quoted before loses its first line where enough words are left.  The table has no quotes of its own; odd turns are answered above the quote, even ones below.
     """
     rows = conversations.select("conv_id", "turn", "role", "text")
     text = rows.where("text IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("_text"))
@@ -168,7 +239,9 @@ def as_replies(conversations: DataFrame) -> DataFrame:
         earlier = text.select(F.col("conv_id").alias("_c"), (F.col("turn") + back).alias("_t"), F.col("_text").alias(f"_q{back}"))
         out = out.join(earlier, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").drop("_c", "_t")
     one = F.concat(F.lit("> "), F.replace("_q1", F.lit("\n"), F.lit("\n> ")))
-    two = F.concat(F.lit(">> "), F.replace("_q2", F.lit("\n"), F.lit("\n>> ")))
+    rest = F.regexp_replace("_q2", r"^[^\n]*\n", "")
+    shorter = F.when((rest != F.col("_q2")) & (F.size(_words(_lines(rest))) >= RUN_WORDS), rest).otherwise(F.col("_q2"))
+    two = F.concat(F.lit(">> "), F.replace(shorter, F.lit("\n"), F.lit("\n>> ")))
     said = F.concat(F.lit("On turn "), (F.col("turn") - 1).cast("string"), F.lit(" they wrote:"))
     above = F.concat_ws("\n", "text", F.when(one.isNotNull(), said), one, two)
     below = F.concat_ws("\n", two, F.when(one.isNotNull(), said), one, "text")

@@ -57,6 +57,33 @@ def test_long_chain_and_hot_passage(spark):
     assert sorted(r["position"] for r in rows) == list(range(370))
 
 
+def test_partial_quotes_need_all_their_lines(spark):
+    rows = [
+        (1, 0, "Hi all,\nlunch?"), (1, 1, "Hi all,\nI propose Monday.\nBob"),
+        (1, 2, "> Hi all,\n> I propose Monday.\nFine"),  # a common first line
+        (1, 3, "> Hi all,\n> something nobody ever wrote here\nNo"),
+        (2, 0, "Dear colleagues of the group,\nthe meeting is moved to Friday at ten\nin the large room\nAnn"),
+        (2, 1, "> of the group,\n> the meeting is moved\n> to Friday at ten\nreflowed"),
+        (2, 2, "> [...] group,\n> the meeting is moved to Friday at ten\n> in the large room\nfirst line trimmed"),
+        (2, 3, "> the meeting is moved to Friday at ten\n> in the small room of the annex\nother words"),
+        (2, 4, "> eagues of the group,\n> the meeting is moved to Fri\ncut inside words"),
+        (3, 9, "> I propose Monday.\n> Bob\nfrom elsewhere"), (3, 10, "> propose\nnot a whole line"), (3, 11, "> Monday.\n> Hi all,\nwrong order"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").selectExpr("conv_id", "turn", "'u' AS role", "text")
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in q.threads(df).collect()}
+    want = {(1, 2): (1, 1), (2, 1): (2, 0), (2, 2): (2, 0), (2, 4): (2, 0), (3, 9): (1, 1)}
+    assert got == {(c, t): want.get((c, t), (None, None)) for c, t, _ in rows}
+
+
+def test_query_quotes_in_part(spark):
+    """What as_replies writes has partial quotes, and all of them link."""
+    docs = spark.createDataFrame([(1, i, "u", f"Hi all,\nthis is what number {i} says\nbye") for i in range(4)], "conv_id bigint, turn bigint, role string, text string")
+    mail = q.as_replies(docs)
+    assert ">> Hi all," not in mail.where("turn = 2").first()["text"]
+    rows = q.threads(mail).collect()
+    assert {(r["turn"], r["n_linked"], r["parent_turn"]) for r in rows} == {(0, 0, None), (1, 1, 0), (2, 2, 1), (3, 2, 2)}
+
+
 def test_query_equals_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
