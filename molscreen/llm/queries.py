@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 import corpus_pipeline
-from molscreen.llm import exact_topk, kd_shards, mixing, packing, quality_model, quality_rules, quotations, rotated_codes, simhash, spelling, token_counts, url_filter
+from molscreen.llm import exact_topk, kd_shards, mixing, packing, prefix_trie, quality_model, quality_rules, quotations, rotated_codes, simhash, spelling, token_counts, url_filter
 from molscreen.session import ship
 
 
@@ -31,6 +31,7 @@ QUERIES = {
         "op9_mixing": mixing.query,
         "pipeline": corpus_pipeline.run,
         "op10_quality_rules": quality_rules.query,
+        "op11_prefix_trie": prefix_trie.query,
         "op12_spelling": spelling.query,
         "op13_exact_topk": exact_topk.query,
     }.items()
@@ -40,6 +41,7 @@ SQL = {
     "op2_url_filter": url_filter.SQL,
     "op9_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_spelling": spelling.SQL,
     "op13_exact_topk": exact_topk.SQL,
 }
