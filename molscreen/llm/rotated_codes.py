@@ -2,17 +2,21 @@
 
 Vectors are normalised, rotated by one random orthogonal matrix, and kept as one sign bit per
 dimension, packed, with two correction scalars: the norm and the agreement of the code with its
-vector.  A query is rotated likewise and rounded to ``QUERY_BITS`` bits; its inner product with
-a code is a few popcounts.  The estimate has a known error bound, and only candidates whose
-upper bound reaches the k-th best exact score so far are computed exactly, in double precision.
+vector.  The inner product of a rotated query with a code, divided by the agreement, estimates
+that of the vectors and has a known standard error.  The candidates with the highest upper
+bounds are computed exactly, in double precision; of the others only those whose upper bound
+reaches the k-th best score found there.
 
-Queries and candidates meet in blocks of bounded size; each block keeps its k best per query
-and the lists are merged.  Every row is indexed; no training sample is needed.
+Candidates are dealt once to blocks of bounded size and encoded there once; the queries stream
+past every block, some at a time, so one product of a few queries with all codes of a block
+serves them together.  Each block keeps its k best per query and the lists are merged.  Every
+row is indexed and no training sample is needed.  There are no coarse lists: on vectors without
+clusters, such as those of the test tables, half of all lists must be read for a recall of 0.9.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no
 part; only vectors of equal length are compared; a query never finds rows with its own id; a
-query id that repeats asks once, with its smallest vector; ties go to the smaller
-id; fewer candidates than k give all of them.
+query id that repeats asks once, with its smallest vector; repeated rows spread over all blocks;
+ties go to the smaller id; fewer candidates than k give all of them.
 """
 
 from __future__ import annotations
@@ -24,16 +28,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molscreen.llm.common import hash63
+from molscreen.llm.common import quoted
 from molscreen.session import materialise
 
 K = 20
 QUERY_EVERY = 20
-QUERY_BITS = 6
-#: Standard errors that the bound covers.
-SIGMAS = 3.0
-QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 8192
+#: Standard errors that the bound covers; infinite: every candidate is computed exactly.
+SIGMAS = 2.5
+#: Queries that meet a block's codes together.
+QUERY_BLOCK = 32
+#: Candidates of a block at most, and their components: a task's memory follows from them.
+CANDIDATE_BLOCK = 65_536
+BLOCK_VALUES = 1 << 22
+#: Candidates are dealt to more blocks than memory asks for, of this many rows, for parallel tasks.
+TASK_ROWS = 2048
+TASK_BLOCKS = 24
 SEED = 7
 
 
@@ -59,44 +68,59 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
+def signs(codes: np.ndarray, dim: int) -> np.ndarray:
+    """Packed codes as rows of -1 and 1."""
+    bits = np.unpackbits(codes.view(np.uint8), axis=1, count=dim, bitorder="little")
+    return bits.astype(np.float32) * np.float32(2) - np.float32(1)
+
+
+def corrections(norm: np.ndarray, agreement: np.ndarray, dim: int, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.ndarray]:
+    """(factor, margin): factor times the product of a unit query and the signs is the estimate, margin its bound."""
+    error = np.sqrt(np.maximum(0.0, 1 - agreement**2) / max(1, dim - 1)) / agreement
+    return norm / agreement / math.sqrt(dim), norm * error * sigmas
+
+
 def estimate(codes: np.ndarray, norm: np.ndarray, agreement: np.ndarray, query: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated inner product, error bound) of one query with every code."""
-    d = len(query)
-    length = np.linalg.norm(query)
-    rotated = (query / length) @ turn
-    low = rotated.min()
-    step = max((rotated.max() - low) / ((1 << QUERY_BITS) - 1), 1e-300)
-    level = np.rint((rotated - low) / step).astype(np.uint64)
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    total = np.zeros(len(codes), np.int64)
-    for b in range(QUERY_BITS):
-        plane = _packed(((level >> np.uint64(b)) & np.uint64(1)).astype(bool)[None, :])[0]
-        total += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << b
-    # sum over the set bits, less the sum over the others
-    on = step * total + low * ones
-    inner = (2 * on - (step * level.sum() + low * d)) / math.sqrt(d)
-    rounding = step * math.sqrt(d) / 2
-    spread = np.sqrt(np.maximum(0.0, 1 - agreement**2) / max(1, d - 1)) * SIGMAS
-    return norm * length * inner / agreement, norm * length * (spread + rounding / math.sqrt(d)) / agreement
-
-
-def search(ids: np.ndarray, vectors: np.ndarray, codes, query_id: int, query: np.ndarray, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of a block's best k for one query.
-
-    The candidates with the highest upper bounds are computed first; of the others only those
-    whose upper bound reaches the k-th best score found there.
-    """
-    guess, bound = estimate(*codes, query, turn)
-    upper = np.where(ids == query_id, -np.inf, guess + bound)
-    n = min(4 * k, len(upper))
-    pick = np.argpartition(-upper, n - 1)[:n]
-    pick = pick[upper[pick] > -np.inf]
-    if len(pick) >= k:
-        kth = np.partition(_exact(vectors, pick, query), len(pick) - k)[len(pick) - k]
-        pick = np.union1d(pick, np.flatnonzero(upper >= kth))
-    score = _exact(vectors, pick, query)
-    first = np.lexsort((ids[pick], -score))[:k]
-    return ids[pick][first], score[first]
+    """(estimated inner product, error bound) of a query, or of each row of queries, with every code."""
+    length = np.linalg.norm(query, axis=-1, keepdims=True)
+    factor, margin = corrections(norm, agreement, query.shape[-1])
+    return ((query / length) @ turn) @ signs(codes, query.shape[-1]).T * factor * length, margin * length
+
+
+class Block:
+    """Candidates of one block with their codes."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, sigmas: float):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        dim = vectors.shape[1]
+        self.turn = rotation(dim)
+        codes, norm, agreement = encode(self.vectors.astype(np.float64), self.turn)
+        factor, margin = corrections(norm, agreement, dim, sigmas)
+        # one row per dimension, scaled, so that a product with queries gives the estimates
+        self.codes = np.ascontiguousarray((signs(codes, dim) * factor[:, None].astype(np.float32)).T)
+        self.margin = margin.astype(np.float32)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        """(query id, ids, scores) of the block's best k for every query."""
+        for start in range(0, len(queries), QUERY_BLOCK):
+            some = queries[start : start + QUERY_BLOCK].astype(np.float64)
+            length = np.linalg.norm(some, axis=1)
+            upper = ((some / length[:, None]) @ self.turn).astype(np.float32) @ self.codes + self.margin
+            names = query_ids[start : start + QUERY_BLOCK]
+            for row, low, high in zip(upper, np.searchsorted(self.ids, names), np.searchsorted(self.ids, names, "right")):
+                row[low:high] = -np.inf
+            n = min(4 * k, upper.shape[1])
+            first = np.argpartition(upper, upper.shape[1] - n, axis=1)[:, -n:]
+            for name, q, size, row, pick in zip(names.tolist(), some, length, upper, first):
+                pick = pick[row[pick] > -np.inf]
+                if len(pick) >= k:
+                    kth = np.partition(_exact(self.vectors, pick, q), len(pick) - k)[len(pick) - k]
+                    # at least those in hand, whatever rounding does to the bar
+                    pick = np.union1d(pick, np.flatnonzero(row >= np.float32(kth / size)))
+                score = _exact(self.vectors, pick, q)
+                best = np.lexsort((self.ids[pick], -score))[:k]
+                yield name, self.ids[pick[best]], score[best]
 
 
 def _exact(vectors: np.ndarray, pick: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -110,35 +134,43 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", sigmas: float = SIGMAS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for every query row."""
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    rows = materialise(rows.where(usable(F.col("v")) & F.col("id").isNotNull()).withColumn("d", F.size("v")), "vectors")
-    n, n_q = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    c_blocks, q_blocks = max(1, math.ceil(n / CANDIDATE_BLOCK)), max(1, math.ceil(n_q / QUERY_BLOCK))
-    place = hash63(F.lit(SEED), "id", "v")
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # every block of candidates meets every block of queries once
-    right = rows.select("d", (place % c_blocks).cast("int").alias("c"), grid(q_blocks).alias("b"), "id", "v", F.lit(0).alias("side"))
-    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    left = asked.select("d", grid(c_blocks).alias("c"), (place % q_blocks).cast("int").alias("b"), "id", "v", F.lit(1).alias("side"))
-
-    def block(table: pa.Table) -> pa.Table:
-        d = table.column("d")[0].as_py()
-        ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
-        side = table.column("side").to_numpy()
-        mine, queries = flat[side == 0], flat[side == 1]
-        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(mine) and len(queries):
-            turn = rotation(d)
-            names, codes = ids[side == 0], encode(mine, turn)
-            for q, vector in zip(ids[side == 1].tolist(), queries):
-                got, score = search(names, mine, codes, q, vector, k, turn)
-                found.append((np.full(len(got), q), got, score))
-        return pa.table([np.concatenate(c) for c in zip(*found)], schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
-
-    found = left.unionByName(right).groupBy("d", "c", "b").applyInArrow(block, "query_id bigint, id bigint, score double")
+    narrow = dict(vectors.dtypes)[vector] == "array<float>"
+    v = quoted(vector).cast("array<float>" if narrow else "array<double>")
+    rows = vectors.select(quoted(vec_id).cast("bigint").alias("id"), v.alias("v"), is_query.alias("q"))
+    rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull()).withColumn("d", F.size("v"))
+    # the place is stored, so a task that runs again deals its rows as before
+    rows = materialise(rows.withColumn("place", F.monotonically_increasing_id()), "vectors")
+    n, d = rows.agg(F.count(F.lit(1)), F.max("d")).first()
+    most = max(1, min(CANDIDATE_BLOCK, BLOCK_VALUES // (d or 1)))
+    blocks = max(1, math.ceil(n / most), min(TASK_BLOCKS, math.ceil(n / TASK_ROWS)))
+    deal = F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")
+    mine = rows.select("d", deal.alias("c"), F.lit(0).alias("side"), "id", "v")
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), F.lit(1).alias("side"), "id", "v")
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        now, held, block = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]) if batch.num_rows else ():
+                dim, c, side = key[:, a].tolist()
+                if (dim, c) != now:
+                    now, held, block = (dim, c), [], None
+                ids = batch.column("id").slice(a, z - a).to_numpy()
+                flat = batch.column("v").slice(a, z - a).flatten().to_numpy().reshape(-1, dim)
+                if side == 0:
+                    held.append((ids, flat))
+                elif held:
+                    block = block or Block(*map(np.concatenate, zip(*held)), sigmas)
+                    found = [(np.full(len(got), name), got, score) for name, got, score in block.search(ids, flat, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=schema)
+
+    met = mine.unionByName(asked).repartition(blocks, "d", "c").sortWithinPartitions("d", "c", "side")
+    found = met.mapInArrow(run, "query_id bigint, id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -59,3 +59,15 @@ def test_blocks_and_awkward_vectors(spark, monkeypatch):
         assert [v for v, _ in got[query]] == [v for v, _ in want]
     assert got[80] == [(68, 10.0)]
     assert q.neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_without_bounds_the_search_is_exact(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((3000, 40)) * rng.uniform(0.1, 3, (3000, 1))
+    vectors[500:1500] = vectors[500]
+    ids = np.arange(3000)
+    df = spark.createDataFrame(list(zip(ids.tolist(), vectors.tolist())), "vec_id bigint, embedding array<double>").selectExpr("*", "1 as id", "2 as d", "map(1, 2) as `a.b`")
+    got = {}
+    for r in q.neighbours(df, F.col("vec_id") % 100 == 0, 10, sigmas=float("inf")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {i: exact(ids, vectors, i, 10) for i in range(0, 3000, 100)}
