@@ -41,8 +41,9 @@ QUERY_BLOCK = 32
 CANDIDATE_BLOCK = 65_536
 BLOCK_VALUES = 1 << 22
 #: Candidates are dealt to more blocks than memory asks for, of this many rows, for parallel tasks.
-TASK_ROWS = 2048
-TASK_BLOCKS = 24
+#: Every block gives k rows per query, so blocks are few.
+TASK_ROWS = 4096
+TASK_BLOCKS = 12
 SEED = 7
 
 
