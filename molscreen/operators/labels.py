@@ -1,21 +1,29 @@
-"""Identity of molecules from refined atom labels, as Spark expressions.
+"""Identity of molecules from refined atom labels.
 
-Every atom starts from its kind and the numbers of closed walks through it, and takes on a hash
-of its own label and its neighbours' sorted labels, once per atom of the kept component.  Nothing
-depends on the order in which atoms were written: symmetric atoms keep equal labels, and the
-key is a digest of sorted labels.  No value is clipped.
+Every atom starts from its kind and takes on a hash of its own label and its neighbours' sorted
+labels until a round tells no more atoms apart.  Nothing depends on the order in which atoms were
+written.  Where all labels differ they determine the molecule.  Where atoms still share a label,
+each atom is singled out in turn, the labels are refined anew around it, and what comes out (it
+holds every distance from that atom, and the sizes of the rings through it, whatever their
+length) joins its label before a last refinement.  The key is a digest of the sorted labels.
 
-Two molecules share a key if their atoms agree in labels and closed-walk counts up to length
-``WALKS``; regular graphs beyond that are told apart by nothing here.  Stereo marks count where
-the neighbours of a centre, or of a double bond's end, have different labels.
+All of it are Spark expressions but the view from each atom, which has as many labels as pairs
+of atoms and is refined for all molecules of an Arrow batch together.
+
+No size is cut off; two molecules share a key only if they look alike from every single atom.
+Stereo marks count where the neighbours of a centre, or of a double bond's end, have different
+labels.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WALKS = 8
+from molscreen.session import opaque
+
 UP, DOWN = 6, 7  # direction marks among the bond kinds
 
 
@@ -48,35 +56,90 @@ def add_neighbours(perceived: DataFrame) -> DataFrame:
     return bonds.withColumn("_nbr", F.transform(atoms, entries)).drop("_bonds")
 
 
-def closed_walks(i: Column) -> Column:
-    """Numbers of walks of 3 to ``WALKS`` steps from atom ``i`` back to it."""
-    start = F.struct(
-        F.transform("_nbr", lambda _, j: F.when(i == j, F.lit(1)).otherwise(F.lit(0)).cast("bigint")).alias("at"), F.array().cast("array<bigint>").alias("back")
-    )
+def _refined(seed: Column) -> Column:
+    """Labels hashed with the sorted labels around them, until no more atoms are told apart."""
+    told = lambda labels: F.size(F.array_distinct(labels))
 
     def step(acc: Column, _k: Column) -> Column:
-        spread = F.transform("_nbr", lambda near: F.aggregate(near, F.lit(0).cast("bigint"), lambda s, e: s + F.get(acc["at"], e["to"])))
-        return F.struct(spread.alias("at"), F.concat(acc["back"], F.array(F.get(acc["at"], i))).alias("back"))
-
-    # the count of the last step is read one step later
-    return F.slice(F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), start, step)["back"], 4, WALKS - 2)
+        labels = acc["labels"]
+        around = lambda near: F.sort_array(F.transform(near, lambda n: F.xxhash64(n["kind"], F.get(labels, n["to"]))))
+        new = F.transform("_nbr", lambda near, i: F.xxhash64(F.get(labels, i), around(near)))
+        # the count before the round tells at the next one whether anything changed
+        done = acc["before"] == acc["told"]
+        return F.when(done, acc).otherwise(F.struct(new.alias("labels"), acc["told"].alias("before"), told(new).alias("told")))
+
+    # a stable partition may need as many rounds as there are atoms
+    rounds = F.when(F.size(seed) > 0, F.sequence(F.lit(1), F.size(seed))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(seed.alias("labels"), F.lit(0).alias("before"), told(seed).alias("told"))
+    return F.aggregate(rounds, start, step)["labels"]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser."""
+    # --- fixed values of that generator ---
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Labels that are refined at once.
+_VIEW_CELLS = 1 << 19
+
+
+def _views(labels: pa.Array, component: pa.Array, largest: pa.Array, bond_a: pa.Array, bond_b: pa.Array, kind: pa.Array) -> pa.Array:
+    """What each atom of the kept component sees: a hash of all labels refined around it; molecules of one size together."""
+    flat = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+    counts = labels.value_lengths().to_numpy(zero_copy_only=False)
+    first = np.cumsum(counts) - counts
+    mol = np.repeat(np.arange(len(counts)), counts)
+    label = flat(labels).view(np.uint64)
+    kept = flat(component) == np.repeat(largest.to_numpy(zero_copy_only=False), counts)
+    size = np.bincount(mol[kept], minlength=len(counts))
+    bonds = bond_a.value_lengths().to_numpy(zero_copy_only=False)
+    base = np.repeat(first, bonds)
+    a, b, k = flat(bond_a) + base, flat(bond_b) + base, np.where(np.isin(flat(kind), (UP, DOWN)), 1, flat(kind))
+    source, target, k = np.concatenate([a, b]), np.concatenate([b, a]), _mix(np.concatenate([k, k]).astype(np.uint64))
+    inside = kept[target] if len(target) else np.zeros(0, bool)
+    source, target, k = source[inside], target[inside], k[inside]
+    out = np.zeros(len(label), np.uint64)
+    for n in np.unique(size[size > 1]):
+        same = np.flatnonzero(size == n)
+        step = max(1, _VIEW_CELLS // int(n * n))
+        for at in range(0, len(same), step):
+            chosen = np.zeros(len(counts), bool)
+            chosen[same[at : at + step]] = True
+            atoms = np.flatnonzero(kept & chosen[mol])
+            place = np.zeros(len(label), np.int64)
+            place[atoms] = np.arange(len(atoms))
+            edge = np.flatnonzero(chosen[mol[target]])
+            edge = edge[np.argsort(target[edge], kind="stable")]
+            starts = np.flatnonzero(np.diff(target[edge], prepend=-1))
+            frm, bond = place[source[edge]], k[edge]
+            # row i: all labels as seen from the i-th atom of each molecule
+            seen = np.tile(label[atoms], (n, 1))
+            own = np.arange(len(atoms))
+            seen[own % n, own] = _mix(seen[own % n, own] + np.uint64(1))
+            for _ in range(n // 2 + 1):  # rings are met halfway from both sides
+                seen = _mix(seen) + np.add.reduceat(_mix(seen[:, frm] ^ bond), starts, axis=1)
+            views = _mix(_mix(seen).reshape(n, -1, n).sum(axis=2, dtype=np.uint64))
+            out[atoms] = views.T.ravel()
+    offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(out.view(np.int64)))
 
 
 def add_labels(perceived: DataFrame) -> DataFrame:
     """Add ``label``: one refined label per atom, equal for symmetric atoms."""
     near = add_neighbours(perceived)
-    atoms = _zip("number", "charge", "hs", "aromatic")
-    seed = F.transform(atoms, lambda a, i: F.xxhash64(a["number"], a["charge"], a["hs"], a["aromatic"], closed_walks(i)))
-
-    def round_(labels: Column, _k: Column) -> Column:
-        return F.transform(
-            "_nbr", lambda e, i: F.xxhash64(F.get(labels, i), F.array_sort(F.transform(e, lambda n: F.xxhash64(n["kind"], F.get(labels, n["to"])))))
-        )
-
-    # as many rounds as the kept component has atoms: a salt next to it changes nothing
-    n = F.size(F.filter("component", lambda c: c == F.col("largest")))
-    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return near.withColumn("_seed", seed).withColumn("label", F.aggregate(rounds, F.col("_seed"), round_)).drop("_seed")
+    seed = F.transform(_zip("number", "charge", "hs", "aromatic"), lambda a: F.xxhash64(a["number"], a["charge"], a["hs"], a["aromatic"]))
+    first = near.withColumn("_first", _refined(seed))
+    tied = F.size(F.array_distinct("_first")) < F.size("_first")
+    asked = lambda c, kind: F.when(tied, F.col(c)).otherwise(F.array().cast(f"array<{kind}>"))
+    ints = [asked(c, "int") for c in ("component", "bond_a", "bond_b", "bond_kind")]
+    views = opaque(_views, "array<bigint>")(asked("_first", "bigint"), ints[0], F.coalesce("largest", F.lit(0)), *ints[1:])
+    told = first.withColumn("_views", views)
+    joined = F.transform("_first", lambda v, i: F.xxhash64(v, F.get("_views", i)))
+    told = told.withColumn("label", F.when(tied, _refined(joined)).otherwise(F.col("_first")))
+    return told.drop("_first", "_views")
 
 
 def _centre(i: Column) -> Column:
@@ -88,7 +151,7 @@ def _centre(i: Column) -> Column:
     near = F.get("_nbr", i)
     places = F.transform(near, lambda n: F.struct((n["order"] * 2).alias("at"), F.get("label", n["to"]).alias("label")))
     hydrogen = F.array_repeat(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("label")), F.get("hs", i))
-    given = F.transform(F.array_sort(F.concat(places, hydrogen)), lambda p: p["label"])
+    given = F.transform(F.sort_array(F.concat(places, hydrogen)), lambda p: p["label"])
     swaps = F.aggregate(
         F.transform(given, lambda x, p: F.size(F.filter(F.slice(given, p + 2, F.size(given)), lambda y: y < x))), F.lit(0), lambda s, n: s + n
     )
@@ -99,7 +162,7 @@ def _centre(i: Column) -> Column:
 def _side(i: Column, other: Column) -> Column:
     """Side of the substituent with the highest label at one end of a double bond; null without a mark or a difference."""
     rest = F.filter(F.get("_nbr", i), lambda n: n["to"] != other)
-    ranked = F.reverse(F.array_sort(F.transform(rest, lambda n: F.struct(F.get("label", n["to"]).alias("label"), n["mark"].alias("mark")))))
+    ranked = F.reverse(F.sort_array(F.transform(rest, lambda n: F.struct(F.get("label", n["to"]).alias("label"), n["mark"].alias("mark")))))
     labels = F.transform(ranked, lambda r: r["label"])
     top, second = F.get(ranked, F.lit(0))["mark"], F.get(ranked, F.lit(1))["mark"]
     side = F.when(top != 0, top).when(second != 0, -second)
@@ -112,7 +175,7 @@ def _double_bonds() -> Column:
 
     def entry(b: Column) -> Column:
         turn = _side(b["bond_a"], b["bond_b"]) * _side(b["bond_b"], b["bond_a"])
-        ends = F.array_sort(F.array(F.get("label", b["bond_a"]), F.get("label", b["bond_b"])))
+        ends = F.sort_array(F.array(F.get("label", b["bond_a"]), F.get("label", b["bond_b"])))
         return F.struct(b["bond_a"].alias("at"), F.when(turn.isNotNull(), F.xxhash64(ends, turn)).alias("mark"))
 
     return F.transform(doubles, entry)
@@ -124,7 +187,7 @@ def letters(text: Column) -> Column:
 
 
 def _text(values: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(values), lambda v: v.cast("string")), " ")
+    return F.array_join(F.transform(F.sort_array(values), lambda v: v.cast("string")), " ")
 
 
 def add_key(perceived: DataFrame) -> DataFrame:
@@ -137,7 +200,7 @@ def add_key(perceived: DataFrame) -> DataFrame:
     atoms = F.filter(F.transform("label", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda a: kept(a["i"]))
     bonds = F.filter(_zip("bond_a", "bond_b", "bond_kind"), lambda b: kept(b["bond_a"]))
     bond = lambda b: F.xxhash64(
-        F.array_sort(F.array(F.get("label", b["bond_a"]), F.get("label", b["bond_b"]))), F.when(b["bond_kind"].isin(UP, DOWN), 1).otherwise(b["bond_kind"])
+        F.sort_array(F.array(F.get("label", b["bond_a"]), F.get("label", b["bond_b"]))), F.when(b["bond_kind"].isin(UP, DOWN), 1).otherwise(b["bond_kind"])
     )
     plain = F.concat(_text(F.transform(atoms, lambda a: a["v"])), F.lit("|"), _text(F.transform(bonds, bond)))
     isotopes = F.transform(F.filter(atoms, lambda a: F.get("isotope", a["i"]) != 0), lambda a: F.xxhash64(a["v"], F.get("isotope", a["i"])))

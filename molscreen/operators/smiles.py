@@ -238,8 +238,8 @@ def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
     per_mol = t.groupBy("mol").agg(
         F.min("smiles").alias("smiles"),
         F.min("bad_input").alias("bad_input"),
-        F.array_sort(F.collect_list(atom)).alias("atoms"),
-        F.array_sort(F.collect_list(bond)).alias("bonds"),
+        F.sort_array(F.collect_list(atom)).alias("atoms"),
+        F.sort_array(F.collect_list(bond)).alias("bonds"),
         F.min(F.when(F.col("code").isNotNull(), F.struct("i", "code", "position", "body"))).alias("first"),
         F.max_by("depth", "i").alias("open_branches"),
         # the label opened last and never closed

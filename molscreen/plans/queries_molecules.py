@@ -14,7 +14,7 @@ from molscreen.operators import molgraph as G
 from molscreen.operators import smiles as S
 from molscreen.operators import split as P
 from molscreen.operators.clean import clean_dataset
-from molscreen.plans.tables import big, block_molecules, block_sql, spelled_molecules
+from molscreen.plans.tables import big, block_molecules, block_sql, ring_molecules, spelled_molecules
 from molscreen.session import materialise
 
 QUERIES, SQL = {}, {}
@@ -173,6 +173,23 @@ def molecule_identity(spark, sf_dir):
     ).drop("mol_key")
 
 
+@query(
+    """
+    SELECT CAST(p_size + 1 AS INT) AS lowest, CAST(p_size + 1 AS INT) AS highest, CAST(p_partkey // 7 % 2 AS BIGINT) AS shape, count(*) AS n_rows,
+      min(p_partkey) AS first_part, CAST(2 * (p_size + 1) + 2 AS INT) AS heavy_atoms
+    FROM part GROUP BY p_size, p_partkey // 7 % 2
+    """
+)
+def ring_identity(spark, sf_dir):
+    """One key per ring size and shape, however large the rings are: grouped by key alone."""
+    rows = ring_molecules(spark, sf_dir)
+    joined = rows.drop("smiles").join(_canonical(rows, "p_partkey"), "p_partkey")
+    return joined.groupBy("mol_key").agg(
+        F.min("r").alias("lowest"), F.max("r").alias("highest"), F.max("shape").alias("shape"), F.count(F.lit(1)).alias("n_rows"),
+        F.min("p_partkey").alias("first_part"), F.max("heavy_atoms").alias("heavy_atoms"),
+    ).drop("mol_key")
+
+
 @query(
     """
     SELECT count(*) AS n_rows, count(*) AS stable, count(DISTINCT o_orderkey % 9) AS keys FROM orders

@@ -107,6 +107,22 @@ def spelled_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", cls.alias("class"), text.alias("smiles"))
 
 
+def ring_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, r, shape, smiles): two rings of equal size per part, with a common bond or a bond between them.
+
+    Both shapes of one ``r`` have the same atoms, and each is written from several atoms.
+    """
+    k, r = F.col("p_partkey"), F.col("p_size") + 1
+    chain = lambda n: F.repeat(F.lit("C"), n.cast("int"))
+    at = F.pmod(F.col("p_partkey"), r - 1)  # atoms before the branching one
+    rest = r - 2 - at
+    shared = F.concat(F.lit("C1"), chain(at), F.lit("C2"), chain(r), F.lit("C2"), chain(rest), F.lit("C1"))
+    joined = F.concat(F.lit("C1"), chain(at), F.lit("C(C2"), chain(r - 1), F.lit("C2)"), chain(rest), F.lit("C1"))
+    shape = F.floor(k / 7) % 2
+    text = F.when(shape == 0, shared).otherwise(joined)
+    return read(spark, sf_dir, "part").select("p_partkey", r.alias("r"), shape.alias("shape"), text.alias("smiles"))
+
+
 def block_sql() -> str:
     """The derived molecules' composition in SQL, from the same block lists."""
 

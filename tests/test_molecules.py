@@ -301,3 +301,34 @@ def test_more_than_ninety_nine_open_rings(spark):
     row = parsed(spark, ["C%(100)CC%(100)", text]).orderBy("id").collect()
     assert (row[0].n_atoms, row[0].n_bonds) == (3, 3)
     assert row[1].error_code == "too_large"
+
+
+def _bridged(r):
+    """Two rings of r + 2 atoms that share a bond."""
+    return [(i, i + 1) for i in range(2 * r + 1)] + [(0, r + 1), (0, 2 * r + 1)]
+
+
+def _joined(r):
+    """Two rings of r + 1 atoms with a bond between them."""
+    n = r + 1
+    return [(i, (i + 1) % n) for i in range(n)] + [(n + i, n + (i + 1) % n) for i in range(n)] + [(0, n)]
+
+
+def _petersen(n, k):
+    """Generalised Petersen graph: (10, 2) is the dodecahedron, (10, 3) the Desargues graph."""
+    return [(i, (i + 1) % n) for i in range(n)] + [(i, n + i) for i in range(n)] + [(n + i, n + (i + k) % n) for i in range(n)]
+
+
+def test_large_rings_and_cages_of_one_size_differ(spark):
+    rng = random.Random(9)
+    ladder = [(i, (i + 1) % 10) for i in range(10)] + [(10 + i, 10 + (i + 1) % 10) for i in range(10)] + [(i, 10 + i) for i in range(10)]
+    twisted = [(i, i + 1) for i in range(19)] + [(19, 0)] + [(i, i + 10) for i in range(10)]
+    shapes = [_bridged(8), _joined(8), _bridged(9), _joined(9), _bridged(30), _joined(30), _petersen(10, 2), _petersen(10, 3), ladder, twisted]
+    keys = _keys(spark, [_spelling(max(map(max, e)) + 1, e, rng) for e in shapes for _ in range(4)])
+    per = [set(keys[4 * i : 4 * i + 4]) for i in range(len(shapes))]
+    assert [len(k) for k in per] == [1] * len(shapes) and len(set.union(*per)) == len(shapes) and None not in keys
+
+
+def test_rings_of_any_size_differ(spark):
+    keys = _keys(spark, [f"C1{'C' * n}C1" for n in range(1, 90)])
+    assert len(set(keys)) == 89
