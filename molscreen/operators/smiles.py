@@ -1,15 +1,15 @@
-"""SMILES text to molecular graphs, as one relational job.
+"""SMILES text to molecular graphs, in one fold per row.
 
-A structure becomes a run of tokens, and everything the notation implies is an ordered
-aggregate over that run: atom numbers are running counts, branch depth is a running sum,
-the atom a token attaches to is the last atom at its own depth, and the two ends of a ring
-bond are neighbouring occurrences of one label.  All windows share the molecule id as
-their leading key, so the only shuffle moves the compact text, before it is exploded.
+A structure becomes an array of tokens, and everything the notation implies is carried along
+them: the place in the text, the number of atoms, the atom that the next one attaches to at every
+open branch (a stack as deep as the branches), the ring labels that are open, and the atoms and
+bonds so far.  The first token that is wrong ends the fold.  Rows are shuffled once, as compact
+text, so that equal rows meet; nothing is exploded, sorted or grouped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molscreen.functions.validate import input_error
@@ -32,6 +32,8 @@ TOKEN = rf"{BOND}?(?:\[[^\[\]]*\]|{ORGANIC}|%[0-9]{{2}}|%\([0-9]{{1,4}}\)|[0-9])
 # numbers of more than nine digits are no valid bracket
 BRACKET = r"^\[([0-9]{0,9})([A-Z][a-z]?|[bcnops]|se|as)(@{0,2})(H[0-9]{0,9})?([+-][0-9]{1,9}|\++|-+)?(:[0-9]+)?\]$"
 
+ORGANIC_SYMBOLS = ["Cl", "Br", *"BCNOPSFIbcnops"]
+BOND_MARKS = "-=#$:/\\"
 IMPLICIT = -1  # hydrogen count still to be derived from the valence
 
 
@@ -89,102 +91,130 @@ def _charge(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(sign * size)
 
 
-def tokens(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
-    """One row per token with kind, depth, atom number and the atom it attaches to.
+def _typed(words: Column) -> Column:
+    """Token texts as structs of what each token says by itself."""
+
+    def split(tok: Column, i: Column) -> Column:
+        marked = (F.length(tok) > 1) & (F.instr(F.lit(BOND_MARKS), F.substring(tok, 1, 1)) > 0)
+        return F.struct(i.alias("i"), F.length(tok).alias("width"), marked.alias("has_bond"), F.when(marked, F.substring(tok, 1, 1)).alias("mark"), F.when(marked, F.substring(tok, 2, 1000)).otherwise(tok).alias("body"))
+
+    def kind(t: Column) -> Column:
+        b = t["body"]
+        first = F.substring(b, 1, 1)
+        return (
+            F.when(b.isin(ORGANIC_SYMBOLS), "atom")
+            .when((first == "[") & b.endswith("]"), "bracket")
+            .when(((first >= "0") & (first <= "9")) | ((first == "%") & (F.length(b) > 1)), "ring")
+            .when(b == "(", "open")
+            .when(b == ")", "close")
+            .when(b == ".", "dot")
+            .otherwise("bad")
+        )
+
+    def parts(t: Column) -> Column:
+        # a bracket atom cut once: isotope, symbol, chirality, hydrogens, charge
+        cut = F.array(*[F.regexp_extract(t["body"], BRACKET, n) for n in range(1, 6)])
+        return F.struct(
+            *[t[c].alias(c) for c in ("i", "width", "has_bond", "body")], kind(t).alias("kind"), bond_code(t["mark"]).alias("bond"),
+            F.when(t["body"].startswith("["), cut).alias("parts"),
+        )
+
+    def told(t: Column) -> Column:
+        k, b = t["kind"], t["body"]
+        part = lambda n: F.get(t["parts"], F.lit(n - 1))
+        bracket, is_atom = k == "bracket", k.isin("atom", "bracket")
+        symbol = F.when(bracket, part(2)).otherwise(b)
+        hs = F.when(part(4) == "", 0).when(part(4) == "H", 1).otherwise(F.substring(part(4), 2, 9).try_cast("int"))
+        return F.struct(
+            *[t[c].alias(c) for c in ("i", "width", "has_bond", "body", "kind", "bond")],
+            is_atom.alias("is_atom"),
+            F.when(is_atom, element_number(symbol)).alias("number"),
+            F.when(is_atom, is_aromatic_symbol(symbol)).alias("aromatic"),
+            F.when(bracket, _charge(part(5))).otherwise(0).alias("charge"),
+            F.when(bracket, hs).otherwise(IMPLICIT).alias("hs"),
+            F.when(bracket & (part(1) != ""), part(1).try_cast("int")).otherwise(0).alias("isotope"),
+            F.when(bracket, F.length(part(3))).otherwise(0).alias("chirality"),
+            # a bracket that does not match has an empty symbol
+            F.when(bracket & (part(2) == ""), True).otherwise(False).alias("malformed"),
+            F.when(k == "ring", F.regexp_replace(b, "[%()]", "").cast("int")).alias("label"),
+        )
 
-    A molecule is known by its id and a digest of its text, so ids that repeat over files do
-    not mix; rows equal in both are one molecule.  Input that fails validation keeps one row
-    without a token.
-    """
-    placed = df.select(F.col(mol_id).alias("id"), F.col(smiles).alias("smiles"))
-    # a fixed count: adaptive execution would merge these small rows into few tasks
-    placed = placed.repartition(work_partitions(df.sparkSession), "id").dropDuplicates(["id", "smiles"])
-    placed = placed.select(F.struct("id", F.xxhash64("smiles").alias("digest")).alias("mol"), "smiles")
-    text = F.col("smiles")
-    checked = placed.withColumn("bad_input", input_error(text))
-    found = F.when(F.col("bad_input").isNull(), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
-    rows = checked.select("mol", "bad_input", "smiles", F.posexplode_outer(found).alias("i", "tok"))
-    body = F.regexp_replace("tok", rf"^{BOND}(?=.)", "")
-    marked = rows.select(
-        "mol",
-        "bad_input",
-        F.when(F.coalesce("i", F.lit(0)) == 0, F.col("smiles")).alias("smiles"),
-        "i",
-        "tok",
-        body.alias("body"),
-        (F.length("tok") > F.length(body)).alias("has_bond"),
-        bond_code(F.when(F.length("tok") > F.length(body), F.substring("tok", 1, 1))).alias("bond"),
-    )
-    b = F.col("body")
-    kind = (
-        F.when(b.isNull(), None)
-        .when(b.rlike(rf"^({ORGANIC})$"), "atom")
-        .when(b.rlike(r"^\[.*\]$"), "bracket")
-        .when(b.rlike(r"^(%[0-9]{2}|%\([0-9]{1,4}\)|[0-9])$"), "ring")
-        .when(b == "(", "open")
-        .when(b == ")", "close")
-        .when(b == ".", "dot")
-        .otherwise("bad")
-    )
-    typed = marked.withColumn("kind", kind).withColumn("is_atom", F.col("kind").isin("atom", "bracket"))
-    run = Window.partitionBy("mol").orderBy("i")
-    k = F.col("kind")
-    so_far = run.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(k == "open", 1).when(k == "close", -1).otherwise(0)
-    numbered = typed.select(
-        "*",
-        (F.coalesce(F.sum(F.length("tok")).over(so_far), F.lit(0)) - F.length("body")).cast("int").alias("position"),
-        F.sum(step).over(so_far).cast("int").alias("depth"),
-        (F.sum(F.col("is_atom").cast("int")).over(so_far) - 1).cast("int").alias("atom"),
-        F.lag("kind").over(run).alias("before"),
-        F.lead("i").over(run).isNull().alias("is_last"),
-    ).withColumn("level", F.when(k == "open", F.col("depth") - 1).otherwise(F.col("depth")))
-    same_level = Window.partitionBy("mol", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    anchored = numbered.withColumn(
-        "anchor", F.last(F.when(F.col("is_atom"), F.col("atom")), ignorenulls=True).over(same_level)
-    )
-    starts = F.col("before").isNull() | (F.col("before") == "dot")
-    parent = (
-        F.when(~F.col("is_atom") | starts, None)
-        .when(F.col("before") == "open", F.lag("anchor").over(run))
-        .otherwise(F.col("anchor"))
-    )
-    label = F.when(k == "ring", F.regexp_replace("body", "[%()]", "").cast("int"))
-    linked = anchored.withColumn("parent", parent).withColumn("label", label)
-    same_label = Window.partitionBy("mol", "label").orderBy("i")
-    is_ring = k == "ring"
-    paired = linked.select(
-        "*",
-        F.when(is_ring, F.row_number().over(same_label) % 2 == 0).alias("closes"),
-        F.when(is_ring, F.lag("anchor").over(same_label)).alias("open_atom"),
-        F.when(is_ring, F.lag("bond").over(same_label)).alias("open_bond"),
-        F.when(is_ring, F.lag("i").over(same_label)).alias("open_i"),
-        F.when(is_ring, F.lead("i").over(same_label).isNull()).alias("label_ends"),
-    )
-    return paired
+    return F.transform(F.transform(F.transform(words, split), parts), told)
 
 
-def _token_error(t: DataFrame) -> DataFrame:
-    """Add ``code``: what is wrong at this token, in the order a reader would meet it."""
-    k, before = F.col("kind"), F.col("before")
-    starts = before.isNull() | before.isin("dot")
-    stated = F.when(F.col("has_bond"), F.col("bond"))
-    code = (
-        F.when((k == "bad") & (F.col("body") == "["), "unclosed_bracket")
-        .when((k == "bad") & F.col("body").rlike("^[A-Za-z]"), "unknown_element")
+ATOM = "struct<i:int,number:int,aromatic:boolean,charge:int,hs:int,isotope:int,chirality:int>"
+LINK = "struct<i:int,a:int,b:int,kind:int,order_a:int,order_b:int>"
+RING = "struct<label:int,atom:int,bond:int,i:int>"
+ERROR = "struct<code:string,position:int,body:string>"
+
+
+def _wrong(acc: Column, t: Column, anchor: Column, ring: Column) -> Column:
+    """What is wrong at this token, in the order a reader would meet it; null if nothing."""
+    k, before = t["kind"], acc["before"]
+    starts = before.isin("", "dot")
+    stated = F.when(t["has_bond"], t["bond"])
+    return (
+        F.when((k == "bad") & (t["body"] == "["), "unclosed_bracket")
+        .when((k == "bad") & t["body"].rlike("^[A-Za-z]"), "unknown_element")
         .when(k == "bad", "unexpected_character")
-        .when((k == "bracket") & ~F.col("body").rlike(BRACKET), "malformed_bracket")
-        .when(F.col("is_atom") & (F.col("number") == 0), "unknown_element")
-        .when(F.col("is_atom") & starts & F.col("has_bond"), "unexpected_character")
+        .when(t["malformed"], "malformed_bracket")
+        .when(t["is_atom"] & (t["number"] == 0), "unknown_element")
+        .when(t["is_atom"] & starts & t["has_bond"], "unexpected_character")
         .when((k == "open") & (starts | (before == "open")), "branch_at_start")
-        .when((k == "close") & (F.col("depth") < 0), "unbalanced_paren")
+        .when((k == "close") & (acc["depth"] == 0), "unbalanced_paren")
         .when((k == "close") & before.isin("open", "dot"), "unexpected_character")
-        .when((k == "dot") & (starts | F.col("is_last")), "unexpected_character")
+        .when((k == "dot") & starts, "unexpected_character")
         .when((k == "ring") & (starts | (before == "open")), "ring_at_start")
-        .when(F.col("closes") & (F.col("open_atom") == F.col("anchor")), "self_loop")
-        .when(F.col("closes") & reconcile(F.col("open_bond"), stated).isNull(), "ring_bond_mismatch")
+        .when(ring.isNotNull() & (ring["atom"] == anchor), "self_loop")
+        .when(ring.isNotNull() & reconcile(ring["bond"], stated).isNull(), "ring_bond_mismatch")
     )
-    return t.withColumn("code", code)
+
+
+def _step(acc: Column, t: Column) -> Column:
+    """The state after one more token."""
+    k, top = t["kind"], F.size(acc["stack"])
+    anchor = F.element_at(acc["stack"], -1)
+    # the open end of this token's ring label
+    ring = F.when(k == "ring", F.get(F.filter(acc["rings"], lambda r: r["label"] == t["label"]), F.lit(0)))
+    code = _wrong(acc, t, anchor, ring)
+    place = acc["at"] + t["width"] - F.length(t["body"])
+    atom = F.struct(acc["n"].alias("i"), *[t[c].alias(c) for c in ("number", "aromatic", "charge", "hs", "isotope", "chirality")])
+    grown = F.struct(t["i"].alias("i"), anchor.alias("a"), acc["n"].alias("b"), t["bond"].alias("kind"), t["i"].alias("order_a"), F.lit(-1).alias("order_b"))
+    both = reconcile(ring["bond"], F.when(t["has_bond"], t["bond"]))
+    closed = F.struct(t["i"].alias("i"), ring["atom"].alias("a"), anchor.alias("b"), both.alias("kind"), ring["i"].alias("order_a"), t["i"].alias("order_b"))
+    opened = F.struct(t["label"].alias("label"), anchor.alias("atom"), t["bond"].alias("bond"), t["i"].alias("i"))
+    first = acc["before"].isin("", "dot")
+    lower = F.slice(acc["stack"], F.lit(1), top - 1)
+    return F.struct(
+        (acc["at"] + t["width"]).alias("at"),
+        (acc["depth"] + F.when(k == "open", 1).when(k == "close", -1).otherwise(0)).alias("depth"),
+        (acc["n"] + t["is_atom"].cast("int")).alias("n"),
+        k.alias("before"),
+        F.when(t["is_atom"], F.concat(lower, F.array(acc["n"])))
+        .when(k == "open", F.concat(acc["stack"], F.array(anchor)))
+        .when((k == "close") & (top > 1), lower)
+        .otherwise(acc["stack"])
+        .alias("stack"),
+        F.when(k != "ring", acc["rings"])
+        .when(ring.isNull(), F.concat(acc["rings"], F.array(opened)))
+        .otherwise(F.filter(acc["rings"], lambda r: r["label"] != t["label"]))
+        .alias("rings"),
+        F.when(t["is_atom"], F.concat(acc["atoms"], F.array(atom))).otherwise(acc["atoms"]).alias("atoms"),
+        F.when(t["is_atom"] & ~first, F.concat(acc["bonds"], F.array(grown)))
+        .when(ring.isNotNull(), F.concat(acc["bonds"], F.array(closed)))
+        .otherwise(acc["bonds"])
+        .alias("bonds"),
+        F.when(code.isNotNull(), F.struct(code.alias("code"), place.alias("position"), t["body"].alias("body"))).alias("error"),
+    )
+
+
+def _fold(tokens: Column) -> Column:
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit("").alias("before"), F.array(F.lit(None).cast("int")).alias("stack"),
+        none(RING).alias("rings"), none(ATOM).alias("atoms"), none(LINK).alias("bonds"), F.lit(None).cast(ERROR).alias("error"),
+    )
+    return F.aggregate(tokens, start, lambda acc, t: F.when(acc["error"].isNotNull(), acc).otherwise(_step(acc, t)))
 
 
 def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
@@ -195,88 +225,63 @@ def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
     atom's neighbours (``order_a``, ``order_b``) so that chirality can be read later.
     Arrays are bounded: input is at most 1000 characters.
     """
-    t = tokens(df, mol_id, smiles)
-    bracket = F.col("kind") == "bracket"
-    # the parts of a bracket atom, cut once: isotope, symbol, chirality, hydrogens, charge
-    cut = F.array(*[F.regexp_extract("body", BRACKET, n) for n in range(1, 6)])
-    t = t.withColumn("parts", F.when(bracket, cut))
-    part = lambda n: F.get("parts", F.lit(n - 1))
-    symbol = F.when(bracket, part(2)).otherwise(F.col("body"))
-    hs = F.when(part(4) == "", 0).when(part(4) == "H", 1).otherwise(F.substring(part(4), 2, 9).try_cast("int"))
-    t = (
-        t.withColumn("symbol", F.when(F.col("is_atom"), symbol))
-        .withColumn("number", F.when(F.col("is_atom"), element_number(F.col("symbol"))))
-    )
-    t = _token_error(t)
-    atom = F.when(
-        F.col("is_atom"),
-        F.struct(
-            F.col("atom").alias("i"),
-            F.col("number"),
-            is_aromatic_symbol(F.col("symbol")).alias("aromatic"),
-            F.when(bracket, _charge(part(5))).otherwise(0).alias("charge"),
-            F.when(bracket, hs).otherwise(IMPLICIT).alias("hs"),
-            F.when(bracket & (part(1) != ""), part(1).try_cast("int")).otherwise(0).alias("isotope"),
-            F.when(bracket, F.length(part(3))).otherwise(0).alias("chirality"),
-        ),
-    )
-    stated = F.when(F.col("has_bond"), F.col("bond"))
-    i = F.col("i")
-    bond = F.when(
-        F.col("parent").isNotNull(),
-        F.struct(
-            i.alias("i"), F.col("parent").alias("a"), F.col("atom").alias("b"), F.col("bond").alias("kind"),
-            i.alias("order_a"), F.lit(-1).alias("order_b"),
-        ),
-    ).when(
-        F.col("closes"),
-        F.struct(
-            i.alias("i"), F.col("open_atom").alias("a"), F.col("anchor").alias("b"),
-            reconcile(F.col("open_bond"), stated).alias("kind"), F.col("open_i").alias("order_a"), i.alias("order_b"),
-        ),
-    )
-    per_mol = t.groupBy("mol").agg(
-        F.min("smiles").alias("smiles"),
-        F.min("bad_input").alias("bad_input"),
-        F.sort_array(F.collect_list(atom)).alias("atoms"),
-        F.sort_array(F.collect_list(bond)).alias("bonds"),
-        F.min(F.when(F.col("code").isNotNull(), F.struct("i", "code", "position", "body"))).alias("first"),
-        F.max_by("depth", "i").alias("open_branches"),
-        # the label opened last and never closed
-        F.max_by(F.col("label"), F.when(~F.col("closes") & F.col("label_ends"), i)).alias("open_ring"),
-    )
-    n_atoms = F.size("atoms")
+    rows = df.select(F.col(mol_id).alias("id"), F.col(smiles).alias("smiles"))
+    # a fixed count: adaptive execution would merge these small rows into few tasks
+    rows = rows.repartition(work_partitions(df.sparkSession), "id").dropDuplicates(["id", "smiles"])
+    rows = rows.withColumn("bad_input", input_error(F.col("smiles")))
+    words = F.when(F.col("bad_input").isNull(), F.regexp_extract_all("smiles", F.lit(TOKEN), F.lit(0)))
+    # evaluated once per row, whatever reads its fields
+    folded = rows.withColumn("s", F.get(F.transform(F.array(_typed(words)), _fold), F.lit(0)))
+    error, n_atoms = F.col("s.error"), F.size("s.atoms")
+    open_ring = F.element_at(F.sort_array(F.transform("s.rings", lambda r: F.struct(r["i"].alias("i"), r["label"].alias("label")))), -1)["label"]
+    late = F.col("s.before") == "dot"
     code = (
         F.when(F.col("bad_input").isNotNull(), F.col("bad_input"))
-        .when(F.col("first").isNotNull(), F.col("first.code"))
+        .when(error.isNotNull(), error["code"])
+        .when(late, "unexpected_character")
         .when(n_atoms > MAX_HEAVY_ATOMS, "too_large")
-        .when(F.col("open_branches") > 0, "unclosed_branch")
-        .when(F.col("open_ring").isNotNull(), "unclosed_ring")
+        .when(F.col("s.depth") > 0, "unclosed_branch")
+        .when(F.size("s.rings") > 0, "unclosed_ring")
     )
+    out = folded.withColumn("error_code", code)
+    is_code = lambda name: F.col("error_code") == name
     detail = (
-        F.when(F.col("error_code") == "unclosed_branch", F.concat(F.col("open_branches"), F.lit(" open")))
-        .when(F.col("error_code") == "unclosed_ring", F.concat(F.lit("label "), F.col("open_ring")))
-        .when(F.col("error_code") == "too_large", F.concat(n_atoms, F.lit(" atoms")))
-        .when(F.col("first").isNotNull(), F.col("first.body"))
+        F.when(is_code("unclosed_branch"), F.concat(F.col("s.depth"), F.lit(" open")))
+        .when(is_code("unclosed_ring"), F.concat(F.lit("label "), open_ring))
+        .when(is_code("too_large"), F.concat(n_atoms, F.lit(" atoms")))
+        .when(error.isNotNull(), error["body"])
+        .when(late, ".")
     )
     placed = ~F.col("error_code").isin("unclosed_branch", "unclosed_ring", "too_large", "ring_bond_mismatch")
+    position = F.coalesce(error["position"], F.when(late, F.col("s.at") - 1), F.when(F.col("bad_input") != "input_too_long", 0))
     ok = F.col("error_code").isNull()
-    out = per_mol.withColumn("error_code", code)
     columns = ["number", "aromatic", "charge", "hs", "isotope", "chirality"]
     bond_columns = ["a", "b", "kind", "order_a", "order_b"]
     return out.select(
-        F.col("mol.id").alias(mol_id),
+        F.col("id").alias(mol_id),
         F.col("smiles").alias(smiles) if smiles != mol_id else F.col("smiles").alias("_smiles"),
         F.when(ok, n_atoms).alias("n_atoms"),
-        F.when(ok, F.size("bonds")).alias("n_bonds"),
-        *[F.when(ok, F.col("atoms")[c]).alias(c) for c in columns],
-        *[F.when(ok, F.col("bonds")[c]).alias(f"bond_{c}") for c in bond_columns],
+        F.when(ok, F.size("s.bonds")).alias("n_bonds"),
+        *[F.when(ok, F.col("s.atoms")[c]).alias(c) for c in columns],
+        *[F.when(ok, F.col("s.bonds")[c]).alias(f"bond_{c}") for c in bond_columns],
         "error_code",
-        F.when(placed, F.coalesce(F.col("first.position"), F.when(F.col("bad_input") != "input_too_long", 0))).alias("position"),
+        F.when(placed, position).alias("position"),
         F.when(~ok, detail).alias("detail"),
     ).drop("_smiles")
 
 
+def atom_rows(parsed: DataFrame, mol_id: str, *columns: str) -> DataFrame:
+    """One row per atom: (mol_id, atom, *columns) for any of the per-atom array columns."""
+    zipped = F.arrays_zip(*[F.col(c) for c in columns])
+    return parsed.select(mol_id, F.posexplode(zipped).alias("atom", "_a")).select(mol_id, "atom", *[F.col("_a")[c].alias(c) for c in columns])
+
+
+def bond_rows(parsed: DataFrame, mol_id: str) -> DataFrame:
+    """One row per bond: (mol_id, a, b, kind), as listed."""
+    zipped = F.explode(F.arrays_zip("bond_a", "bond_b", "bond_kind")).alias("_b")
+    return parsed.select(mol_id, zipped).select(mol_id, *[F.col("_b")[f"bond_{c}"].alias(c) for c in ("a", "b", "kind")])
+
+
 def error_text(smiles: Column, code: Column, position: Column) -> Column:
     """Error with the input and a caret under the offending character."""
     from molscreen.functions.validate import render_error
