@@ -5,9 +5,10 @@ every reference counts and a fixed cut-off would change answers.  Two exact plan
 
 * a reference set below ``BROADCAST_REFS`` is sent to every task as one packed matrix and
   the queries stream past it, with no shuffle at all;
-* a larger one is cut into hashed blocks.  Blocks of queries and blocks of references
-  meet in one task each, which returns only its best ``n`` per query (or only the pairs
-  over the threshold), and the partial lists are merged.
+* a larger one lies in bands of popcounts.  Every query starts at its own band and goes
+  outward, in rounds; what it has kept so far bounds the bands that can still matter, and a
+  query whose next bands cannot beat its n-th best score is finished.  Queries and references
+  of a band meet in cells of bounded size; no other cell is built.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from molscreen.functions import bits as B
 from molscreen.schemas import DOMAIN_NEIGHBOURS
-from molscreen.session import opaque
+from molscreen.session import materialise, opaque
 
 BROADCAST_REFS = 100_000  # rows that are sent to every task at most
 BROADCAST_BYTES = 32 << 20  # and their size: rows times the widest word list
@@ -76,17 +77,18 @@ def _chunks(q: np.ndarray, ref: Packed) -> Iterator[tuple[np.ndarray, np.ndarray
         yield rows, counts[rows], ref.stretches(_CELLS // step, counts[rows[0]], counts[rows[-1]])
 
 
-def _best(q: np.ndarray, ref: Packed, n: int) -> np.ndarray:
+def _best(q: np.ndarray, ref: Packed, n: int, floor: np.ndarray | None = None) -> np.ndarray:
     """Best ``n`` scores per query, descending, padded with -1.
 
     A reference range is skipped once its popcount bound cannot beat the worst kept score
-    of any query in the chunk.
+    of any query in the chunk, or ``floor``, what the queries have kept elsewhere.
     """
     out = np.full((len(q), n), -1.0)
+    floor = np.full(len(q), -1.0) if floor is None else floor
     for rows, counts, stretches in _chunks(q, ref):
         kept = np.full((len(rows), n), -1.0)
         for bound, lo, hi in stretches:
-            if bound <= kept[:, -1].min():
+            if bound <= np.maximum(kept[:, -1], floor[rows]).min():
                 break
             both = np.concatenate([kept, _scores(q[rows], counts, ref, lo, hi)], axis=1)
             top = np.partition(both, both.shape[1] - n, axis=1)[:, -n:]
@@ -95,13 +97,14 @@ def _best(q: np.ndarray, ref: Packed, n: int) -> np.ndarray:
     return out
 
 
-def _closest(q: np.ndarray, ref: Packed) -> tuple[np.ndarray, np.ndarray]:
+def _closest(q: np.ndarray, ref: Packed, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index and score of the best reference per query; ties go to the lowest id."""
     where, score = np.full(len(q), -1), np.full(len(q), -1.0)
+    floor = np.full(len(q), -1.0) if floor is None else floor
     for rows, counts, stretches in _chunks(q, ref):
         rank = np.full(len(rows), len(ref.counts))
         for bound, lo, hi in stretches:
-            if bound < score[rows].min():
+            if bound < np.maximum(score[rows], floor[rows]).min():
                 break
             s = _scores(q[rows], counts, ref, lo, hi)
             top = s.max(axis=1)
@@ -155,36 +158,22 @@ def _packed_broadcast(refs: DataFrame, ref_id: str, words: str):
     return refs.sparkSession.sparkContext.broadcast(packed)
 
 
-def _blocks(queries: DataFrame, refs: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Place both sides on a grid of (query block, reference block) cells."""
-    n_q = max(1, math.ceil(queries.count() / block_rows))
-    n_r = max(1, math.ceil(refs.count() / block_rows))
-    # ids spread by hash, so every block is about ``block_rows`` whatever the data holds
-    q = queries.withColumn("_i", F.pmod(F.xxhash64("qid", "w"), F.lit(n_q))).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)))
-    )
-    r = refs.withColumn("_j", F.pmod(F.xxhash64("rid"), F.lit(n_r)).cast("int")).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint")))
-    )
-    return q, r
+def _with_band(refs: DataFrame) -> DataFrame:
+    return refs.withColumn("_band", F.floor(B.popcount(F.col("w")) / BAND).cast("int"))
 
 
-def _banded(queries: DataFrame, refs: DataFrame, threshold: float, block_rows: int):
-    """Cells of queries and references whose popcounts allow ``threshold``; no other cell is built.
+def _band_counts(df: DataFrame) -> dict[int, int]:
+    """Rows per band, at most bits / BAND of them."""
+    return {row["_band"]: row["n"] for row in df.groupBy("_band").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    References lie in bands of popcounts, cut by hash to about ``block_rows``.  A query with p
-    bits visits the bands from p * threshold to p / threshold.  Only row counts per band, at
-    most bits / BAND of them, come to the driver.
-    """
-    r = refs.withColumn("_band", F.floor(B.popcount(F.col("w")) / BAND).cast("int"))
-    p = B.popcount(F.col("w"))
-    # one band more on each side covers the rounding of the quotients
-    low = F.greatest(F.floor(p * threshold / BAND).cast("int") - 1, F.lit(0))
-    high = F.ceil(p / threshold / BAND).cast("int") + 1
-    counts = {row["_band"]: row["n"] for row in r.groupBy("_band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bands = F.expr("array(" + ", ".join(map(str, sorted(counts))) + ")") if counts else F.array().cast("array<int>")
-    visits = queries.withColumn("_band", F.explode(F.filter(bands, lambda b: (b >= low) & (b <= high))))
-    asked = {row["_band"]: row["n"] for row in visits.groupBy("_band").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+def _ints(values) -> Column:
+    items = ", ".join(map(str, values))
+    return F.expr(f"array({items})") if items else F.array().cast("array<int>")
+
+
+def _cells(visits: DataFrame, asked: dict, refs: DataFrame, counts: dict, block_rows: int):
+    """Queries and references of one band meet in cells of about ``block_rows`` rows a side, cut by hash."""
 
     def parts(sizes: dict) -> Column:
         table = ", ".join(f"{b}, {max(1, math.ceil(sizes.get(b, 0) / block_rows))}" for b in counts) or "0, 1"
@@ -192,47 +181,107 @@ def _banded(queries: DataFrame, refs: DataFrame, threshold: float, block_rows: i
 
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = visits.withColumn("_i", F.pmod(F.xxhash64("qid", "w"), parts(asked)).cast("int")).withColumn("_j", spread(parts(counts)))
-    right = r.withColumn("_j", F.pmod(F.xxhash64("rid", "w"), parts(counts)).cast("int")).withColumn("_i", spread(parts(asked)))
+    wanted = refs.where(F.col("_band").isin([b for b in asked])) if len(asked) < len(counts) else refs
+    right = wanted.withColumn("_j", F.pmod(F.xxhash64("rid", "w"), parts(counts)).cast("int")).withColumn("_i", spread(parts(asked)))
     key = ["_band", "_i", "_j"]
     return left.groupBy(*key).cogroup(right.groupBy(*key))
 
 
-def _cell(score: Callable[[pa.Array, np.ndarray, Packed], pa.RecordBatch]):
+def _banded(queries: DataFrame, refs: DataFrame, threshold: float, block_rows: int):
+    """Cells of queries and references whose popcounts allow ``threshold``; no other cell is built.
+
+    A query with p bits visits the bands from p * threshold to p / threshold.
+    """
+    r = _with_band(refs)
+    p = B.popcount(F.col("w"))
+    # one band more on each side covers the rounding of the quotients
+    low = F.greatest(F.floor(p * threshold / BAND).cast("int") - 1, F.lit(0))
+    high = F.ceil(p / threshold / BAND).cast("int") + 1
+    counts = _band_counts(r)
+    visits = queries.withColumn("_band", F.explode(F.filter(_ints(sorted(counts)), lambda b: (b >= low) & (b <= high))))
+    return _cells(visits, _band_counts(visits), r, counts, block_rows)
+
+
+def _outward(queries: DataFrame, refs: DataFrame, n: int, score: Callable, schema: str, block_rows: int) -> tuple[DataFrame, int]:
+    """((qid, kept), number of references): the best ``n`` (s, rid) of every query, from bands visited outward from its own.
+
+    Each round visits twice as many bands as the one before, on both sides, as far as their bound
+    reaches the n-th best score that the query carries.  Bounds fall outward, so a query without a
+    band to visit is finished and leaves the rounds.  A band whose bound is 0 holds scores of 0
+    only and is never visited.
+    """
+    r = materialise(_with_band(refs), "bands")
+    counts = _band_counts(r)
+    if not counts:
+        return queries.select("qid", F.array().cast(f"array<struct<less:double,rid:{_type(refs, 'rid')}>>").alias("kept")), 0
+    p = B.popcount(F.col("w"))
+    nothing = F.array().cast(f"array<struct<less:double,rid:{_type(refs, 'rid')}>>")
+    open_ = queries.select("qid", "w", p.alias("p"), F.floor(p / BAND).cast("int").alias("own"), nothing.alias("kept"), F.lit(-1.0).alias("floor"))
+    open_ = materialise(open_, "open")
+    finished, reach, width = [], 0, 1
+    while True:
+        own, low = F.col("own"), F.col("floor")
+        edge, top = F.lit(BAND), F.lit(BAND - 1)
+
+        def bound(b: Column) -> Column:
+            return F.when(b > own, F.try_divide(F.col("p").cast("double"), b * edge)).when(b < own, F.try_divide((b * edge + top).cast("double"), F.col("p"))).otherwise(1.0)
+
+        def due(b: Column) -> Column:
+            away = F.abs(b - own)
+            return (away >= reach) & (away < reach + width) & (F.col("p") > 0) & (bound(b) >= low)
+
+        marked = open_.withColumn("_visit", F.filter(_ints(sorted(counts)), due))
+        # whoever has bands left further out stays open even if none of this round's bands holds a reference
+        more = (F.col("p") > 0) & F.exists(_ints(sorted(counts)), lambda b: (F.abs(b - own) >= reach) & (bound(b) >= low))
+        finished.append(marked.where(~more).select("qid", "kept"))
+        going = marked.where(more)
+        visits = going.select("qid", "w", "floor", F.explode("_visit").alias("_band"))
+        asked = _band_counts(visits)
+        if not asked:
+            if going.isEmpty():
+                break
+            # the nearest band with references lies further out
+            open_, reach, width = going.drop("_visit"), reach + width, 2 * width
+            continue
+        found = _cells(visits, asked, r, counts, block_rows).applyInArrow(_cell(score), schema)
+        order = Window.partitionBy("qid").orderBy("less", "rid")
+        tall = found.select("qid", (-F.col("s")).alias("less"), "rid").unionByName(going.select("qid", F.inline("kept")))
+        best = tall.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+        merged = best.groupBy(F.col("qid").alias("_q")).agg(F.sort_array(F.collect_list(F.struct("less", "rid"))).alias("_kept"))
+        after = going.select("qid", "w", "p", "own").join(merged, F.col("qid").eqNullSafe(F.col("_q")), "left").drop("_q")
+        kept = F.coalesce("_kept", nothing)
+        floor = F.when(F.size(kept) >= n, -F.element_at(kept, n)["less"]).otherwise(-1.0)
+        open_ = materialise(after.select("qid", "w", "p", "own", kept.alias("kept"), floor.alias("floor")), "open")
+        reach, width = reach + width, 2 * width
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    return out, sum(counts.values())
+
+
+def _cell(score: Callable[[pa.Array, np.ndarray, Packed, np.ndarray], pa.RecordBatch]):
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         ref = Packed(b["rid"].combine_chunks(), _matrix(b["w"].combine_chunks()))
-        return pa.Table.from_batches([score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref)])
+        floor = a["floor"].to_numpy() if "floor" in a.column_names else np.full(a.num_rows, -1.0)
+        return pa.Table.from_batches([score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref, floor)])
 
     return run
 
 
-def _search(
-    queries: DataFrame,
-    refs: DataFrame,
-    names: dict,
-    score: Callable[[pa.Array, np.ndarray, Packed], pa.RecordBatch],
-    schema: str,
-    bound: int,
-    block_rows: int,
-) -> tuple[DataFrame, bool]:
-    """Run ``score`` for every query against the whole set, or once per grid cell.
-
-    The flag tells whether each query met the whole set in one call.
-    """
+def _sides(queries: DataFrame, refs: DataFrame, names: dict) -> tuple[DataFrame, DataFrame]:
     query_id, ref_id, words = (names.get(k, k) for k in ("query_id", "ref_id", "words"))
-    q = queries.select(F.col(query_id).alias("qid"), F.col(words).alias("w"))
-    if small_enough(refs, bound):
-        shared = _packed_broadcast(refs, ref_id, words)
+    return queries.select(F.col(query_id).alias("qid"), F.col(words).alias("w")), refs.select(F.col(ref_id).alias("rid"), F.col(words).alias("w"))
 
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield score(b.column("qid"), _matrix(b.column("w")), shared.value)
 
-        return q.mapInArrow(stream, schema), True
+def _streamed(q: DataFrame, refs: DataFrame, score: Callable, schema: str) -> DataFrame:
+    """``score`` for every query against the whole set, which every task gets."""
+    shared = _packed_broadcast(refs, "rid", "w")
 
-    left, right = _blocks(q, refs.select(F.col(ref_id).alias("rid"), F.col(words).alias("w")), block_rows)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield score(b.column("qid"), _matrix(b.column("w")), shared.value, np.full(b.num_rows, -1.0))
 
-    cells = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
-    return cells.applyInArrow(_cell(score), schema), False
+    return q.mapInArrow(stream, schema)
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -249,21 +298,27 @@ def nearest(
 ) -> DataFrame:
     """(query_id, best): the best ``n`` Tanimoto scores of every query, descending."""
     query_id = names.get("query_id", "query_id")
+    q, r = _sides(queries, refs, names)
+    kind = _type(q, "qid")
+    if small_enough(refs, bound):
 
-    def score(ids, q, ref) -> pa.RecordBatch:
-        best = _best(q, ref, n)
-        lists = pa.array([row[row >= 0] for row in best], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([ids, lists], ["qid", "best"])
+        def lists(ids, q, ref, floor) -> pa.RecordBatch:
+            best = pa.array([row[row >= 0] for row in _best(q, ref, n)], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([ids, best], ["qid", "best"])
 
-    schema = f"qid {_type(queries, query_id)}, best array<double>"
-    parts, one_part = _search(queries, refs, names, score, schema, bound, block_rows)
-    if not one_part:
-        # cut to the best n on both sides of the shuffle, so no row grows with the reference blocks
-        order = Window.partitionBy("qid").orderBy(F.desc("s"))
-        tall = parts.select("qid", F.explode_outer("best").alias("s"))
-        top = tall.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-        parts = top.groupBy("qid").agg(F.sort_array(F.collect_list("s"), asc=False).alias("best"))
-    return parts.withColumnRenamed("qid", query_id)
+        return _streamed(q, r, lists, f"qid {kind}, best array<double>").withColumnRenamed("qid", query_id)
+
+    def tall(ids, q, ref, floor) -> pa.RecordBatch:
+        best = _best(q, ref, n, floor)
+        i, j = np.nonzero(best >= 0)
+        none = pa.nulls(len(i), ref.ids.type)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(best[i, j]), none], ["qid", "s", "rid"])
+
+    kept, total = _outward(q, r, n, tall, f"qid {kind}, s double, rid {_type(r, 'rid')}", block_rows)
+    scores = F.transform("kept", lambda k: -k["less"])
+    # what was never visited scores 0
+    padded = F.concat(scores, F.array_repeat(F.lit(0.0), F.greatest(F.lit(min(n, total)) - F.size(scores), F.lit(0))))
+    return kept.select(F.col("qid").alias(query_id), padded.alias("best"))
 
 
 def nearest_named(
@@ -271,20 +326,25 @@ def nearest_named(
 ) -> DataFrame:
     """(query_id, ref_id, similarity) of the closest reference; ties go to the lowest id."""
     query_id, ref_id = names.get("query_id", "query_id"), names.get("ref_id", "ref_id")
+    q, r = _sides(queries, refs, names)
 
-    def score(ids, q, ref) -> pa.RecordBatch:
-        where, best = _closest(q, ref)
+    def score(ids, q, ref, floor) -> pa.RecordBatch:
+        where, best = _closest(q, ref, floor)
         hit = np.flatnonzero(where >= 0)
-        cols = [ids.take(pa.array(hit)), ref.ids.take(pa.array(where[hit])), pa.array(best[hit])]
-        return pa.RecordBatch.from_arrays(cols, ["qid", "rid", "similarity"])
+        cols = [ids.take(pa.array(hit)), pa.array(best[hit]), ref.ids.take(pa.array(where[hit]))]
+        return pa.RecordBatch.from_arrays(cols, ["qid", "s", "rid"])
 
-    schema = f"qid {_type(queries, query_id)}, rid {_type(refs, ref_id)}, similarity double"
-    parts, one_part = _search(queries, refs, names, score, schema, bound, block_rows)
-    if one_part:
-        return parts.select(F.col("qid").alias(query_id), F.col("rid").alias(ref_id), "similarity")
-    best = parts.groupBy("qid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "rid")).alias("b"))
-    return best.select(
-        F.col("qid").alias(query_id), F.col("b.rid").alias(ref_id), (-F.col("b.s")).alias("similarity")
+    schema = f"qid {_type(q, 'qid')}, s double, rid {_type(r, 'rid')}"
+    if small_enough(refs, bound):
+        found = _streamed(q, r, score, schema)
+        return found.select(F.col("qid").alias(query_id), F.col("rid").alias(ref_id), F.col("s").alias("similarity"))
+    kept, _ = _outward(q, r, 1, score, schema, block_rows)
+    # an empty query scores 0 against every reference: the lowest id of all
+    lowest = r.agg(F.min("rid").alias("_lowest")).where("_lowest is not null")
+    first = F.get("kept", F.lit(0))
+    named = kept.crossJoin(F.broadcast(lowest))  # one row
+    return named.select(
+        F.col("qid").alias(query_id), F.coalesce(first["rid"], "_lowest").alias(ref_id), F.coalesce(-first["less"], F.lit(0.0)).alias("similarity")
     )
 
 
@@ -337,19 +397,17 @@ def matches(
     if threshold <= 0:
         raise ValueError("threshold must be positive: at 0 every pair matches")
     query_id, ref_id = names.get("query_id", "query_id"), names.get("ref_id", "ref_id")
+    q, r = _sides(queries, refs, names)
 
-    def score(ids, q, ref) -> pa.RecordBatch:
+    def score(ids, q, ref, floor) -> pa.RecordBatch:
         i, j, s = _matches(q, ref, threshold)
         cols = [ids.take(pa.array(i)), ref.ids.take(pa.array(j)), pa.array(s)]
         return pa.RecordBatch.from_arrays(cols, ["qid", "rid", "similarity"])
 
-    schema = f"qid {_type(queries, query_id)}, rid {_type(refs, ref_id)}, similarity double"
+    schema = f"qid {_type(q, 'qid')}, rid {_type(r, 'rid')}, similarity double"
     if small_enough(refs, bound):
-        found, _ = _search(queries, refs, names, score, schema, bound, block_rows)
+        found = _streamed(q, r, score, schema)
     else:
-        words = names.get("words", "words")
-        q = queries.select(F.col(query_id).alias("qid"), F.col(words).alias("w"))
-        r = refs.select(F.col(ref_id).alias("rid"), F.col(words).alias("w"))
         found = _banded(q, r, threshold, block_rows).applyInArrow(_cell(score), schema)
     return found.select(F.col("qid").alias(query_id), F.col("rid").alias(ref_id), "similarity")
 

@@ -200,6 +200,21 @@ def nearest_reference(spark, sf_dir):
     )
 
 
+@query(
+    _FP_SQL
+    + """, b AS (SELECT query_id, ref_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ref_id) AS rn FROM sim)
+    SELECT query_id, ref_id AS nearest, round(s, 9) AS similarity FROM b WHERE rn = 1"""
+)
+def nearest_reference_bands(spark, sf_dir):
+    """The same by the plan for reference sets too large to broadcast: bands outward from the query's own."""
+    fp = fingerprints(spark, sf_dir)
+    q = fp.select(F.col("vec_id").alias("query_id"), "words")
+    refs = fp.select(F.col("vec_id").alias("ref_id"), "words")
+    return N.nearest_named(q, refs, bound=0, block_rows=500).select(
+        "query_id", F.col("ref_id").alias("nearest"), F.round("similarity", 9).alias("similarity")
+    )
+
+
 @query(
     """
     WITH p AS (SELECT p_size AS a, p_partkey % 50 AS b FROM part)

@@ -89,3 +89,22 @@ def test_sign_words(spark):
     w = df.select(N.sign_words("e").alias("w")).first().w
     assert [x & (2**64 - 1) for x in w] == [1 | 8 | 1 << 63, 1]
     assert df.select(F.size(N.sign_words("e"))).first()[0] == 2
+
+
+@pytest.mark.parametrize("n", [1, 5])
+def test_bands_are_visited_outward_until_no_bound_reaches(spark, monkeypatch, n):
+    monkeypatch.setattr(N, "BAND", 8)
+    rng = np.random.default_rng(n)
+    make = lambda size: np.packbits(np.isin(np.arange(512), rng.choice(512, size, replace=False))).view(np.int64)
+    q = [make(k) for k in (0, 1, 5, 40, 41, 200, 400, 512)] + [make(60) for _ in range(5)]
+    r = [make(k) for k in (60, 61, 62, 150, 300, 301)] + [make(60) for _ in range(40)]
+    r[7] = q[-1]
+    frame = lambda rows, name: spark.createDataFrame([(i, [int(w) for w in v]) for i, v in enumerate(rows)], f"{name} long, words array<long>")
+    sets = lambda rows: [set(np.flatnonzero(np.unpackbits(v.view(np.uint8)))) for v in rows]
+    got = {x.query_id: x.best for x in N.nearest(frame(q, "query_id"), frame(r, "ref_id"), n, bound=0, block_rows=7).collect()}
+    named = {x.query_id: (x.ref_id, x.similarity) for x in N.nearest_named(frame(q, "query_id"), frame(r, "ref_id"), bound=0, block_rows=7).collect()}
+    for i, a in enumerate(sets(q)):
+        scores = [score(a, b) for b in sets(r)]
+        assert np.allclose(got[i], sorted(scores, reverse=True)[:n]), i
+        assert named[i][0] == scores.index(max(scores)) and np.isclose(named[i][1], max(scores))
+    assert N.nearest_named(frame(q, "query_id"), frame(r, "ref_id").limit(0), bound=-1).count() == 0
