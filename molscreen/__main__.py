@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import sys
+
+from molscreen.schemas import CHECKPOINT_ROWS
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -16,6 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     many.add_argument("-o", "--out", required=True)
     many.add_argument("--smiles-column", default="smiles")
     many.add_argument("--skip-invalid", action="store_true")
+    many.add_argument("--progress-every", type=int, default=CHECKPOINT_ROWS)
     for p in (one, many):
         p.add_argument("--references", required=True, help="Parquet with ref_id and words")
     args = parser.parse_args(argv)
@@ -40,7 +44,8 @@ def main(argv: list[str] | None = None) -> None:
         rows = spark.createDataFrame(list(enumerate(args.smiles)), "row_index long, smiles string")
         screen.screen(rows, refs).orderBy("row_index").show(len(args.smiles), truncate=False, vertical=True)
     else:
-        screen.import_library(spark, args.input, args.out, refs, args.smiles_column, args.skip_invalid).show()
+        tell = lambda done, failed: print(f"{done} rows, {failed} failed", file=sys.stderr)
+        screen.import_library(spark, args.input, args.out, refs, args.smiles_column, args.skip_invalid, args.progress_every, tell).show()
 
 
 if __name__ == "__main__":

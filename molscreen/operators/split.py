@@ -11,7 +11,7 @@ from molscreen.session import broadcast_if_small
 
 def _check(fractions: tuple[float, float, float]) -> None:
     if abs(sum(fractions) - 1.0) >= 1e-6:
-        raise AssertionError("fractions must sum to 1.0")
+        raise AssertionError(f"the three shares {fractions} do not make a whole")
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
@@ -39,30 +39,34 @@ def fill_quotas(classes: list[tuple[int, int]], fractions: tuple[float, float, f
 
 
 def assign_groups(
-    df: DataFrame, group: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42
+    df: DataFrame, group: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, row_index: str | None = None
 ) -> DataFrame:
     """(group, n, split): greedy first-fit, biggest groups first, seeded order among equals.
 
+    With ``row_index`` groups of one size keep the order in which they first appear.
+
     Only the distinct group sizes reach the driver.  N rows have at most sqrt(2N)
     distinct sizes, because distinct sizes must add up to no more than N.
     """
     _check(fractions)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    first = [F.min(row_index).cast("bigint").alias("_h")] if row_index else []
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *first)
     classes = [(r["n"], r["c"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
     quotas = df.sparkSession.createDataFrame(
         fill_quotas(classes, fractions) or [(0, 0, 0)], "n bigint, to_train bigint, to_val bigint"
     )
     # many distinct sizes are joined by shuffle
-    ordered = sizes.join(broadcast_if_small(quotas), "n").withColumn(
-        "_h", seeded_hash(F.col(group), seed)
-    )
+    ordered = sizes.join(broadcast_if_small(quotas), "n")
+    if not row_index:
+        ordered = ordered.withColumn("_h", seeded_hash(F.col(group), seed))
     ranked = running_sum(
         ordered.withColumn("_one", F.lit(1).cast("bigint")),
         "_h",
         {"_one": "_rank"},
         by=["n"],
         ties=[group],
-        bucket=hash_bucket("_h", 60, sum(c for _, c in classes)),
+        # first appearances are no uniform numbers: ranges by their own quantiles
+        bucket=None if row_index else hash_bucket("_h", 60, sum(c for _, c in classes)),
     )
     split = (
         F.when(F.col("_rank") <= F.col("to_train"), "train")
@@ -73,10 +77,10 @@ def assign_groups(
 
 
 def group_split(
-    df: DataFrame, group: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42
+    df: DataFrame, group: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, row_index: str | None = None
 ) -> DataFrame:
     """Every row with its ``split``; a group never spans two splits."""
-    assigned = assign_groups(df, group, fractions, seed).withColumnRenamed(group, "_g")
+    assigned = assign_groups(df, group, fractions, seed, row_index).withColumnRenamed(group, "_g")
     return df.join(assigned.select("_g", "split"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 

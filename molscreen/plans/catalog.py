@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from molscreen.plans import queries_molecules, queries_prep, queries_rank, queries_screen, queries_sources, queries_store, queries_streams
+from molscreen.plans import queries_molecules, queries_prep, queries_rank, queries_reports, queries_screen, queries_sources, queries_store, queries_streams
 from molscreen.session import ship
 
 
@@ -17,6 +17,6 @@ def _shipped(fn):
 
 
 QUERIES, SQL = {}, {}
-for _module in (queries_rank, queries_prep, queries_store, queries_molecules, queries_screen, queries_sources, queries_streams):
+for _module in (queries_rank, queries_prep, queries_store, queries_molecules, queries_screen, queries_sources, queries_streams, queries_reports):
     QUERIES.update({name: _shipped(fn) for name, fn in _module.QUERIES.items()})
     SQL.update(_module.SQL)

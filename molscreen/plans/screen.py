@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from concurrent.futures import ThreadPoolExecutor, wait
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from molscreen.functions.bits import classify
 from molscreen.functions.validate import destandardise, sigmoid, withhold, withhold_reason
 from molscreen.operators import canonical, descriptors, model, molgraph, rank, similarity, smiles
-from molscreen.schemas import CATEGORY_WEIGHTS, CURVES, ENDPOINTS
+from molscreen.schemas import CATEGORY_WEIGHTS, CHECKPOINT_ROWS, CURVES, ENDPOINTS
 from molscreen.session import broadcast_if_small, materialise
 
 # Own choice: (mean, sd) that turns a raw regression output into its physical range.
@@ -119,24 +122,63 @@ def ranking(screened: DataFrame, k: int, row_index: str = "row_index") -> DataFr
     return rank.with_rank(rank.top_k(scored, k, "triage_score", "mol_key", row_index), order)
 
 
-def import_library(spark, path: str, out: str, references: DataFrame, smiles_column: str = "smiles", skip_invalid: bool = True) -> DataFrame:
+def import_library(
+    spark, path: str, out: str, references: DataFrame, smiles_column: str = "smiles", skip_invalid: bool = True,
+    progress_every: int = CHECKPOINT_ROWS, on_progress=None,
+) -> DataFrame:
     """Score a library CSV and write the results; returns the completed and failed counts.
 
-    Invalid rows keep their reason; with ``skip_invalid`` they go to a folder of their own.
+    One write holds all rows, in folders ``scored`` and ``rejected``; invalid rows keep their
+    reason, without ``skip_invalid`` all go to ``scored``.  The counts are observed while it runs
+    and nothing is read again.  Every task reports its rows in steps of ``progress_every`` to two
+    accumulators; ``on_progress(done, failed)`` is called with what has arrived whenever another
+    step is complete, and once at the end with the exact counts.
     """
     from molscreen.operators.clean import require_columns
-    from molscreen.sources.files import CAVEAT, accepted_and_rejected, write_csv
+    from molscreen.sources.files import CAVEAT
 
+    if progress_every < 1:
+        raise ValueError("progress_every must be positive")
     rows = require_columns(spark.read.csv(path, header=True, mode="PERMISSIVE", escape='"'), [smiles_column])
-    # scored once; the outputs and the counts read the stored rows
-    done = materialise(screen(rows, references, smiles_column), "import")
-    flat = done.withColumn("values", F.array_join("values", " ")).withColumn("caveat", F.lit(CAVEAT))
-    if skip_invalid:
-        good, bad = accepted_and_rejected(flat)
-        write_csv(good, f"{out}/scored")
-        write_csv(bad, f"{out}/rejected")
-        n_good, n_bad = good.count(), bad.count()
+    flat = screen(rows, references, smiles_column).withColumn("values", F.array_join("values", " ")).withColumn("caveat", F.lit(CAVEAT))
+    bad = F.col("error_code").isNotNull()
+    side = F.when(bad, "rejected").otherwise("scored") if skip_invalid else F.lit("scored")
+    seen = Observation("import")
+    placed = flat.withColumn("part", side).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("failed"))
+    done, failed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        # a task that runs again reports again: progress may run ahead, the counts at the end do not
+        n = m = 0
+        for batch in batches:
+            n, m = n + batch.num_rows, m + batch.num_rows - batch.column("error_code").null_count
+            while n >= progress_every:
+                done.add(progress_every)
+                failed.add(m)
+                n, m = n - progress_every, 0
+            yield batch
+        done.add(n)
+        failed.add(m)
+
+    writer = placed.mapInArrow(count, placed.schema).write.mode("errorifexists").partitionBy("part").option("header", True).option("escape", '"')
+    if on_progress is None:
+        writer.csv(out)
     else:
-        write_csv(flat, f"{out}/scored")
-        n_good, n_bad = flat.count(), 0
-    return spark.createDataFrame([(n_good, n_bad)], "completed bigint, failed bigint")
+        _watched(spark, lambda: writer.csv(out), lambda: (done.value, failed.value), progress_every, on_progress)
+    n, wrong = seen.get["n"], seen.get["failed"]
+    if on_progress is not None:
+        on_progress(n, wrong)
+    return spark.createDataFrame([(n if not skip_invalid else n - wrong, wrong if skip_invalid else 0)], "completed bigint, failed bigint")
+
+
+def _watched(spark, job, now, every: int, report) -> None:
+    """Run ``job`` and report (done, failed) whenever another ``every`` rows are done."""
+    with ThreadPoolExecutor(1) as pool:
+        running, told = pool.submit(inheritable_thread_target(spark)(job)), 0
+        while not running.done():
+            wait([running], timeout=0.1)
+            done, failed = now()
+            if done // every > told // every:
+                report(done, failed)
+                told = done
+        running.result()

@@ -8,15 +8,18 @@ read as the union of the folders.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from molscreen.operators.rank import top_k
 from molscreen.operators.store import latest_status
 from molscreen.operators.store import progress as step_progress
 from molscreen.schemas import BATCH_STATUSES, CHECKPOINT_ROWS, TERMINAL_STATUSES
+from molscreen.session import materialise
 
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -113,28 +116,69 @@ def rows_per_trigger_ok(progress_rows: DataFrame, every: int = CHECKPOINT_ROWS)
     return rows.select("batch", "step", done.alias("rows_in_step")).where(F.col("rows_in_step") > every)
 
 
-def dedup_stream(stream: DataFrame, root: str, keys: list[str], order: str) -> StreamingQuery:
+#: Buckets of the store of keys; more for stores of more keys.
+BUCKETS = 16
+#: Folders of one bucket that a batch reads at most; then they become one.
+MERGED = 8
+
+
+def key_bucket(keys: list[str], buckets: int = BUCKETS) -> Column:
+    """Bucket of a key, the same in every batch."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def dedup_stream(stream: DataFrame, root: str, keys: list[str], order: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Store only keys not stored by an earlier micro-batch (molecule and model version).
 
-    Within a micro-batch the first row in ``order`` wins.  A batch is compared with the
-    folders of lower batch ids only, so running it again gives the same rows.
+    Within a micro-batch the first row in ``order`` wins.  Rows are stored in folders by key
+    bucket, and their keys once more by themselves.  A batch reads the keys of the buckets that it
+    touches, at most ``MERGED`` folders each, however many batches there were: a bucket that has
+    as many is written anew as one.  A small index per batch says which folders hold a bucket.
+    Everything a batch reads was written by lower batch ids, so running it again gives the same
+    rows.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-        fresh = first.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
-        if batch_id > 0:
-            seen = _read(spark, root, "store").where(F.col("batch") < batch_id)
-            fresh = fresh.join(seen.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(_folder(root, "store", batch_id))
+        fresh = first.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).withColumn("_bucket", key_bucket(keys, buckets))
+        fresh = materialise(fresh, "fresh")
+        touched = sorted(r["_bucket"] for r in fresh.select("_bucket").distinct().collect())  # at most the buckets
+        index = _index(spark, root, batch_id)
+        kinds = fresh.select(*keys, "_bucket").schema
+        folders = [f"{_folder(root, 'keys', at)}/_bucket={b}" for b in touched for at in index.get(b, [])]
+        known = None
+        if folders:
+            schema = T.StructType([f for f in kinds if f.name != "_bucket"])
+            known = spark.read.schema(schema).parquet(*folders).withColumn("_bucket", key_bucket(keys, buckets))
+            same = [fresh[k].eqNullSafe(known[k]) for k in ["_bucket", *keys]]
+            fresh = materialise(fresh.join(known, functools.reduce(lambda a, b: a & b, same), "left_anti"), "new")
+        fresh.write.mode("overwrite").partitionBy("_bucket").parquet(_folder(root, "store", batch_id))
+        held = fresh.select(*keys, "_bucket")
+        full = [b for b in touched if len(index.get(b, [])) >= MERGED]
+        if full:
+            held = held.unionByName(known.where(F.col("_bucket").isin(full)))
+        held.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(_folder(root, "keys", batch_id))
+        added = {r["_bucket"] for r in spark.read.parquet(_folder(root, "keys", batch_id)).select("_bucket").distinct().collect()} if not held.isEmpty() else set()
+        after = {b: ([] if b in full else index.get(b, [])) + ([batch_id] if b in added else []) for b in {*index, *added}}
+        rows = [(b, at) for b, ats in sorted(after.items()) for at in ats]
+        spark.createDataFrame(rows, "bucket int, at bigint").coalesce(1).write.mode("overwrite").parquet(_folder(root, "index", batch_id))
 
     return _run(stream, root, "store", handle)
 
 
+def _index(spark: SparkSession, root: str, batch_id: int) -> dict[int, list[int]]:
+    """Which batches hold keys of every bucket, from the index of the batch before; at most ``MERGED`` rows per bucket."""
+    out: dict[int, list[int]] = {}
+    if batch_id > 0:
+        for r in spark.read.schema("bucket int, at bigint").parquet(_folder(root, "index", batch_id - 1)).collect():
+            out.setdefault(r["bucket"], []).append(r["at"])
+    return out
+
+
 def stored(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, "store").drop("batch")
+    return _read(spark, root, "store").drop("batch", "_bucket")
 
 
 def dedup_within(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
