@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molscreen.llm.common import hash63
+from molscreen.llm.common import hash63, quoted
 from molscreen.session import materialise
 
 #: Fixed by the contract of the query.
@@ -89,28 +89,40 @@ def build(listed: DataFrame, n_urls: int, key: str = "canonical") -> DataFrame:
 
 
 def listed_among(pages: DataFrame, listed: DataFrame, key: str = "canonical") -> DataFrame:
-    """Add ``possible`` (the filter's answer) and ``listed`` (the exact one) to rows with ``key``."""
+    """Add ``possible`` (the filter's answer) and ``listed`` (the exact one) to rows with ``key``.
+
+    Every distinct key is asked once, by itself; rows meet the answers to possible hits alone, and
+    travel as one struct, so no name of theirs can clash.  Columns called ``possible`` or
+    ``listed`` are replaced.
+    """
     urls = materialise(listed.select(F.col(key).alias("_listed")).where("_listed IS NOT NULL AND _listed <> ''").distinct(), "listed")
     n = urls.count()
     blocks = blocks_for(n)
     bloom = build(urls, n, "_listed").withColumnRenamed("block", "_block")
-    probed = pages.join(bloom, _block(F.col(key), blocks) == F.col("_block"), "left")
+    kept = [c for c in pages.columns if c not in ("possible", "listed")]
+    rows = pages.select(F.struct(*[quoted(c) for c in kept]).alias("row"), quoted(key).alias("_key"))
+    asked = rows.select("_key").where("_key IS NOT NULL AND _key <> ''").distinct()
     hit = F.lit(True)
-    for i, mask in enumerate(_masks(F.col(key))):
+    for i, mask in enumerate(_masks(F.col("_key"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)
-    probed = probed.withColumn("possible", F.coalesce(hit, F.lit(False))).drop("_block", *[f"w{i}" for i in range(WORDS)])
-    # rows that the filter rules out get a key of their own that no list entry has
-    asked = F.when(F.col("possible"), F.col(key)).otherwise(F.concat(F.lit("\x00"), F.xxhash64(F.lit(2), *pages.columns).cast("string")))
-    found = probed.withColumn("_asked", asked).join(urls, F.col("_asked") == F.col("_listed"), "left")
-    return found.withColumn("listed", F.col("_listed").isNotNull()).drop("_asked", "_listed")
+    possible = asked.join(bloom, _block(F.col("_key"), blocks) == F.col("_block")).where(hit).select(F.col("_key").alias("_possible"))
+    exact = possible.join(urls, F.col("_possible") == F.col("_listed"), "left")
+    answers = exact.select("_possible", F.col("_listed").isNotNull().alias("listed"))
+    found = rows.join(answers, F.col("_key") == F.col("_possible"), "left")
+    return found.select("row.*", F.col("_possible").isNotNull().alias("possible"), F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+ADDED = ["host", "path", "canonical", "possible", "listed", "rule", "verdict"]
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule, verdict, canonical, possible and listed."""
-    parts = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url)), "canonical": canonical(F.col(url))})
+    """``pages`` with host, path, rule, verdict, canonical, possible and listed, which replace columns of these names."""
+    row = F.struct(*[quoted(c) for c in pages.columns if c not in ADDED or c == url]).alias("page")
+    u = quoted(url)
+    parts = pages.select(row, host(u).alias("host"), path(u).alias("path"), canonical(u).alias("canonical"))
     ruled = listed_among(parts, listed).withColumn("_d", decide(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_d.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return ruled.withColumns({"rule": F.col("_d.rule"), "verdict": verdict}).drop("_d")
+    return ruled.select("page.*", "host", "path", "canonical", "possible", "listed", F.col("_d.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:

@@ -50,3 +50,16 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert all(r["possible"] for r in rows if r["listed"])
     assert sum(r["possible"] and not r["listed"] for r in rows) < 60
     assert q.build(listed, 3000).count() <= q.blocks_for(3000)
+
+
+def test_columns_may_have_any_name_and_one_url_half_the_rows(spark):
+    urls = ["http://spam.net/a"] * 60 + [None] * 20 + [f"http://h{i}.net/" for i in range(40)] + ["http://spam.net/b"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    pages = pages.selectExpr("*", "7 as w0", "'x' as `a.b`", "8 as _block", "map(1, page_id) as m", "9 as _key", "'r' as row", "'p' as page", "'l' as listed", "'d' as _d", "'h' as host")
+    listed = spark.createDataFrame([("spam.net/a",), ("h3.net",)], "canonical string")
+    rows = q.judge(pages, listed).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        assert (r["w0"], r["a.b"], r["_block"], r["m"], r["_key"], r["row"], r["page"], r["_d"]) == (7, "x", 8, {1: r["page_id"]}, 9, "r", "p", "d")
+        assert r["listed"] == (urls[r["page_id"]] in ("http://spam.net/a", "http://h3.net/")) and r["host"] == plain(urls[r["page_id"]])[0]
+    assert sum(r["listed"] for r in rows) == 61
