@@ -7,6 +7,12 @@ byte values: a pair's tally of shared positional bytes reaches the minimum exact
 pair meets in a list.  Lists are verified where they are read, as runs of a sorted stream, and
 give a spanning set of links instead of pairs; components are then joined by stars.
 
+A passage that very many texts share makes a list that grows with the corpus.  Such lists are
+found on a hash sample of the fingerprints beforehand, and their postings go to finer lists
+before the shuffle: the open half is cut into half-bytes, of which a linked pair shares at least
+half, too.  A finer list leaves 16 bits open and so holds 65 536 distinct fingerprints at most.
+The sample decides where a pair is compared, never whether.
+
 Defined cases: a text without words (null, empty, blanks) has fingerprint zero and links like
 any other; equal fingerprints are one node, so copies never meet as pairs; repeated rows get
 the same component; an empty table gives no rows.
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from molscreen.llm.common import map_texts, quoted
 from molscreen.llm.components import components
-from molscreen.session import materialise, ship
+from molscreen.session import broadcast_if_small, materialise, ship
 
 WORDS = 4
 BITS = 4
@@ -32,6 +38,9 @@ SEED = 42
 #: Runs above this length are cut by an index of half-bytes before they are compared.
 RUN = 1024
 CHUNK = 1 << 16
+#: Posting lists expected to be longer than this are made finer; the expectation is from one fingerprint in so many.
+HOT = 100_000
+SAMPLE = 64
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -133,10 +142,41 @@ def postings(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return each.select("list", F.col("fp").bitwiseAND(F.col("list")).alias("bytes"), "fp")
 
 
+def hot_lists(prints: DataFrame, bits: int = BITS, hot: int | None = None) -> DataFrame:
+    """(list, bytes) of the posting lists that are long by the sample."""
+    some = prints.where(F.pmod(F.xxhash64(F.lit(3), "fp"), F.lit(SAMPLE)) == 0)
+    counted = postings(some, bits).groupBy("list", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") * SAMPLE > (HOT if hot is None else hot)).select("list", "bytes")
+
+
+def finer(spark, bits: int = BITS) -> DataFrame:
+    """(list, sub): for every list all masks that add half of its open half-bytes; a linked pair agrees in one of them."""
+    rows = []
+    for mask in masks(8, 8, 8 - bits):
+        open_ = [p for p in range(16) if not mask >> (4 * p) & 15]
+        rows += [(_signed(mask), _signed(mask | sum(15 << (4 * p) for p in c))) for c in itertools.combinations(open_, max(0, len(open_) - bits))]
+    return spark.createDataFrame(rows, "list bigint, sub bigint")
+
+
+def spread_postings(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """The postings with those of hot lists in their finer lists."""
+    every = postings(prints, bits)
+    hot = materialise(hot_lists(prints, bits), "hot")
+    if hot.isEmpty():
+        return every
+    known = hot.select(F.col("list").alias("_l"), F.col("bytes").alias("_b"))
+    met = every.join(broadcast_if_small(known), (F.col("list") == F.col("_l")) & (F.col("bytes") == F.col("_b")), "left")
+    cold = met.where("_l is null").select("list", "bytes", "fp")
+    # fixed by the number of bits: 4 900 rows at 4
+    fine = met.where("_l is not null").select("list", "fp").join(broadcast_if_small(finer(prints.sparkSession, bits)), "list")
+    return cold.unionByName(fine.select(F.col("sub").alias("list"), F.col("fp").bitwiseAND(F.col("sub")).alias("bytes"), "fp"))
+
+
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(u, v): verified links among distinct fingerprints ``fp`` that connect every linked pair."""
     shared = 8 - bits
-    lists = postings(prints, bits).repartition("list", "bytes").sortWithinPartitions("list", "bytes", "fp")
+    whole = np.array(masks(8, 8, shared), np.uint64)
+    lists = spread_postings(prints, bits).repartition("list", "bytes").sortWithinPartitions("list", "bytes", "fp")
 
     def run(batches):
         held: list[np.ndarray] = []  # the run that may go on in the next batch
@@ -169,6 +209,8 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
             done = starts[:-1]
             two = done[lengths[:-1] == 2]
             keep = _pair_links(fp[two], fp[two + 1], mask[two], shared, bits)
+            # in a finer list the whole list stands for the tally
+            keep |= ~np.isin(mask[two], whole) & (np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits)
             for at, n in zip(done[lengths[:-1] > 2], lengths[:-1][lengths[:-1] > 2]):
                 found += run_links(fp[at : at + n], int(mask[at]), bits)
             held = [(mask[starts[-1] :], key[starts[-1] :], fp[starts[-1] :])]

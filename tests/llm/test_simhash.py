@@ -96,3 +96,25 @@ def test_stage_leaves_one_of_each(spark):
     assert len(left) == len(set(left)) == len(set(root.values()))
     assert 1 in {r["doc_id"] for r in rows} and 2 not in {r["doc_id"] for r in rows}
     assert q.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_a_hot_list_is_spread_over_finer_lists(spark, monkeypatch):
+    """20 000 fingerprints that share four bytes: as many tasks as lists, and the links of brute force."""
+    rng = np.random.default_rng(8)
+    fps = np.unique((rng.integers(0, 1 << 32, 20_000, dtype=np.uint64) << np.uint64(32)) | np.uint64(0xDEADBEEF))
+    prints = spark.createDataFrame([(q._signed(int(f)),) for f in fps], "fp bigint").repartition(4)
+    monkeypatch.setattr(q, "HOT", 2000)
+    monkeypatch.setattr(q, "SAMPLE", 4)
+    assert q.hot_lists(prints).count() == 1
+    longest = q.spread_postings(prints).groupBy("list", "bytes").count().agg({"count": "max"}).first()[0]
+    assert longest < 2000
+    sets, got = Sets(), Sets()
+    for i in range(0, len(fps), 500):
+        a, b = np.nonzero(np.bitwise_count(fps[i : i + 500, None] ^ fps[None, :]) <= 4)
+        for x, y in zip((a + i).tolist(), b.tolist()):
+            sets.join(int(fps[x]), int(fps[y]))
+    linked = q.links(prints).collect()
+    assert all(((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() <= 4 for r in linked)
+    for r in linked:
+        got.join(r["u"] & (2**64 - 1), r["v"] & (2**64 - 1))
+    assert len(linked) > 500 and all(got.find(int(f)) == sets.find(int(f)) for f in fps)
