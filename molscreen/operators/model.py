@@ -1,8 +1,8 @@
 """Scoring molecules with a graph network or an exported model, and atom attribution.
 
-The dense network here has seeded random weights: it exercises the scoring path, and its
-outputs are no predictions.  Adjacency matrices are built inside the task and never leave
-it (a padded one is 64 KiB per molecule).
+The network passes messages along bond lists; without a caller's weights it has seeded random
+ones, which exercise the scoring path and predict nothing.  Exported models get padded tensors,
+built inside the task (an adjacency matrix of 128 atoms is 64 KiB per molecule).
 """
 
 from __future__ import annotations
@@ -20,48 +20,101 @@ from molscreen.schemas import FEATURE_BLOCKS, MAX_HEAVY_ATOMS, MICRO_BATCH, N_AT
 from molscreen.session import opaque
 
 GRAPH_COLUMNS = ["element", "degree", "charge", "hs", "hyb", "aromatic", "in_ring", "bond_a", "bond_b"]
-HIDDEN = 128
-BN_EPS = 1e-5
+HIDDEN = 96
+ROUNDS = 3
 
 
-def seeded_weights(seed: int = 20260825, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
-    """Weights of the untrained network: three rounds of message passing and a head."""
+def seeded_weights(seed: int = 7, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
+    """Weights of the untrained network, for trying out the path around it; a caller brings trained ones under the same names.
+
+    A trained batch normalisation is folded into the layer before it.
+    """
     rng = np.random.default_rng(seed)
-    w: dict[str, np.ndarray] = {}
-
-    def linear(name: str, d_in: int, d_out: int) -> None:
-        bound = 1.0 / np.sqrt(d_in)
-        w[f"{name}.w"] = rng.uniform(-bound, bound, (d_in, d_out)).astype(np.float32)
-        w[f"{name}.b"] = rng.uniform(-bound, bound, d_out).astype(np.float32)
-
-    for i in range(3):
-        linear(f"mlp{i}.0", N_ATOM_FEATURES if i == 0 else hidden, hidden)
-        linear(f"mlp{i}.1", hidden, hidden)
-        w[f"bn{i}.scale"], w[f"bn{i}.shift"] = np.ones(hidden, np.float32), np.zeros(hidden, np.float32)
-        w[f"bn{i}.mean"] = np.zeros(hidden, np.float32)
-        w[f"bn{i}.var"] = np.ones(hidden, np.float32)
-    linear("head0", 2 * hidden, hidden)
-    linear("head1", hidden, N_ENDPOINTS)
-    return w
-
-
-def forward(w: dict, x: np.ndarray, adj: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """[B,N,33], [B,N,N], [B,N] to [B,12] logits; padding never reaches either pool."""
-    relu = lambda v: np.maximum(v, 0)
-    dense = lambda h, name: h @ w[f"{name}.w"] + w[f"{name}.b"]
-    h = x
-    for i in range(3):
-        h = dense(relu(dense(adj @ h, f"mlp{i}.0")), f"mlp{i}.1")
-        gain = w[f"bn{i}.scale"] / np.sqrt(w[f"bn{i}.var"] + BN_EPS)
-        h = relu((h - w[f"bn{i}.mean"]) * gain + w[f"bn{i}.shift"])
-    m = mask[:, :, None]
-    mean = (h * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1.0)
-    peak = np.where(m > 0, h, np.float32(-1e9)).max(axis=1)
-    return dense(relu(dense(np.concatenate([mean, peak], axis=1), "head0")), "head1")
+    sizes = {"read.in": (2 * hidden, hidden), "read.out": (hidden, N_ENDPOINTS)}
+    for i in range(ROUNDS):
+        sizes |= {f"round{i}.in": (hidden if i else N_ATOM_FEATURES, hidden), f"round{i}.out": (hidden, hidden)}
+    out = {}
+    for name, (rows, columns) in sizes.items():
+        out[f"{name}.weight"] = rng.normal(0, rows**-0.5, (rows, columns)).astype(np.float32)
+        out[f"{name}.bias"] = np.zeros(columns, np.float32)
+    return out
+
+
+def _layer(w: dict, name: str, h: np.ndarray) -> np.ndarray:
+    return h @ w[f"{name}.weight"] + w[f"{name}.bias"]
+
+
+def forward(w: dict, x: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, shown: np.ndarray | None = None) -> np.ndarray:
+    """(molecules, 12) logits from the atom rows of many molecules, one after the other, and their bonds.
+
+    Messages run along the bond list, each weighed by the degrees at its ends, an atom's own
+    among them; a molecule is the mean and the maximum of its atoms.  ``first`` holds where each
+    molecule begins, and the end.  Atoms that are not ``shown`` send nothing and are not pooled.
+    """
+    n = len(x)
+    own = np.arange(n)
+    source, target = np.concatenate([a, b, own]), np.concatenate([b, a, own])
+    order = np.argsort(target, kind="stable")
+    source, target = source[order], target[order]
+    starts = np.flatnonzero(np.diff(target, prepend=-1))
+    degree = np.bincount(target, minlength=n).astype(np.float32)
+    weight = (1 / np.sqrt(degree[source] * degree[target]))[:, None]
+    visible = np.ones((n, 1), np.float32) if shown is None else shown.astype(np.float32)[:, None]
+    h = x * visible
+    for i in range(ROUNDS):
+        h = np.add.reduceat(h[source] * weight, starts, axis=0)
+        h = np.maximum(_layer(w, f"round{i}.in", h), 0)
+        h = np.maximum(_layer(w, f"round{i}.out", h), 0)
+    # rows are never negative here, so a hidden one may stand as zero
+    h = h * visible
+    count = np.maximum(np.add.reduceat(visible, first[:-1], axis=0), 1)
+    pooled = np.concatenate([np.add.reduceat(h, first[:-1], axis=0) / count, np.maximum.reduceat(h, first[:-1], axis=0)], axis=1)
+    return _layer(w, "read.out", np.maximum(_layer(w, "read.in", pooled), 0))
+
+
+def atom_matrix(columns: dict) -> np.ndarray:
+    """(atoms, 33): the one-hot row of every atom."""
+    slots = [
+        columns["element"], columns["degree"],
+        np.clip(columns["charge"], MIN_CHARGE, MAX_CHARGE) - MIN_CHARGE, columns["hs"],
+        np.where(columns["hyb"] == UNKNOWN_HYBRIDISATION, SP3, columns["hyb"]),
+    ]
+    at = np.arange(len(columns["element"]))
+    x = np.zeros((len(at), N_ATOM_FEATURES), np.float32)
+    for values, (_, offset, width) in zip(slots, FEATURE_BLOCKS):
+        x[at, offset + np.minimum(values, width - 1)] = 1.0
+    for name, (_, offset, _) in zip(("aromatic", "in_ring"), FEATURE_BLOCKS[5:]):
+        x[:, offset] = columns[name]
+    return x
+
+
+class Graphs:
+    """The molecules of an Arrow batch: flat columns and where each molecule begins."""
+
+    def __init__(self, arrays: list[pa.Array]):
+        lengths = lambda c: c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.columns = {name: c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for name, c in zip(GRAPH_COLUMNS, arrays)}
+        self.sizes = lengths(arrays[0])
+        self.atoms = np.append(0, np.cumsum(self.sizes))
+        self.bonds = np.append(0, np.cumsum(lengths(arrays[7])))
+        self.x = atom_matrix(self.columns)
+
+    def runs(self) -> Iterator[tuple[np.ndarray, tuple]]:
+        """Micro-batches of molecules that have atoms: (their places, (x, first, a, b))."""
+        there = np.flatnonzero(self.sizes > 0)
+        for at in range(0, len(there), MICRO_BATCH):
+            rows = there[at : at + MICRO_BATCH]
+            low, high = self.atoms[rows[0]], self.atoms[rows[-1] + 1]
+            e = slice(self.bonds[rows[0]], self.bonds[rows[-1] + 1])
+            # molecules without atoms have no bonds either, so what lies between is whole
+            base = np.repeat(self.atoms[:-1], np.diff(self.bonds))[e] - low
+            a, b = (self.columns[c][e] + base for c in ("bond_a", "bond_b"))
+            first = np.append(self.atoms[rows] - low, high - low)
+            yield rows, (self.x[low:high], first, a, b)
 
 
 def normalised_adjacency(n: int, mol: np.ndarray, a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Symmetrically normalised adjacency with self-loops, zero on the padding."""
+    """Symmetrically normalised adjacency with self-loops, zero on the padding: an input of exported models."""
     adj = np.zeros((len(mask), n, n), np.float32)
     adj[mol, a, b] = adj[mol, b, a] = 1.0
     at, i = np.nonzero(mask)
@@ -71,48 +124,18 @@ def normalised_adjacency(n: int, mol: np.ndarray, a: np.ndarray, b: np.ndarray,
 
 
 class Tensors:
-    """Dense inputs of a run of molecules, padded to the largest of them.
-
-    Padding only to the run's own maximum gives the same outputs as a fixed width, because
-    the mask keeps padding out of every sum and maximum.
-    """
+    """Dense inputs of some molecules of a batch, padded to a fixed width, as exported models take them."""
 
-    def __init__(self, columns: dict, atoms: np.ndarray, bonds: np.ndarray, rows: np.ndarray, width: int | None):
-        sizes = np.diff(atoms)[rows]
-        n = width or int(sizes.max())
-        self.mask = (np.arange(n)[None, :] < sizes[:, None]).astype(np.float32)
+    def __init__(self, graphs: Graphs, rows: np.ndarray, width: int):
+        sizes = graphs.sizes[rows]
+        self.mask = (np.arange(width)[None, :] < sizes[:, None]).astype(np.float32)
         at, i = np.nonzero(self.mask)
-        flat = atoms[rows][at] + i
-        slots = [
-            columns["element"], columns["degree"],
-            np.clip(columns["charge"], MIN_CHARGE, MAX_CHARGE) - MIN_CHARGE, columns["hs"],
-            np.where(columns["hyb"] == UNKNOWN_HYBRIDISATION, SP3, columns["hyb"]),
-        ]
-        self.x = np.zeros((len(rows), n, N_ATOM_FEATURES), np.float32)
-        for values, (_, offset, slots_wide) in zip(slots, FEATURE_BLOCKS):
-            self.x[at, i, offset + np.minimum(values[flat], slots_wide - 1)] = 1.0
-        for name, (_, offset, _) in zip(("aromatic", "in_ring"), FEATURE_BLOCKS[5:]):
-            self.x[at, i, offset] = columns[name][flat]
-        per = np.diff(bonds)[rows]
+        self.x = np.zeros((len(rows), width, N_ATOM_FEATURES), np.float32)
+        self.x[at, i] = graphs.x[graphs.atoms[rows][at] + i]
+        per = np.diff(graphs.bonds)[rows]
         mol = np.repeat(np.arange(len(rows)), per)
-        e = np.repeat(bonds[rows] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-        self.adj = normalised_adjacency(n, mol, columns["bond_a"][e], columns["bond_b"][e], self.mask)
-
-
-def _runs(arrays: list[pa.Array], width: int | None = None) -> Iterator[tuple[np.ndarray, Tensors]]:
-    """Micro-batches of similar size over the non-empty molecules of an Arrow batch."""
-    lengths = lambda c: c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    columns = {
-        name: c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for name, c in zip(GRAPH_COLUMNS, arrays)
-    }
-    n = lengths(arrays[0])
-    atoms = np.concatenate([[0], np.cumsum(n)])
-    bonds = np.concatenate([[0], np.cumsum(lengths(arrays[7]))])
-    order = np.argsort(n, kind="stable")
-    order = order[n[order] > 0]
-    for at in range(0, len(order), MICRO_BATCH):
-        rows = order[at : at + MICRO_BATCH]
-        yield rows, Tensors(columns, atoms, bonds, rows, width)
+        e = np.repeat(graphs.bonds[rows] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        self.adj = normalised_adjacency(width, mol, graphs.columns["bond_a"][e], graphs.columns["bond_b"][e], self.mask)
 
 
 def _inputs(skip: Column | None) -> list[Column]:
@@ -131,9 +154,9 @@ def predict(spark: SparkSession, weights: dict[str, np.ndarray], skip: Column |
     def run(*arrays: pa.Array) -> pa.Array:
         out = np.zeros((len(arrays[0]), N_ENDPOINTS))
         done = np.zeros(len(arrays[0]), bool)
-        for rows, t in _runs(list(arrays)):
+        for rows, graph in Graphs(list(arrays)).runs():
             # float32 carries no more digits, and summation order must not decide a ranking
-            out[rows] = np.round(forward(shared.value, t.x, t.adj, t.mask).astype(np.float64), 5)
+            out[rows] = np.round(forward(shared.value, *graph).astype(np.float64), 5)
             done[rows] = True
         return pa.array([row if ok else None for row, ok in zip(out, done)], pa.list_(pa.float64()))
 
@@ -141,20 +164,24 @@ def predict(spark: SparkSession, weights: dict[str, np.ndarray], skip: Column |
 
 
 def attribute(perceived: DataFrame, mol_id: str, weights: dict[str, np.ndarray], endpoint: int) -> DataFrame:
-    """(mol, atom, contribution): drop in one output when an atom's row and mask are zeroed."""
+    """(mol, atom, contribution): drop in one output when an atom is hidden, once per atom.
+
+    All molecules of a micro-batch hide their k-th atom together.
+    """
     shared = perceived.sparkSession.sparkContext.broadcast(weights)
 
     def run(*arrays: pa.Array) -> pa.Array:
         out: list = [None] * len(arrays[0])
-        for rows, t in _runs(list(arrays)):
-            base = forward(shared.value, t.x, t.adj, t.mask)[:, endpoint]
-            drop = np.zeros(t.mask.shape)
-            for i in range(t.mask.shape[1]):
-                x, mask = t.x.copy(), t.mask.copy()
-                x[:, i], mask[:, i] = 0.0, 0.0
-                drop[:, i] = base - forward(shared.value, x, t.adj, mask)[:, endpoint]
-            for r, values, m in zip(rows, drop, t.mask):
-                out[r] = values[: int(m.sum())]
+        for rows, (x, first, a, b) in Graphs(list(arrays)).runs():
+            base = forward(shared.value, x, first, a, b)[:, endpoint]
+            sizes = np.diff(first)
+            drop = np.zeros((len(rows), sizes.max()))
+            for k in range(sizes.max()):
+                shown = np.ones(len(x), bool)
+                shown[(first[:-1] + k)[sizes > k]] = False
+                drop[:, k] = base - forward(shared.value, x, first, a, b, shown)[:, endpoint]
+            for r, values, n in zip(rows, drop, sizes):
+                out[r] = values[:n]
         return pa.array(out, pa.list_(pa.float64()))
 
     effect = opaque(run, "array<double>")(*_inputs(None))
@@ -185,7 +212,9 @@ def predict_onnx(path: str, input_names: list[str], output_name: str = "predicti
         if sorted(names) != sorted(input_names):
             raise ValueError(f"model inputs {names} differ from {input_names}")
         out: list = [None] * len(arrays[0])
-        for rows, t in _runs(list(arrays), MAX_HEAVY_ATOMS):
+        graphs = Graphs(list(arrays))
+        for rows, _ in graphs.runs():
+            t = Tensors(graphs, rows, MAX_HEAVY_ATOMS)
             feed = dict(zip(input_names, (t.x, t.adj, t.mask)))
             result = np.asarray(session.run([output_name], feed)[0])
             if result.size != len(rows) * N_ENDPOINTS:

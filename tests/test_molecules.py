@@ -193,12 +193,16 @@ def test_padding_does_not_change_outputs(spark):
     assert rows[3].y is None and alone[3] is None
     for r, y in zip(rows, alone):
         assert r.y is None or (len(r.y) == 12 and np.allclose(r.y, y, atol=1e-5))
-    x = np.random.default_rng(0).random((2, 7, 33)).astype(np.float32)
-    mask = np.ones((2, 7), np.float32)
-    adj = np.tile(np.eye(7, dtype=np.float32), (2, 1, 1))
-    pad = lambda t, *p: np.pad(t, [(0, 0), *p])
-    wide = L.forward(w, pad(x, (0, 121), (0, 0)), pad(adj, (0, 121), (0, 121)), pad(mask, (0, 121)))
-    assert np.allclose(L.forward(w, x, adj, mask), wide, atol=1e-5)
+    # a molecule scores alike alone and next to others, and an atom that is hidden is as good as not pooled
+    x = np.random.default_rng(0).random((12, 33)).astype(np.float32)
+    a, b = np.array([0, 1, 2, 5, 6]), np.array([1, 2, 3, 6, 7])
+    first = np.array([0, 5, 12])
+    both = L.forward(w, x, first, a, b)
+    one = L.forward(w, x[:5], first[:2], a[:3], b[:3])
+    two = L.forward(w, x[5:], np.array([0, 7]), a[3:] - 5, b[3:] - 5)
+    assert np.allclose(both, np.concatenate([one, two]), atol=1e-5)
+    lone = L.forward(w, x[:5], first[:2], a[:3], b[:3], np.arange(5) != 4)
+    assert np.allclose(lone, L.forward(w, x[:4], np.array([0, 4]), a[:3], b[:3]), atol=1e-5)  # atom 4 has no bond
 
 
 def test_descriptors(spark):
