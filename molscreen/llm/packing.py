@@ -37,6 +37,8 @@ CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers at most, twice over: the recent ones and those before.
 REMEMBERED = 400_000
+#: The same in the pipeline, whose workers also hold what earlier stages have left.
+STAGE_REMEMBERED = 150_000
 #: Latin letters that lower-case one by one, then marks that the tokenizer splits off and never joins to letters.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?*$#%&|()]*)")
 
@@ -50,7 +52,8 @@ class Encoder:
     any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -80,7 +83,7 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(core)]).tobytes() + self.marks[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.recent) > REMEMBERED:
+        if len(self.recent) > self.remembered:
             self.before, self.recent = self.recent, {}
         words: list[str] = []
         ends = [0]
@@ -98,19 +101,22 @@ class Encoder:
         return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
-def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, keep: list[str], path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text", remembered: int = REMEMBERED
+) -> DataFrame:
     """(row, piece, start, length, ids_crc32[, ids]): whole documents, longer ones in ``capacity`` pieces.
 
-    ``ids`` are little-endian unsigned 32-bit numbers.
+    ``ids`` are little-endian unsigned 32-bit numbers; a worker remembers the ids of about
+    ``remembered`` words, twice over.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
     step = 4 * capacity
@@ -118,7 +124,7 @@ def pieces(docs: DataFrame, keep: list[str], path: str | None = None, capacity:
 
     def cut(texts: list[str | None]) -> dict:
         out: dict[str, list] = {"lengths": [], "crcs": [], "ids": []}
-        for raw in encoder(path).encode(texts):
+        for raw in encoder(path, remembered).encode(texts):
             raw += end
             parts = [raw[i : i + step] for i in range(0, len(raw), step)]
             out["lengths"].append([len(p) // 4 for p in parts])
@@ -215,16 +221,16 @@ def pack(cut: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFram
     return done.select(*[F.col(c) for c in cut.columns], sequence.alias("sequence_id"), offset.cast("bigint").alias("offset"))
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents."""
-    cut = pieces(docs.select("doc_id", "text"), ["doc_id"], path, capacity).select("row.doc_id", "piece", "start", "length", "ids_crc32")
+    cut = pieces(docs.select("doc_id", "text"), ["doc_id"], path, capacity, remembered=remembered).select("row.doc_id", "piece", "start", "length", "ids_crc32")
     return pack(materialise(cut, "pieces"), ["doc_id", "piece", "ids_crc32"], capacity)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents."""
     ship(spark)
-    return packed(docs)
+    return packed(docs, remembered=STAGE_REMEMBERED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
