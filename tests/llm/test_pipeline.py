@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from tests.llm import test_mixing, test_packing, test_quality_rules, test_simhash
+from tests.llm import test_mixing, test_near_copies, test_packing, test_quality_rules
 from tests.llm.helpers import awkward, words
 
 import corpus_pipeline
@@ -21,11 +21,9 @@ def rules(text):
 
 
 def near_duplicates(rows):
-    prints = [test_simhash.plain(r["text"]) for r in rows]
-    root = test_simhash.components(prints)
     best = {}
-    for r, p in sorted(zip(rows, prints), key=lambda x: x[0]["doc_id"]):
-        best.setdefault(root[p], r)
+    for r, root in sorted(zip(rows, test_near_copies.brute([r["text"] for r in rows])), key=lambda x: x[0]["doc_id"]):
+        best.setdefault(root, r)
     return list(best.values())
 
 

@@ -5,6 +5,7 @@ import xxhash
 from tests.llm.helpers import Sets, awkward, words
 
 from molscreen.llm import simhash as q
+from molscreen.session import materialise
 
 
 def plain(text):
@@ -86,16 +87,14 @@ def test_query_equals_brute_force(spark):
     assert got == {d: (format(p, "016x"), least[root[p]]) for d, p in texts.items()}
 
 
-def test_stage_leaves_one_of_each(spark):
+def test_awkward_rows(spark):
     docs = awkward(spark)
-    out = q.stage(spark, docs, "")
-    assert out.columns == docs.columns
-    rows = out.collect()
-    root = components([plain(r["text"]) for r in docs.collect()])
-    left = [root[plain(r["text"])] for r in rows]
-    assert len(left) == len(set(left)) == len(set(root.values()))
-    assert 1 in {r["doc_id"] for r in rows} and 2 not in {r["doc_id"] for r in rows}
-    assert q.stage(spark, docs.limit(0), "").count() == 0
+    prints = materialise(q.fingerprints(docs, docs.columns).select("row.doc_id", "row.failed", "fp"), "prints")
+    assert {r["failed"]: r["fp"] for r in prints.collect()} == {r["failed"]: q._signed(plain(r["text"])) for r in docs.collect()}
+    got = {r["fp"]: r["root"] for r in q.groups(prints).collect()}
+    want = components([plain(r["text"]) for r in docs.collect()])
+    assert same_sets(got, {q._signed(k): v for k, v in want.items()})
+    assert q.groups(prints.limit(0)).count() == 0
 
 
 def test_a_hot_list_is_spread_over_finer_lists(spark, monkeypatch):
