@@ -11,7 +11,7 @@ go on to the next gap size, or open new sequences.  Gaps are updated before the
 The result is a table of rank ranges, which every piece looks up.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed each; ties
-in length are ranked by id, then piece; an empty table gives no rows.
+in length are ranked by id, then piece; an empty table gives no rows and no sequences.
 """
 
 from __future__ import annotations
@@ -221,16 +221,43 @@ def pack(cut: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFram
     return done.select(*[F.col(c) for c in cut.columns], sequence.alias("sequence_id"), offset.cast("bigint").alias("offset"))
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents."""
-    cut = pieces(docs.select("doc_id", "text"), ["doc_id"], path, capacity, remembered=remembered).select("row.doc_id", "piece", "start", "length", "ids_crc32")
-    return pack(materialise(cut, "pieces"), ["doc_id", "piece", "ids_crc32"], capacity)
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED, with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, row_id, ids], sequence_id, offset) for all documents.
+
+    ``row_id`` numbers the rows of ``docs``: rows that repeat a doc_id, whole or cut, differ in it,
+    and the pieces of one row share it.  ``ids`` are the tokens, little-endian unsigned 32-bit.
+    """
+    names = ["doc_id", "row_id"] if with_ids else ["doc_id"]
+    rows = docs.select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id()) if with_ids else docs.select("doc_id", "text")
+    cut = pieces(rows, names, path, capacity, with_ids, remembered=remembered)
+    cut = cut.select("row.doc_id", "piece", "start", "length", "ids_crc32", *(["row.row_id", "ids"] if with_ids else []))
+    stored = materialise(cut, "pieces")
+    placed = pack(stored.drop("ids"), ["doc_id", "piece", "ids_crc32", *names[1:]], capacity)
+    if not with_ids:
+        return placed
+    # narrow rows are sorted and placed; the tokens move once, to their place
+    tokens = stored.select(F.col("row_id").alias("_row"), F.col("piece").alias("_piece"), "ids")
+    same = (F.col("row_id") == F.col("_row")) & (F.col("piece") == F.col("_piece"))
+    return placed.join(tokens, same).select(*stored.columns, "sequence_id", "offset")
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """(sequence_id, ids, parts) from ``packed`` with its ids: one row per training sequence.
+
+    ``ids`` are the tokens of its pieces in place; ``parts`` tells for each piece, in order, its
+    offset, length, doc_id, row_id, piece and start, so that attention can stop at documents.
+    A sequence holds at most ``capacity`` pieces.
+    """
+    part = F.struct("offset", "length", "doc_id", "row_id", "piece", "start", "ids")
+    whole = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    ids = F.aggregate("p", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
+    return whole.select("sequence_id", ids.alias("ids"), F.transform("p", lambda x: x.dropFields("ids")).alias("parts"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
+    """The packed pieces of all rows with their tokens; ``sequences`` joins them up."""
     ship(spark)
-    return packed(docs, remembered=STAGE_REMEMBERED)
+    return packed(docs, remembered=STAGE_REMEMBERED, with_ids=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,22 @@ def test_awkward_rows(spark):
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in whole)
 
 
+def test_sequences_hold_the_tokens_of_every_row(spark):
+    docs = awkward(spark)
+    docs = docs.unionByName(docs)  # repeated ids, as the mix makes them
+    placed = q.packed(docs, capacity=64, with_ids=True)
+    check(placed.collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], 64)
+    by_row = {}
+    for s in q.sequences(placed).collect():
+        tokens = np.frombuffer(bytes(s["ids"]), "<u4").tolist()
+        assert len(tokens) == sum(p["length"] for p in s["parts"]) <= 64
+        for p in s["parts"]:
+            by_row.setdefault((p["row_id"], p["doc_id"]), []).append((p["start"], tokens[p["offset"] : p["offset"] + p["length"]]))
+    got = Counter((doc_id, tuple(t for _, part in sorted(parts) for t in part)) for (_, doc_id), parts in by_row.items())
+    assert got == Counter((r["doc_id"], tuple(ids(r["text"]))) for r in docs.collect())
+    assert q.sequences(q.packed(docs.limit(0), with_ids=True)).count() == 0
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = q.query(spark, folder).collect()

@@ -74,7 +74,7 @@ def test_every_stage(spark):
 
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, FOLDER)
-    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "row_id", "ids", "sequence_id", "offset"]
     assert got.count() > 0
 
 
