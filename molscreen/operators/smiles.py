@@ -1,10 +1,10 @@
-"""SMILES text to molecular graphs, in one fold per row.
+"""SMILES text to molecular graphs, in one fold per distinct text.
 
 A structure becomes an array of tokens, and everything the notation implies is carried along
 them: the place in the text, the number of atoms, the atom that the next one attaches to at every
 open branch (a stack as deep as the branches), the ring labels that are open, and the atoms and
-bonds so far.  The first token that is wrong ends the fold.  Rows are shuffled once, as compact
-text, so that equal rows meet; nothing is exploded, sorted or grouped.
+bonds so far.  The first token that is wrong ends the fold.  Rows are shuffled as compact text;
+tokens, atoms and bonds are never exploded, sorted or grouped.
 """
 
 from __future__ import annotations
@@ -217,21 +217,36 @@ def _fold(tokens: Column) -> Column:
     return F.aggregate(tokens, start, lambda acc, t: F.when(acc["error"].isNotNull(), acc).otherwise(_step(acc, t)))
 
 
-def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
+def parse(df: DataFrame, mol_id: str, smiles: str, distinct_texts: bool = False) -> DataFrame:
     """One row per distinct (id, text): atom and bond columns as arrays, or an error code.
 
     ``position`` is null for errors that belong to no single character.  Atom and bond
     order is input order; each bond is listed once, with the place of each end among its
     atom's neighbours (``order_a``, ``order_b``) so that chirality can be read later.
     Arrays are bounded: input is at most 1000 characters.
+
+    A text is folded once, however many ids have it, and its result joined back.  With
+    ``distinct_texts`` the caller has one id per text, and rows are folded where they lie.
     """
     rows = df.select(F.col(mol_id).alias("id"), F.col(smiles).alias("smiles"))
     # a fixed count: adaptive execution would merge these small rows into few tasks
-    rows = rows.repartition(work_partitions(df.sparkSession), "id").dropDuplicates(["id", "smiles"])
+    n = work_partitions(df.sparkSession)
+    if distinct_texts:
+        out = _read(rows.repartition(n, "id").dropDuplicates(["id", "smiles"]))
+    else:
+        texts = _read(rows.select("smiles").distinct().repartition(n, "smiles")).withColumnRenamed("smiles", "_text")
+        out = rows.dropDuplicates(["id", "smiles"]).join(texts, F.col("smiles").eqNullSafe(F.col("_text"))).drop("_text")
+    named = out.withColumnRenamed("smiles", smiles) if smiles != mol_id else out.drop("smiles")
+    return named.withColumnRenamed("id", mol_id)
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """``rows`` (smiles, ...) with what every text says."""
+    carried = rows.columns
     rows = rows.withColumn("bad_input", input_error(F.col("smiles")))
     words = F.when(F.col("bad_input").isNull(), F.regexp_extract_all("smiles", F.lit(TOKEN), F.lit(0)))
-    # evaluated once per row, whatever reads its fields
-    folded = rows.withColumn("s", F.get(F.transform(F.array(_typed(words)), _fold), F.lit(0)))
+    # a generated column: no filter on its fields is moved below it with further copies of the fold
+    folded = rows.select("*", F.explode_outer(F.array(_fold(_typed(words)))).alias("s"))
     error, n_atoms = F.col("s.error"), F.size("s.atoms")
     open_ring = F.element_at(F.sort_array(F.transform("s.rings", lambda r: F.struct(r["i"].alias("i"), r["label"].alias("label")))), -1)["label"]
     late = F.col("s.before") == "dot"
@@ -258,8 +273,7 @@ def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
     columns = ["number", "aromatic", "charge", "hs", "isotope", "chirality"]
     bond_columns = ["a", "b", "kind", "order_a", "order_b"]
     return out.select(
-        F.col("id").alias(mol_id),
-        F.col("smiles").alias(smiles) if smiles != mol_id else F.col("smiles").alias("_smiles"),
+        *carried,
         F.when(ok, n_atoms).alias("n_atoms"),
         F.when(ok, F.size("s.bonds")).alias("n_bonds"),
         *[F.when(ok, F.col("s.atoms")[c]).alias(c) for c in columns],
@@ -267,7 +281,7 @@ def parse(df: DataFrame, mol_id: str, smiles: str) -> DataFrame:
         "error_code",
         F.when(placed, position).alias("position"),
         F.when(~ok, detail).alias("detail"),
-    ).drop("_smiles")
+    )
 
 
 def atom_rows(parsed: DataFrame, mol_id: str, *columns: str) -> DataFrame:

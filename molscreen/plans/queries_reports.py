@@ -112,7 +112,7 @@ def named_alerts(spark, sf_dir):
     rows = block_molecules(spark, sf_dir)
     # every text once
     texts = rows.select(F.md5("smiles").alias("digest"), "smiles").distinct()
-    bonds = U.bond_table(G.perceive(S.parse(texts, "digest", "smiles")), "digest")
+    bonds = U.bond_table(G.perceive(S.parse(texts, "digest", "smiles", distinct_texts=True)), "digest")
     patterns = spark.createDataFrame(ALERTS, "alert string, smiles string")
     found = U.matches(bonds, U.bond_table(G.perceive(S.parse(patterns, "alert", "smiles")), "alert"))
     return rows.join(found, F.md5("smiles") == F.col("mol")).select("p_partkey", F.col("pattern").alias("alert"))
@@ -173,7 +173,7 @@ def import_progress(spark, sf_dir):
     source, out = _scratch(spark, "library"), _scratch(spark, "import")
     rows.write.csv(source, header=True)
     known = materialise(rows.where(F.length("smiles") <= 8).select(F.md5("smiles").alias("ref_id"), "smiles").distinct(), "known")
-    refs = materialise(G.perceive(S.parse(known, "ref_id", "smiles")).where("words is not null").select("ref_id", "words"), "references")
+    refs = materialise(G.perceive(S.parse(known, "ref_id", "smiles", distinct_texts=True)).where("words is not null").select("ref_id", "words"), "references")
     told: list[tuple[int, int]] = []
     counts = W.import_library(spark, source, out, refs, progress_every=100, on_progress=lambda done, failed: told.append((done, failed)))
     rising = told == sorted(told) and all(f <= d for d, f in told)

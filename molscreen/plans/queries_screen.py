@@ -27,7 +27,7 @@ def _screened(spark, sf_dir):
     rows = block_molecules(spark, sf_dir).withColumnRenamed("p_partkey", "row_index")
     # known chemistry: the structures written in few characters, so that others lie near it or outside
     known = rows.where(F.length("smiles") <= 8).select(F.md5("smiles").alias("ref_id"), "smiles").distinct()
-    refs = G.perceive(S.parse(known, "ref_id", "smiles"))
+    refs = G.perceive(S.parse(known, "ref_id", "smiles", distinct_texts=True))
     refs = materialise(refs.where(F.col("words").isNotNull()).select("ref_id", "words"), "references")
     return W.screen(rows, refs)
 

@@ -25,7 +25,7 @@ def identify(rows: DataFrame, column: str) -> DataFrame:
     fills a third of the table costs as much as any other.
     """
     distinct = rows.select(F.col(column).alias("smiles")).distinct().select(F.md5("smiles").alias("_digest"), "smiles")
-    keyed = canonical.canonicalise(molgraph.perceive(smiles.parse(distinct, "_digest", "smiles")))
+    keyed = canonical.canonicalise(molgraph.perceive(smiles.parse(distinct, "_digest", "smiles", distinct_texts=True)))
     return keyed.select("smiles", "canonical_smiles", "mol_key", "had_salts", "error_code", "position")
 
 
@@ -38,7 +38,7 @@ def molecules(identified: DataFrame) -> DataFrame:
     distinct = identified.where(F.col("mol_key").isNotNull()).groupBy("mol_key").agg(
         F.min("canonical_smiles").alias("canonical_smiles")
     )
-    return descriptors.add_descriptors(molgraph.perceive(smiles.parse(distinct, "mol_key", "canonical_smiles")))
+    return descriptors.add_descriptors(molgraph.perceive(smiles.parse(distinct, "mol_key", "canonical_smiles", distinct_texts=True)))
 
 
 def screen(

@@ -45,6 +45,16 @@ def full(spark, texts):
     return rows
 
 
+def test_a_text_is_folded_once_however_many_rows_have_it(spark, monkeypatch):
+    folded, read = [], S._read
+    monkeypatch.setattr(S, "_read", lambda rows: (folded.append(rows.count()), read(rows))[1])
+    texts = ["CCO", "C1CC1", None, "C(", ""]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(500)] + [(0, "CCO"), (0, "C(")], "id int, smiles string")
+    rows = S.parse(df, "id", "smiles").collect()
+    assert folded == [5] and len(rows) == 501
+    assert [(r.n_atoms, r.error_code) for r in sorted(rows, key=lambda r: r.id)[-5:]] == [(3, None), (3, None), (None, "empty_input"), (None, "unclosed_branch"), (None, "empty_input")]
+
+
 def test_damaged_input_gives_a_graph_or_an_error(spark):
     texts = damaged(400, 11)
     rows = parsed(spark, texts).collect()
