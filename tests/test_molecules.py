@@ -55,6 +55,14 @@ def test_a_text_is_folded_once_however_many_rows_have_it(spark, monkeypatch):
     assert [(r.n_atoms, r.error_code) for r in sorted(rows, key=lambda r: r.id)[-5:]] == [(3, None), (3, None), (None, "empty_input"), (None, "unclosed_branch"), (None, "empty_input")]
 
 
+@pytest.mark.parametrize("distinct_texts", [False, True])
+def test_a_filter_on_parsed_fields_does_not_copy_the_fold(spark, distinct_texts):
+    df = spark.createDataFrame([(0, "CCO"), (1, "C(")], "id int, smiles string")
+    bad = S.parse(df, "id", "smiles", **({"distinct_texts": True} if distinct_texts else {})).where("error_code is not null and position is null")
+    assert [r.id for r in bad.collect()] == [1]
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
 def test_damaged_input_gives_a_graph_or_an_error(spark):
     texts = damaged(400, 11)
     rows = parsed(spark, texts).collect()
