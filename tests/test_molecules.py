@@ -63,6 +63,17 @@ def test_a_filter_on_parsed_fields_does_not_copy_the_fold(spark, distinct_texts)
     assert bad._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
 
 
+def test_ring_bonds_query_folds_each_text_once(spark, monkeypatch):
+    from molscreen.plans.queries_sources import ring_bonds
+
+    folded, read = [], S._read
+    monkeypatch.setattr(S, "_read", lambda rows: (folded.append(rows.count()), read(rows))[1])
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    texts = orders.selectExpr("o_orderkey % 8 as i", "o_custkey % 30 as n").distinct().count()
+    got = ring_bonds(spark, "/root/testdata/sf0.001")
+    assert got.count() == orders.count() and folded == [texts] and texts <= 240
+
+
 def test_damaged_input_gives_a_graph_or_an_error(spark):
     texts = damaged(400, 11)
     rows = parsed(spark, texts).collect()
