@@ -14,7 +14,8 @@ every reference counts and a fixed cut-off would change answers.  Two exact plan
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ BROADCAST_BYTES = 32 << 20  # and their size: rows times the widest word list
 BAND = 16  # popcounts that share a reference band
 BLOCK_ROWS = 20_000
 _CELLS = 2_000_000  # pairs held at once while scoring
+_TILE = 1 << 18  # pairs whose shared bits are counted at once: they stay in the cache
 
 
 def _matrix(words: pa.Array) -> np.ndarray:
@@ -59,14 +61,38 @@ class Packed:
         return sorted(out, key=lambda s: -s[0])
 
 
-def _scores(q: np.ndarray, q_counts: np.ndarray, ref: Packed, lo: int, hi: int) -> np.ndarray:
-    shared = np.zeros((len(q), hi - lo), dtype=np.int64)
-    for w in range(q.shape[1]):
-        shared += np.bitwise_count(q[:, w : w + 1] & ref.words[w, lo:hi])
-    union = q_counts[:, None] + ref.counts[lo:hi] - shared
+def _shared(q: np.ndarray, ref: Packed, lo: int, hi: int) -> np.ndarray:
+    """Shared bits of every pair, in the narrowest type that holds them."""
+    words = q.shape[1]
+    kind = np.uint8 if words < 4 else np.uint16 if words < 1024 else np.int64
+    out = np.empty((len(q), hi - lo), kind)
+    step = max(1, _TILE // max(1, hi - lo))
+    for at in range(0, len(q), step):
+        tile = out[at : at + step]
+        tile[:] = np.bitwise_count(q[at : at + step, :1] & ref.words[0, lo:hi])
+        for w in range(1, words):
+            tile += np.bitwise_count(q[at : at + step, w : w + 1] & ref.words[w, lo:hi])
+    return out
+
+
+def _ratio(shared: np.ndarray, q_counts: np.ndarray, ref_counts: np.ndarray) -> np.ndarray:
+    shared = shared.astype(np.int64)
+    union = q_counts + ref_counts - shared
     return np.divide(shared, union, out=np.zeros(shared.shape), where=union > 0)
 
 
+def _scores(q: np.ndarray, q_counts: np.ndarray, ref: Packed, lo: int, hi: int) -> np.ndarray:
+    return _ratio(_shared(q, ref, lo, hi), q_counts[:, None], ref.counts[lo:hi])
+
+
+def _need(c: int, ref_counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Fewest shared bits that reach ``threshold``, by the same division as the score's; counts are not 0."""
+    need = np.maximum(np.floor(threshold * (c + ref_counts) / (1 + threshold)).astype(np.int64) - 1, 0)
+    while (short := _ratio(need, c, ref_counts) < threshold).any():
+        need += short
+    return need
+
+
 def _chunks(q: np.ndarray, ref: Packed) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """Query rows in popcount order, with the reference ranges to visit for each chunk."""
     counts = np.bitwise_count(q).sum(axis=1, dtype=np.int64)
@@ -90,13 +116,40 @@ def _best(q: np.ndarray, ref: Packed, n: int, floor: np.ndarray | None = None) -
         for bound, lo, hi in stretches:
             if bound <= np.maximum(kept[:, -1], floor[rows]).min():
                 break
-            both = np.concatenate([kept, _scores(q[rows], counts, ref, lo, hi)], axis=1)
-            top = np.partition(both, both.shape[1] - n, axis=1)[:, -n:]
-            kept = -np.sort(-top, axis=1)
+            worst = np.maximum(kept[:, -1], floor[rows])
+            if worst.min() < 0:
+                # nothing to hold scores against yet: a few references first
+                head = min(hi, lo + 64 * n)
+                both = np.concatenate([kept, _scores(q[rows], counts, ref, lo, head)], axis=1)
+                top = np.partition(both, both.shape[1] - n, axis=1)[:, -n:]
+                kept, lo = -np.sort(-top, axis=1), head
+                worst = np.maximum(kept[:, -1], floor[rows])
+            if lo < hi:
+                kept = _improved(kept, worst, q[rows], counts, ref, lo, hi)
         out[rows] = kept
     return out
 
 
+def _improved(kept: np.ndarray, worst: np.ndarray, q: np.ndarray, q_counts: np.ndarray, ref: Packed, lo: int, hi: int) -> np.ndarray:
+    """``kept`` with the scores of a reference range that can beat ``worst``; only those are divided."""
+    sizes, first = np.unique(ref.counts[lo:hi], return_index=True)
+    # s / (a + b - s) > w means s > (a + b) * w / (1 + w); a little less covers the rounding
+    need = np.ceil((q_counts[:, None] + sizes) * (worst / (1 + worst))[:, None] - 1e-6).clip(0)
+    shared = _shared(q, ref, lo, hi)
+    wide = np.repeat(need.astype(shared.dtype), np.diff(np.append(first, hi - lo)), axis=1)
+    i, j = np.divmod(np.flatnonzero(shared >= wide), hi - lo)
+    score = _ratio(shared[i, j], q_counts[i], ref.counts[lo + j])
+    better = score > worst[i]
+    if not better.any():
+        return kept
+    n = kept.shape[1]
+    row = np.concatenate([np.repeat(np.arange(len(kept)), n), i[better]])
+    value = np.concatenate([kept.ravel(), score[better]])
+    order = np.lexsort((-value, row))
+    start = np.searchsorted(row[order], np.arange(len(kept)))
+    return value[order][start[:, None] + np.arange(n)]
+
+
 def _closest(q: np.ndarray, ref: Packed, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index and score of the best reference per query; ties go to the lowest id."""
     where, score = np.full(len(q), -1), np.full(len(q), -1.0)
@@ -116,10 +169,9 @@ def _closest(q: np.ndarray, ref: Packed, floor: np.ndarray | None = None) -> tup
     return where, score
 
 
-def _matches(q: np.ndarray, ref: Packed, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, reference row, score) of every pair at or over ``threshold``."""
+def _matches(q: np.ndarray, ref: Packed, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, reference row, score) of every pair at or over ``threshold``, some ``_CELLS`` pairs compared at a time."""
     counts = np.bitwise_count(q).sum(axis=1, dtype=np.int64)
-    rows_out, refs_out, scores_out = [], [], []
     for c in np.unique(counts):
         rows = np.flatnonzero(counts == c)
         # same division as the score itself, so that the boundary rounds alike
@@ -131,17 +183,15 @@ def _matches(q: np.ndarray, ref: Packed, threshold: float) -> tuple[np.ndarray,
         if not len(able):
             continue
         lo, hi = able[0], able[-1] + 1
+        need = None
         step = max(1, _CELLS // (hi - lo))
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
-            scores = _scores(q[part], counts[part], ref, lo, hi)
-            i, j = np.nonzero(scores >= threshold)
-            rows_out.append(part[i])
-            refs_out.append(j + lo)
-            scores_out.append(scores[i, j])
-    if not rows_out:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
-    return np.concatenate(rows_out), np.concatenate(refs_out), np.concatenate(scores_out)
+            shared = _shared(q[part], ref, lo, hi)
+            need = _need(c, ref.counts[lo:hi], threshold).astype(shared.dtype) if need is None else need
+            i, j = np.divmod(np.flatnonzero(shared >= need), hi - lo)
+            if len(i):
+                yield part[i], j + lo, _ratio(shared[i, j], c, ref.counts[lo + j])
 
 
 def small_enough(refs: DataFrame, bound: int = BROADCAST_REFS) -> bool:
@@ -259,11 +309,11 @@ def _outward(queries: DataFrame, refs: DataFrame, n: int, score: Callable, schem
     return out, sum(counts.values())
 
 
-def _cell(score: Callable[[pa.Array, np.ndarray, Packed, np.ndarray], pa.RecordBatch]):
+def _cell(score: Callable[[pa.Array, np.ndarray, Packed, np.ndarray], Iterable[pa.RecordBatch]]):
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         ref = Packed(b["rid"].combine_chunks(), _matrix(b["w"].combine_chunks()))
         floor = a["floor"].to_numpy() if "floor" in a.column_names else np.full(a.num_rows, -1.0)
-        return pa.Table.from_batches([score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref, floor)])
+        return pa.Table.from_batches(list(score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref, floor)))
 
     return run
 
@@ -279,7 +329,7 @@ def _streamed(q: DataFrame, refs: DataFrame, score: Callable, schema: str) -> Da
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield score(b.column("qid"), _matrix(b.column("w")), shared.value, np.full(b.num_rows, -1.0))
+            yield from score(b.column("qid"), _matrix(b.column("w")), shared.value, np.full(b.num_rows, -1.0))
 
     return q.mapInArrow(stream, schema)
 
@@ -302,17 +352,17 @@ def nearest(
     kind = _type(q, "qid")
     if small_enough(refs, bound):
 
-        def lists(ids, q, ref, floor) -> pa.RecordBatch:
+        def lists(ids, q, ref, floor) -> list[pa.RecordBatch]:
             best = pa.array([row[row >= 0] for row in _best(q, ref, n)], pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([ids, best], ["qid", "best"])
+            return [pa.RecordBatch.from_arrays([ids, best], ["qid", "best"])]
 
         return _streamed(q, r, lists, f"qid {kind}, best array<double>").withColumnRenamed("qid", query_id)
 
-    def tall(ids, q, ref, floor) -> pa.RecordBatch:
+    def tall(ids, q, ref, floor) -> list[pa.RecordBatch]:
         best = _best(q, ref, n, floor)
         i, j = np.nonzero(best >= 0)
         none = pa.nulls(len(i), ref.ids.type)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(best[i, j]), none], ["qid", "s", "rid"])
+        return [pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(best[i, j]), none], ["qid", "s", "rid"])]
 
     kept, total = _outward(q, r, n, tall, f"qid {kind}, s double, rid {_type(r, 'rid')}", block_rows)
     scores = F.transform("kept", lambda k: -k["less"])
@@ -328,11 +378,11 @@ def nearest_named(
     query_id, ref_id = names.get("query_id", "query_id"), names.get("ref_id", "ref_id")
     q, r = _sides(queries, refs, names)
 
-    def score(ids, q, ref, floor) -> pa.RecordBatch:
+    def score(ids, q, ref, floor) -> list[pa.RecordBatch]:
         where, best = _closest(q, ref, floor)
         hit = np.flatnonzero(where >= 0)
         cols = [ids.take(pa.array(hit)), pa.array(best[hit]), ref.ids.take(pa.array(where[hit]))]
-        return pa.RecordBatch.from_arrays(cols, ["qid", "s", "rid"])
+        return [pa.RecordBatch.from_arrays(cols, ["qid", "s", "rid"])]
 
     schema = f"qid {_type(q, 'qid')}, s double, rid {_type(r, 'rid')}"
     if small_enough(refs, bound):
@@ -399,10 +449,11 @@ def matches(
     query_id, ref_id = names.get("query_id", "query_id"), names.get("ref_id", "ref_id")
     q, r = _sides(queries, refs, names)
 
-    def score(ids, q, ref, floor) -> pa.RecordBatch:
-        i, j, s = _matches(q, ref, threshold)
-        cols = [ids.take(pa.array(i)), ref.ids.take(pa.array(j)), pa.array(s)]
-        return pa.RecordBatch.from_arrays(cols, ["qid", "rid", "similarity"])
+    def score(ids, q, ref, floor) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for i, j, s in chain([none], _matches(q, ref, threshold)):
+            cols = [ids.take(pa.array(i)), ref.ids.take(pa.array(j)), pa.array(s)]
+            yield pa.RecordBatch.from_arrays(cols, ["qid", "rid", "similarity"])
 
     schema = f"qid {_type(q, 'qid')}, rid {_type(r, 'rid')}, similarity double"
     if small_enough(refs, bound):

@@ -108,3 +108,14 @@ def test_bands_are_visited_outward_until_no_bound_reaches(spark, monkeypatch, n)
         assert np.allclose(got[i], sorted(scores, reverse=True)[:n]), i
         assert named[i][0] == scores.index(max(scores)) and np.isclose(named[i][1], max(scores))
     assert N.nearest_named(frame(q, "query_id"), frame(r, "ref_id").limit(0), bound=-1).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.1, 1 / 3, 0.5, 2 / 3, 1.0])
+def test_fewest_shared_bits_round_as_the_score_does(threshold):
+    sizes = np.arange(1, 130)
+    for c in (1, 7, 64, 128):
+        need = N._need(c, sizes, threshold)
+        for r, least in zip(sizes, need):
+            shared = np.arange(min(c, r) + 1)
+            reach = shared[shared / (c + r - shared) >= threshold]
+            assert least == reach[0] if len(reach) else least > min(c, r)
