@@ -119,3 +119,12 @@ def test_fewest_shared_bits_round_as_the_score_does(threshold):
             shared = np.arange(min(c, r) + 1)
             reach = shared[shared / (c + r - shared) >= threshold]
             assert least == reach[0] if len(reach) else least > min(c, r)
+
+
+def test_matching_pairs_leave_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "_CELLS", 1000)
+    ref = N.Packed(pa.array(range(500)), np.full((500, 1), 7, np.uint64))
+    pieces = [len(i) for i, _, _ in N._matches(np.full((40, 1), 7, np.uint64), ref, 0.5)]
+    assert sum(pieces) == 40 * 500 and max(pieces) <= 1000
