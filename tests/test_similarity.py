@@ -128,3 +128,20 @@ def test_matching_pairs_leave_in_bounded_pieces(monkeypatch):
     ref = N.Packed(pa.array(range(500)), np.full((500, 1), 7, np.uint64))
     pieces = [len(i) for i, _, _ in N._matches(np.full((40, 1), 7, np.uint64), ref, 0.5)]
     assert sum(pieces) == 40 * 500 and max(pieces) <= 1000
+
+
+@pytest.mark.parametrize("words", [1, 5])
+def test_only_scores_that_can_rise_are_divided(monkeypatch, words):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(words)
+    monkeypatch.setattr(N, "_CELLS", 20_000)
+    bits = lambda n: rng.integers(0, 2**63, (n, words)).astype(np.uint64)
+    q, r = np.vstack([bits(90), np.zeros((1, words), np.uint64)]), np.vstack([bits(3000), np.zeros((1, words), np.uint64)])
+    divided, ratio = [], N._ratio
+    monkeypatch.setattr(N, "_ratio", lambda s, a, b: (divided.append(s.size), ratio(s, a, b))[1])
+    got = N._best(q, N.Packed(pa.array(range(len(r))), r), 5)
+    shared = np.bitwise_count(q[:, None] & r[None]).sum(axis=2, dtype=np.int64)
+    union = np.bitwise_count(q[:, None] | r[None]).sum(axis=2, dtype=np.int64)
+    assert np.array_equal(got, -np.sort(-(shared / np.maximum(union, 1)), axis=1)[:, :5])
+    assert sum(divided) < 0.5 * shared.size
