@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import md5
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molscreen.functions import bits as B
-from molscreen.schemas import DOMAIN_NEIGHBOURS
+from molscreen.schemas import DOMAIN_NEIGHBOURS, FP_BITS
 from molscreen.session import materialise, opaque
 
 BROADCAST_REFS = 100_000  # rows that are sent to every task at most
@@ -483,6 +485,30 @@ def sign_words(vector: str) -> Column:
     )
 
 
+def _word_bits(texts: pa.Array) -> pa.Array:
+    """2048 bits per text, one set by the digest of each word; texts without words are null."""
+    words = pc.split_pattern_regex(texts, r"[\x20\x09-\x0D]+")
+    each = words.flatten().dictionary_encode()
+    # an empty piece lies before a leading or after a trailing blank
+    bit = np.array([int.from_bytes(md5(w.encode()).digest()[:3], "big") % FP_BITS if w else -1 for w in each.dictionary.to_pylist()], np.int64)
+    bits, of = bit[each.indices.to_numpy()], pc.list_parent_indices(words).to_numpy()
+    there = np.zeros((len(texts), FP_BITS), bool)
+    there[of[bits >= 0], bits[bits >= 0]] = True
+    packed = np.packbits(there, axis=1, bitorder="little").view("<i8")
+    rows = pa.FixedSizeListArray.from_arrays(pa.array(packed.ravel()), FP_BITS // 64).cast(pa.list_(pa.int64()))
+    return pc.if_else(pa.array(there.any(axis=1)), rows, pa.scalar(None, rows.type))
+
+
+def word_bits(text: str) -> Column:
+    """Hashed words ``[^\\x20\\x09-\\x0D]+`` of whole texts folded to 2048 bits; null for texts without words."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        # some texts at a time, so that the bits of a batch are never held unpacked at once
+        return pa.concat_arrays([_word_bits(texts.slice(at, 1000)) for at in range(0, max(len(texts), 1), 1000)])
+
+    return opaque(run, "array<bigint>")(F.col(text))
+
+
 def domain_breakdown(statuses: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of the three domain statuses."""
     s = F.col("status")

@@ -13,7 +13,7 @@ from molscreen.operators import similarity as N
 from molscreen.operators import store as S
 from molscreen.plans.tables import big, endpoint_values, fingerprints, r6, read
 from molscreen.schemas import ENDPOINTS, endpoint_registry
-from molscreen.session import broadcast_if_small
+from molscreen.session import broadcast_if_small, materialise
 
 QUERIES, SQL = {}, {}
 
@@ -109,17 +109,17 @@ _WORDS_SQL = r"""
 
 def _word_sets(spark, sf_dir, table: str, key: str):
     """(id, words): hashed words of whole texts folded to 2048 bits; texts without words have none."""
-    rows = read(spark, sf_dir, table)
-    each = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("w"))
-    bit = F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("bigint") % 2048
-    parts = each.select("id", bit.alias("bit")).groupBy("id", B.word_of(F.col("bit")).alias("at")).agg(F.bit_or(B.mask_of(F.col("bit"))).alias("v"))
-    found = parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # 32 entries at most
-    return found.select("id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("words"))
+    rows = read(spark, sf_dir, table).select(F.col(key).alias("id"), N.word_bits("text").alias("w")).where("w is not null")
+    # rows of one id are one set; 32 words at most
+    one = rows.groupBy("id").agg(*[F.bit_or(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(32)])
+    return one.select("id", F.array(*[f"w{i}" for i in range(32)]).alias("words"))
 
 
 def _word_sides(spark, sf_dir):
     q = _word_sets(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("id", "query_id")
-    return q, _word_sets(spark, sf_dir, "documents", "doc_id").withColumnRenamed("id", "ref_id")
+    # the search reads them more than once
+    refs = materialise(_word_sets(spark, sf_dir, "documents", "doc_id"), "word-sets")
+    return q, refs.withColumnRenamed("id", "ref_id")
 
 
 @query(_WORDS_SQL + "SELECT query_id, ref_id, round(s, 9) AS similarity FROM sim WHERE s >= 0.15")

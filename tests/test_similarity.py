@@ -145,3 +145,16 @@ def test_only_scores_that_can_rise_are_divided(monkeypatch, words):
     union = np.bitwise_count(q[:, None] | r[None]).sum(axis=2, dtype=np.int64)
     assert np.array_equal(got, -np.sort(-(shared / np.maximum(union, 1)), axis=1)[:, :5])
     assert sum(divided) < 0.5 * shared.size
+
+
+def test_word_bits_are_digests_of_words_between_ascii_blanks(spark):
+    import hashlib
+    import re
+
+    texts = ["  one two\tone\r\n", "a\u00a0b \u2003 \x1f c\x0bd", "", " \n", None, "x" * 3000] + [f"w{i} w{i * 7}" for i in range(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").coalesce(1)
+    got = {r.i: r.w for r in df.select("i", N.word_bits("s").alias("w")).collect()}
+    for i, text in enumerate(texts):
+        bits = {int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 2048 for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")}
+        want = [sum(1 << (b % 64) for b in bits if b // 64 == k) for k in range(32)]
+        assert [w & (2**64 - 1) for w in got[i]] == want if bits else got[i] is None
