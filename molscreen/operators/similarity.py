@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from molscreen.functions import bits as B
 from molscreen.schemas import DOMAIN_NEIGHBOURS, FP_BITS
-from molscreen.session import materialise, opaque
+from molscreen.session import materialise, opaque, work_partitions
 
 BROADCAST_REFS = 100_000  # rows that are sent to every task at most
 BROADCAST_BYTES = 32 << 20  # and their size: rows times the widest word list
 BAND = 16  # popcounts that share a reference band
 BLOCK_ROWS = 20_000
+MOST_BLOCKS = 32, 8  # query and reference blocks of a band, as long as a block is small enough to be broadcast
 _CELLS = 2_000_000  # pairs held at once while scoring
 _TILE = 1 << 18  # pairs whose shared bits are counted at once: they stay in the cache
 
@@ -224,22 +225,39 @@ def _ints(values) -> Column:
     return F.expr(f"array({items})") if items else F.array().cast("array<int>")
 
 
-def _cells(visits: DataFrame, asked: dict, refs: DataFrame, counts: dict, block_rows: int):
-    """Queries and references of one band meet in cells of about ``block_rows`` rows a side, cut by hash."""
+def _blocks(rows: int, block_rows: int, most: int) -> int:
+    """Blocks of a band: of ``block_rows`` each, but no more than ``most`` until they are as large as a broadcast set."""
+    return max(1, min(math.ceil(rows / block_rows), most), math.ceil(rows / max(block_rows, BROADCAST_REFS)))
 
-    def parts(sizes: dict) -> Column:
-        table = ", ".join(f"{b}, {max(1, math.ceil(sizes.get(b, 0) / block_rows))}" for b in counts) or "0, 1"
+
+def _met(visits: DataFrame, asked: dict, refs: DataFrame, counts: dict, block_rows: int) -> DataFrame:
+    """Queries and references of a band in the cells where they meet, cut by hash; ``rid`` is null for queries.
+
+    A row is in at most as many cells of a band as the other side has blocks, so that copies do
+    not grow with the rows.
+    """
+
+    def parts(sizes: dict, most: int) -> Column:
+        table = ", ".join(f"{b}, {_blocks(sizes.get(b, 0), block_rows, most)}" for b in counts) or "0, 1"
         return F.element_at(F.expr(f"map({table})"), F.col("_band"))
 
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = visits.withColumn("_i", F.pmod(F.xxhash64("qid", "w"), parts(asked)).cast("int")).withColumn("_j", spread(parts(counts)))
+    rows, columns = parts(asked, MOST_BLOCKS[0]), parts(counts, MOST_BLOCKS[1])
+    left = visits.withColumn("_i", F.pmod(F.xxhash64("qid", "w"), rows).cast("int")).withColumn("_j", spread(columns))
     wanted = refs.where(F.col("_band").isin([b for b in asked])) if len(asked) < len(counts) else refs
-    right = wanted.withColumn("_j", F.pmod(F.xxhash64("rid", "w"), parts(counts)).cast("int")).withColumn("_i", spread(parts(asked)))
+    right = wanted.withColumn("_j", F.pmod(F.xxhash64("rid", "w"), columns).cast("int")).withColumn("_i", spread(rows))
+    return left.withColumn("_ref", F.lit(False)).unionByName(right.withColumn("_ref", F.lit(True)), allowMissingColumns=True)
+
+
+def _cells(visits: DataFrame, asked: dict, refs: DataFrame, counts: dict, block_rows: int, score: Callable, schema: str) -> DataFrame:
+    """``score`` in every cell where queries and references of one band meet."""
     key = ["_band", "_i", "_j"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key))
+    met = _met(visits, asked, refs, counts, block_rows)
+    # a fixed count: adaptive execution merges by bytes, and a cell costs the product of its sides
+    return met.repartition(work_partitions(refs.sparkSession), *key).groupBy(*key).applyInArrow(_cell(score), schema)
 
 
-def _banded(queries: DataFrame, refs: DataFrame, threshold: float, block_rows: int):
+def _banded(queries: DataFrame, refs: DataFrame, threshold: float, score: Callable, schema: str, block_rows: int) -> DataFrame:
     """Cells of queries and references whose popcounts allow ``threshold``; no other cell is built.
 
     A query with p bits visits the bands from p * threshold to p / threshold.
@@ -251,7 +269,7 @@ def _banded(queries: DataFrame, refs: DataFrame, threshold: float, block_rows: i
     high = F.ceil(p / threshold / BAND).cast("int") + 1
     counts = _band_counts(r)
     visits = queries.withColumn("_band", F.explode(F.filter(_ints(sorted(counts)), lambda b: (b >= low) & (b <= high))))
-    return _cells(visits, _band_counts(visits), r, counts, block_rows)
+    return _cells(visits, _band_counts(visits), r, counts, block_rows, score, schema)
 
 
 def _outward(queries: DataFrame, refs: DataFrame, n: int, score: Callable, schema: str, block_rows: int) -> tuple[DataFrame, int]:
@@ -295,7 +313,7 @@ def _outward(queries: DataFrame, refs: DataFrame, n: int, score: Callable, schem
             # the nearest band with references lies further out
             open_, reach, width = going.drop("_visit"), reach + width, 2 * width
             continue
-        found = _cells(visits, asked, r, counts, block_rows).applyInArrow(_cell(score), schema)
+        found = _cells(visits, asked, r, counts, block_rows, score, schema)
         order = Window.partitionBy("qid").orderBy("less", "rid")
         tall = found.select("qid", (-F.col("s")).alias("less"), "rid").unionByName(going.select("qid", F.inline("kept")))
         best = tall.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
@@ -312,10 +330,17 @@ def _outward(queries: DataFrame, refs: DataFrame, n: int, score: Callable, schem
 
 
 def _cell(score: Callable[[pa.Array, np.ndarray, Packed, np.ndarray], Iterable[pa.RecordBatch]]):
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+    """``score`` for the rows of a cell; what it gives leaves piece by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        a, b = rows.filter(pc.invert(rows["_ref"])), rows.filter(rows["_ref"])
+        del rows
+        if not (a.num_rows and b.num_rows):
+            return
         ref = Packed(b["rid"].combine_chunks(), _matrix(b["w"].combine_chunks()))
         floor = a["floor"].to_numpy() if "floor" in a.column_names else np.full(a.num_rows, -1.0)
-        return pa.Table.from_batches(list(score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref, floor)))
+        yield from score(a["qid"].combine_chunks(), _matrix(a["w"].combine_chunks()), ref, floor)
 
     return run
 
@@ -461,7 +486,7 @@ def matches(
     if small_enough(refs, bound):
         found = _streamed(q, r, score, schema)
     else:
-        found = _banded(q, r, threshold, block_rows).applyInArrow(_cell(score), schema)
+        found = _banded(q, r, threshold, score, schema, block_rows)
     return found.select(F.col("qid").alias(query_id), F.col("rid").alias(ref_id), "similarity")
 
 

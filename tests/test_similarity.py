@@ -130,6 +130,16 @@ def test_matching_pairs_leave_in_bounded_pieces(monkeypatch):
     assert sum(pieces) == 40 * 500 and max(pieces) <= 1000
 
 
+def test_copies_of_a_row_do_not_grow_with_the_rows(spark):
+    rows = spark.range(3000).select(F.col("id").alias("qid"), F.array("id").alias("w"), F.lit(0).alias("_band"))
+    met = N._met(rows, {0: 3000}, rows.withColumnRenamed("qid", "rid"), {0: 3000}, block_rows=5)
+    sides = {r["_ref"]: r["count"] for r in met.groupBy("_ref").count().collect()}
+    assert sides == {False: 3000 * 8, True: 3000 * 32}
+    assert met.select("_i", "_j").distinct().count() == 8 * 32
+    # and blocks stay in memory
+    assert N._blocks(10**8, 500, 8) == 1000 and N._blocks(2000, 500, 8) == 4
+
+
 @pytest.mark.parametrize("words", [1, 5])
 def test_only_scores_that_can_rise_are_divided(monkeypatch, words):
     import pyarrow as pa
