@@ -130,6 +130,27 @@ def test_matching_pairs_leave_in_bounded_pieces(monkeypatch):
     assert sum(pieces) == 40 * 500 and max(pieces) <= 1000
 
 
+def test_a_cell_of_copies_leaves_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "_CELLS", 1000)
+    kept = []
+
+    def score(ids, q, ref, floor):
+        for i, j, s in N._matches(q, ref, 0.5):
+            kept.append(len(i))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ref.ids.take(pa.array(j)), pa.array(s)], ["qid", "rid", "similarity"])
+
+    side = pa.array([False] * 40 + [True] * 500)
+    ids, w = pa.array(range(540)), pa.array([[7]] * 540, pa.list_(pa.int64()))
+    cell = pa.RecordBatch.from_arrays([ids, ids, w, side], ["qid", "rid", "w", "_ref"])
+    pieces = N._cell(score)(iter([cell.slice(0, 300), cell.slice(300)]))
+    first = next(pieces)
+    # nothing is compared ahead of what was taken
+    assert first.num_rows <= 1000 and len(kept) == 1
+    assert first.num_rows + sum(p.num_rows for p in pieces) == 40 * 500
+
+
 def test_copies_of_a_row_do_not_grow_with_the_rows(spark):
     rows = spark.range(3000).select(F.col("id").alias("qid"), F.array("id").alias("w"), F.lit(0).alias("_band"))
     met = N._met(rows, {0: 3000}, rows.withColumnRenamed("qid", "rid"), {0: 3000}, block_rows=5)
