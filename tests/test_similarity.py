@@ -189,3 +189,8 @@ def test_word_bits_are_digests_of_words_between_ascii_blanks(spark):
         bits = {int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 2048 for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")}
         want = [sum(1 << (b % 64) for b in bits if b // 64 == k) for k in range(32)]
         assert [w & (2**64 - 1) for w in got[i]] == want if bits else got[i] is None
+
+
+def test_cells_are_not_merged_into_few_tasks(spark):
+    q, r, *_ = frames(spark, 6)
+    assert N.matches(q, r, 0.2, bound=0, block_rows=25).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
