@@ -234,7 +234,8 @@ def parse(df: DataFrame, mol_id: str, smiles: str, distinct_texts: bool = False)
     if distinct_texts:
         out = _read(rows.repartition(n, "id").dropDuplicates(["id", "smiles"]))
     else:
-        texts = _read(rows.select("smiles").distinct().repartition(n, "smiles")).withColumnRenamed("smiles", "_text")
+        # by a digest: over the texts' own partitioning no second exchange is planned, and the first one is merged
+        texts = _read(rows.select("smiles").distinct().repartition(n, F.xxhash64("smiles"))).withColumnRenamed("smiles", "_text")
         out = rows.dropDuplicates(["id", "smiles"]).join(texts, F.col("smiles").eqNullSafe(F.col("_text"))).drop("_text")
     named = out.withColumnRenamed("smiles", smiles) if smiles != mol_id else out.drop("smiles")
     return named.withColumnRenamed("id", mol_id)

@@ -55,6 +55,15 @@ def test_a_text_is_folded_once_however_many_rows_have_it(spark, monkeypatch):
     assert [(r.n_atoms, r.error_code) for r in sorted(rows, key=lambda r: r.id)[-5:]] == [(3, None), (3, None), (None, "empty_input"), (None, "unclosed_branch"), (None, "empty_input")]
 
 
+@pytest.mark.parametrize("distinct_texts", [False, True])
+def test_texts_are_not_folded_in_few_tasks(spark, monkeypatch, distinct_texts):
+    read = S._read
+    monkeypatch.setattr(S, "_read", lambda rows: read(rows.withColumn("task", F.spark_partition_id())))
+    df = spark.range(200).select("id", F.concat(F.repeat(F.lit("C"), (F.col("id") % 100 + 1).cast("int")), F.lit("O")).alias("smiles"))
+    got = S.parse(df, "id", "smiles", distinct_texts).select("n_atoms", "task").collect()
+    assert len(got) == 200 and len({r.task for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("distinct_texts", [False, True])
 def test_a_filter_on_parsed_fields_does_not_copy_the_fold(spark, distinct_texts):
     df = spark.createDataFrame([(0, "CCO"), (1, "C(")], "id int, smiles string")
