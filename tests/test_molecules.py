@@ -83,6 +83,16 @@ def test_ring_bonds_query_folds_each_text_once(spark, monkeypatch):
     assert got.count() == orders.count() and folded == [texts] and texts <= 240
 
 
+def test_ring_bonds_query_folds_its_texts_in_all_tasks(spark, monkeypatch):
+    from molscreen.plans.queries_sources import ring_bonds
+
+    read, parse, out = S._read, S.parse, []
+    monkeypatch.setattr(S, "_read", lambda rows: read(rows.withColumn("task", F.spark_partition_id())))
+    monkeypatch.setattr(S, "parse", lambda *a: (out.append(parse(*a)), out[0])[1])
+    ring_bonds(spark, "/root/testdata/sf0.001")
+    assert out[0].select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_attribution_query_hides_atoms_once_per_text(spark, monkeypatch):
     from molscreen.plans import queries_molecules as M
     from molscreen.plans.tables import block_molecules
