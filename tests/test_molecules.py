@@ -1,6 +1,7 @@
 """Parsing, graph properties, identity and scoring of molecules."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -93,6 +94,15 @@ def test_ring_bonds_query_folds_its_texts_in_all_tasks(spark, monkeypatch):
     assert out[0].select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_ring_bonds_query_shuffles_texts_not_orders(spark):
+    from molscreen.plans.queries_sources import ring_bonds
+
+    plan = ring_bonds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    heavy = [line for line in plan.splitlines() if "Exchange" in line or "Aggregate" in line or "Sort" in line]
+    # the orders' keys are the only long column (#12L), under whatever name
+    assert heavy and not [line for line in heavy if re.search(r"#\d+L", line)] and "BroadcastHashJoin" in plan
+
+
 def test_attribution_query_hides_atoms_once_per_text(spark, monkeypatch):
     from molscreen.plans import queries_molecules as M
     from molscreen.plans.tables import block_molecules
