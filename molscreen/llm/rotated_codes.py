@@ -5,7 +5,8 @@ dimension, packed, with two correction scalars: the norm and the agreement of th
 vector.  The inner product of a rotated query with a code, divided by the agreement, estimates
 that of the vectors and has a known standard error.  The candidates with the highest upper
 bounds are computed exactly, in double precision; of the others only those whose upper bound
-reaches the k-th best score found there.
+reaches the k-th best score found there.  Where these are many, as with few dimensions, one product
+in single precision, its rounding allowed for, first rules out what stays below that score.
 
 Candidates are dealt once to blocks of bounded size and encoded there once; the queries stream
 past every block, some at a time, so one product of a few queries with all codes of a block
@@ -37,6 +38,11 @@ QUERY_EVERY = 20
 SIGMAS = 2.5
 #: Queries that meet a block's codes together.
 QUERY_BLOCK = 32
+#: Where more than one in so many bounds reach the bar, a product with all vectors of the block costs less than to fetch these.
+DENSE = 32
+#: Pairs that are scored together, about, and components of their vectors.
+PAIRS = 1 << 18
+EXACT_VALUES = 1 << 19
 #: Candidates of a block at most, and their components: a task's memory follows from them.
 CANDIDATE_BLOCK = 65_536
 BLOCK_VALUES = 1 << 22
@@ -98,35 +104,89 @@ class Block:
         self.turn = rotation(dim)
         codes, norm, agreement = encode(self.vectors.astype(np.float64), self.turn)
         factor, margin = corrections(norm, agreement, dim, sigmas)
-        # one row per dimension, scaled, so that a product with queries gives the estimates
-        self.codes = np.ascontiguousarray((signs(codes, dim) * factor[:, None].astype(np.float32)).T)
-        self.margin = margin.astype(np.float32)
+        # one row per dimension, scaled, and one of margins, so that a product with queries gives the upper bounds
+        self.codes = _columns(signs(codes, dim) * factor[:, None].astype(np.float32), margin)
+        # the vectors alike, with what rounding can take from their products; no limit where they may overflow
+        rounding = norm * (dim + 8) * np.finfo(np.float32).eps + 1e-36
+        self.plain = _columns(self.vectors, np.where(norm < 1e30, rounding, np.inf))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query id, ids, scores) of the block's best k for every query."""
+        """(query ids, ids, scores) of the block's best k for every query, some queries at a time."""
+        space = np.empty((2, min(QUERY_BLOCK, len(queries)), len(self.ids)), np.float32)
         for start in range(0, len(queries), QUERY_BLOCK):
-            some = queries[start : start + QUERY_BLOCK].astype(np.float64)
+            names, some = query_ids[start : start + QUERY_BLOCK], queries[start : start + QUERY_BLOCK].astype(np.float64)
             length = np.linalg.norm(some, axis=1)
-            upper = ((some / length[:, None]) @ self.turn).astype(np.float32) @ self.codes + self.margin
-            names = query_ids[start : start + QUERY_BLOCK]
+            unit = some / length[:, None]
+            upper = _product(unit @ self.turn, self.codes, space[0])
             for row, low, high in zip(upper, np.searchsorted(self.ids, names), np.searchsorted(self.ids, names, "right")):
                 row[low:high] = -np.inf
-            n = min(4 * k, upper.shape[1])
-            first = np.argpartition(upper, upper.shape[1] - n, axis=1)[:, -n:]
-            for name, q, size, row, pick in zip(names.tolist(), some, length, upper, first):
-                pick = pick[row[pick] > -np.inf]
-                if len(pick) >= k:
-                    kth = np.partition(_exact(self.vectors, pick, q), len(pick) - k)[len(pick) - k]
-                    # at least those in hand, whatever rounding does to the bar
-                    pick = np.union1d(pick, np.flatnonzero(row >= np.float32(kth / size)))
-                score = _exact(self.vectors, pick, q)
-                best = np.lexsort((self.ids[pick], -score))[:k]
-                yield name, self.ids[pick[best]], score[best]
-
-
-def _exact(vectors: np.ndarray, pick: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products summed row by row, so that equal vectors score equal."""
-    return (vectors[pick] * query).sum(axis=1)
+            n = min(4 * k, len(self.ids))
+            rows, cols = _entries(upper >= _reached(upper, n)[:, None])
+            first = _best(n, rows, -upper[rows, cols])
+            rows, cols = rows[first], cols[first]
+            score = _exact(self.vectors, cols, some, rows)
+            best = _best(k, rows, -score)
+            found = np.bincount(rows[best], minlength=len(some))
+            kth = np.full(len(some), np.inf)
+            kth[found == k] = score[best[np.cumsum(found)[found == k] - 1]]
+            bar = (kth / length).astype(np.float32)[:, None]
+            rest = upper >= bar
+            if DENSE * np.count_nonzero(rest) > rest.size:
+                np.greater(rest, _product(unit, self.plain, space[1]) < bar, out=rest)
+            part = np.cumsum(np.count_nonzero(rest, axis=1)) // PAIRS
+            for low, high in zip(np.searchsorted(part, np.unique(part)), np.searchsorted(part, np.unique(part), "right")):
+                more = np.ravel_multi_index(_entries(rest[low:high]), upper.shape) + low * len(self.ids)
+                # at least those in hand, whatever rounding does to the bar
+                a, z = np.searchsorted(rows, (low, high))
+                pick = np.union1d(more, np.ravel_multi_index((rows[a:z], cols[a:z]), upper.shape))
+                r, c = np.unravel_index(pick, upper.shape)
+                s = _exact(self.vectors, c, some, r)
+                best = _best(k, r, -s)
+                yield names[r[best]], self.ids[c[best]], s[best]
+
+
+def _columns(vectors: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One column per vector, float32, with its entry of last below."""
+    with np.errstate(over="ignore"):
+        return np.vstack([vectors.T.astype(np.float32), last[None].astype(np.float32)])
+
+
+def _product(queries: np.ndarray, columns: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Products of the queries with all columns, and the columns' last entries added."""
+    return np.matmul(_columns(queries, np.ones(len(queries))).T, columns, out=space[: len(queries)])
+
+
+def _reached(values: np.ndarray, n: int) -> np.ndarray:
+    """For each row a finite value that its n largest entries reach, and few others: the n-th largest of maxima over groups."""
+    lowest, groups = np.finfo(values.dtype).min, 8 * n
+    width = values.shape[1] // groups
+    if width < 2:
+        return np.full(len(values), lowest)
+    tops = values[:, : width * groups].reshape(len(values), width, groups).max(axis=1)
+    tops = np.partition(np.where(np.isnan(tops), lowest, tops), groups - n, axis=1)
+    return np.maximum(tops[:, groups - n], lowest)
+
+
+def _entries(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the true entries, of which there are few: eight are looked at together."""
+    flat = mask.reshape(-1)
+    even = len(flat) // 8 * 8
+    at = np.flatnonzero(flat[:even].view(np.uint64))
+    at = np.append((at[:, None] * 8 + np.arange(8)).ravel(), np.arange(even, len(flat)))
+    return np.divmod(at[flat[at]], mask.shape[1])
+
+
+def _best(n: int, rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the n least keys of every row, by row and key, earlier places first among equals."""
+    order = np.lexsort((key, rows))
+    return order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order]) < n]
+
+
+def _exact(vectors: np.ndarray, pick: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of picked vectors with the queries in rows, each summed by itself, so that equal vectors score equal."""
+    step = max(1, EXACT_VALUES // vectors.shape[1])
+    parts = [(vectors[pick[i : i + step]] * queries[rows[i : i + step]]).sum(axis=1) for i in range(0, len(pick), step)]
+    return np.concatenate([np.empty(0), *parts])
 
 
 def usable(vector: Column) -> Column:
@@ -167,10 +227,10 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "
                     held.append((ids, flat))
                 elif held:
                     block = block or Block(*map(np.concatenate, zip(*held)), sigmas)
-                    found = [(np.full(len(got), name), got, score) for name, got, score in block.search(ids, flat, k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*block.search(ids, flat, k))], schema=schema)
 
-    met = mine.unionByName(asked).repartition(blocks, "d", "c").sortWithinPartitions("d", "c", "side")
+    # by number, as hashes would put some blocks into one task and leave others empty
+    met = mine.unionByName(asked).repartitionById(blocks, "c").sortWithinPartitions("d", "c", "side")
     found = met.mapInArrow(run, "query_id bigint, id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -71,3 +71,35 @@ def test_without_bounds_the_search_is_exact(spark):
     for r in q.neighbours(df, F.col("vec_id") % 100 == 0, 10, sigmas=float("inf")).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == {i: exact(ids, vectors, i, 10) for i in range(0, 3000, 100)}
+
+
+def test_few_vectors_are_fetched_where_many_bounds_reach_the_bar(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((20_000, 64)).astype(np.float32)
+    vectors[5000:5100] = vectors[5000]
+    ids, fetched, exact_of = rng.permutation(20_000), [], q._exact
+    monkeypatch.setattr(q, "_exact", lambda vectors, pick, *rest: fetched.append(len(pick)) or exact_of(vectors, pick, *rest))
+
+    def found():
+        fetched.clear()
+        return list(q.Block(ids, vectors, q.SIGMAS).search(ids[4990:5030], vectors[4990:5030], 20)), sum(fetched) / 40
+
+    got, few = found()
+    assert few < 500
+    monkeypatch.setattr(q, "DENSE", 0)
+    monkeypatch.setattr(q, "PAIRS", 10_000)
+    want, many = found()
+    got, want = ([np.concatenate(x).tolist() for x in zip(*some)] for some in (got, want))
+    assert many > 1000 and len(want[0]) == 40 * 20
+    assert got == want
+
+
+def test_every_task_has_one_block(spark, monkeypatch):
+    monkeypatch.setattr(q, "TASK_ROWS", 20)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(600)], "vec_id bigint, embedding array<double>")
+    met, run = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a: met.append(self) or run(self, *a))
+    q.neighbours(df, F.col("vec_id") % 20 == 0)
+    places = met[0].select(F.spark_partition_id(), "c").distinct().collect()
+    assert len(places) == len({p for p, _ in places}) == len({c for _, c in places}) == q.TASK_BLOCKS
